@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import chat_format, license_scan, packing, quality_rules, token_counts, warc_fixity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op4_warc_fixity": warc_fixity.op4_warc_fixity,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_chat_format": chat_format.op9_chat_format,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.ORACLE,
+    "op4_warc_fixity": warc_fixity.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
 }
