@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Stands for a null id wherever a key must be compared.
 NULL_ID = -(2**63)
 
@@ -34,7 +35,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     on one machine only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilequery/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # shuffle files of this write are of no use after it
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._tilequery_path = path
     return out
