@@ -1,14 +1,75 @@
-"""Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing."""
+"""Corpus pipeline over `documents`: quality, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a
+DataFrame; all but the last return the columns of documents. run() writes each stage's
+result as Parquet into the shared folder and reads it back as the next one's input.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: Tokenisation and sampled weights can't be written in SQL.
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilequery.llm.common import cut, id_of, table, text_of
+from tilequery.llm.decontaminate import leaks
+from tilequery.llm.importance import importance_resample
+from tilequery.llm.near_dup import near_duplicates
+from tilequery.llm.packing import packed
+from tilequery.llm.suffix_dedup import remove_repeats
+
+
+def _keys() -> list[Column]:
+    """A document's row is told by its id and its text."""
+    return [id_of("doc_id").alias("_id"), F.xxhash64(text_of("text")).alias("_h")]
+
+
+def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents that are (left_semi) or aren't (left_anti) among rows (doc_id, h)."""
+    keys = rows.select(id_of("doc_id").alias("_id"), F.col("h").alias("_h"))
+    return docs.select("*", *_keys()).join(keys, ["_id", "_h"], how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling doesn't draw go."""
+    scored = importance_resample(docs, table(spark, sf_dir, "labels"))
+    return _chosen(docs, scored.filter("kept"), "left_semi").select(docs.columns)
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one of the least doc_id."""
+    first = _chosen(docs, near_duplicates(docs).filter("keep"), "left_semi")
+    return first.dropDuplicates(["_id", "_h"]).select(docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 400-byte passages are cut out of the texts; every document stays."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = remove_repeats(docs, carry=carry, as_text=True)
+    out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    return out.select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = leaks(docs, table(spark, sf_dir, "benchmark"))
+    return _chosen(docs, found, "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces in sequences of 1024 tokens."""
+    return packed(docs)
+
+
+STAGES = [("quality", quality), ("near_dup", near_dup), ("repeats", repeats), ("benchmark", benchmark), ("packing", packing)]
+
+#: Tokenisation, suffix sorting and resampling can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, name)
     return docs

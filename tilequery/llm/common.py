@@ -131,7 +131,7 @@ class Words:
 
     _cache: dict[str, np.ndarray] = {}
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = True) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = True, closing: np.ndarray | None = None) -> None:
         cache = self._cache
         if not cache:
             cache["values"] = byte_values()
@@ -156,6 +156,8 @@ class Words:
         after = np.zeros(n, bool)
         after[:-1] = is_word[1:]
         ends = np.flatnonzero(is_word & (~after | last[1:])) + 1
+        if closing is not None:  # such a last byte of a longer word is not part of it
+            ends = ends - ((ends - starts > 1) & closing[raw[ends - 1]])
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(cache["folded" if fold else "values"][raw] * cache["up"][:n], out=prefix[1:])
         self.starts, self.ends = starts, ends

@@ -317,20 +317,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Remove every byte covered by a 400-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes; strings never cross documents; overlaps count; strings are
     judged on the input. Returns a row per row of df: doc_id, h (xxhash64 of the text),
-    n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that remain).
+    n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that remain; with
+    as_text a string without characters that were cut in two) and `carry`, columns of df.
 
     A null text is empty and, as any text under 400 bytes, loses nothing. A repeated row is
     another place where its strings start, so copies of 400 bytes or more lose all of
     them. A null doc_id comes back null; an empty table gives an empty table; other
     columns are ignored.
     """
-    docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
-    spans = repeated_spans(docs)
+    docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    spans = repeated_spans(docs.drop("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -352,13 +353,16 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     parts.append(raw[max(end, 0) :])
                     sizes.append(len(raw)), removed.append(gone), runs.append(n), kept.append(b"".join(parts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-                    names=["doc_id", "h", "n_bytes", "n_removed", "n_spans", "kept"],
+                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), 
+                     pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), batch.column(4)],
+                    names=["doc_id", "h", "n_bytes", "n_removed", "n_spans", "kept", "rest"],
                 )
 
-    out = docs.join(spans, ["doc_id", "h"], "left").select("doc_id", "h", "t", "spans")
-    out = out.mapInArrow(run, "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    out = docs.join(spans, ["doc_id", "h"], "left").select("doc_id", "h", "t", "spans", "rest")
+    kind = "string" if as_text else "binary"
+    out = out.mapInArrow(run, f"doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept {kind}, rest {docs.schema['rest'].dataType.simpleString()}")
+    own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id")
+    return out.select(own, "h", "n_bytes", "n_removed", "n_spans", "kept", *[F.col("rest")[c].alias(c) for c in carry])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
