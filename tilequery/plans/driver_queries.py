@@ -1,6 +1,405 @@
-"""Queries over the driver's tables, each with a DuckDB twin."""
+"""Queries over the driver's tables, each with a DuckDB twin.
+
+The tables hold no images, so slides, levels and requests are integer projections of
+part and events; the operators are those of the library.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dimensions as dims
+from ..functions import geometry as g
+from ..functions import signing, text
+from ..operators import caches, catalog, jpeg, pyramid, requests, validation
+
+SECRET, NOW = "tile-secret", 1_706_000_000
+DOWNSAMPLES = (1, 2, 3, 8, 64)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- projections -------------------------------------------------------------------------------
+
+EXTENSIONS = {0: ".svs", 1: ".TIF", 2: ".tiff", 3: ".jpg", 4: ".pdf"}
+
+
+def _slides(spark: SparkSession, d: str) -> DataFrame:
+    p = _table(spark, d, "part")
+    ext = dims.lookup((F.col("p_partkey") % 5).cast("int"), EXTENSIONS)
+    name = F.concat(F.lit("cohort"), (F.col("p_partkey") % 7).cast("string"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), ext)
+    return p.select("p_partkey", name.alias("slide_id"))
+
+
+def _ifds(spark: SparkSession, d: str) -> DataFrame:
+    """Six directories a slide, each smaller by 2 or 4 than the one before."""
+    p = _table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("ifd_index"))
+    k = F.col("p_partkey")
+    step = g.shift(F.col("ifd_index") * (1 + F.col("p_size") % 2))
+    tile = F.when(F.col("p_size") % 2 == 1, 256).otherwise(240).cast("long")
+    return p.select(
+        k.alias("slide_id"), "ifd_index", g.ceil_div(300 + k * 7919 % 60000, step).alias("width"), g.ceil_div(300 + k * 104729 % 45000, step).alias("height"),
+        tile.alias("tile_width"), tile.alias("tile_height"), F.lit(True).alias("has_tiles"),
+        dims.lookup((k % 4).cast("int"), {0: 7, 1: 7, 2: 33003, 3: 5}).cast("int").alias("compression"),
+    )
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    v = F.floor("value").cast("long")
+    return e.select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("slide_id"), (F.col("event_id") % 6).cast("int").alias("level"),
+        (v % 300).alias("tile_x"), (F.col("event_id") % 200).alias("tile_y"), (v % 110).cast("int").alias("quality"),
+    )
+
+
+_SLIDES = """slides AS (SELECT p_partkey, 'cohort' || (p_partkey % 7) || '/' || replace(p_name, ' ', '_') || '_' || p_partkey ||
+  CASE p_partkey % 5 WHEN 0 THEN '.svs' WHEN 1 THEN '.TIF' WHEN 2 THEN '.tiff' WHEN 3 THEN '.jpg' ELSE '.pdf' END AS slide_id FROM part)"""
+_IFDS = """ifds AS (SELECT p_partkey AS slide_id, k::INT AS ifd_index,
+  (300 + p_partkey * 7919 % 60000 + s - 1) // s AS width, (300 + p_partkey * 104729 % 45000 + s - 1) // s AS height,
+  CASE WHEN p_size % 2 = 1 THEN 256 ELSE 240 END::BIGINT AS tile, CASE p_partkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 7 WHEN 2 THEN 33003 ELSE 5 END AS compression
+  FROM (SELECT *, (1::BIGINT << (k * (1 + p_size % 2))::INT) AS s FROM part, range(6) r(k)))"""
+_CLASSIFIED = _IFDS + """, grid AS (SELECT *, (width + tile - 1) // tile AS tiles_x, (height + tile - 1) // tile AS tiles_y FROM ifds),
+cand AS (SELECT *, width >= 256 AND height >= 256 AND NOT (width <= 1000 AND height <= 1000 AND width / height > 0.5 AND width / height < 2.0) AS c FROM grid),
+ranked AS (SELECT *, CASE WHEN c THEN row_number() OVER w - 1 END AS rank, CASE WHEN c THEN (first(width) OVER w / width + first(height) OVER w / height) / 2 END AS downsample
+  FROM cand WINDOW w AS (PARTITION BY slide_id, c ORDER BY width * height DESC, ifd_index)),
+kinds AS (SELECT *, CASE WHEN NOT c THEN 'other' WHEN CASE WHEN rank = 0 THEN abs(downsample - 1) < 0.1
+   ELSE round(log2(downsample)) >= 1 AND downsample / pow(2.0, round(log2(downsample))) > 0.8 AND downsample / pow(2.0, round(log2(downsample))) < 1.2 END THEN 'level' ELSE 'rejected' END AS kind FROM ranked),
+levels AS (SELECT slide_id, (row_number() OVER (PARTITION BY slide_id ORDER BY rank) - 1)::INT AS level, ifd_index, width, height, tile, tiles_x, tiles_y, downsample, compression FROM kinds WHERE kind = 'level')"""
+_REQUESTS = """requests AS (SELECT event_id AS request_id, user_id AS slide_id, (event_id % 6)::INT AS level, floor(value)::BIGINT % 300 AS tile_x, event_id % 200 AS tile_y,
+  (floor(value)::BIGINT % 110)::INT AS quality FROM events)"""
+
+
+# ---- pyramids ----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_IFDS} SELECT slide_id, ifd_index, (width + tile - 1) // tile AS tiles_x, (height + tile - 1) // tile AS tiles_y, ((width + tile - 1) // tile) * ((height + tile - 1) // tile) AS tile_count FROM ifds")
+def q01_tile_grid(spark: SparkSession, d: str) -> DataFrame:
+    return pyramid.with_grid(_ifds(spark, d)).select("slide_id", "ifd_index", "tiles_x", "tiles_y", "tile_count")
+
+
+@query(f"WITH {_CLASSIFIED} SELECT slide_id, ifd_index, width, height FROM cand WHERE c")
+def q02_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _ifds(spark, d).filter(g.is_candidate(F.col("width"), F.col("height"), F.col("has_tiles"))).select("slide_id", "ifd_index", "width", "height")
+
+
+@query(f"WITH {_CLASSIFIED} SELECT slide_id, level, ifd_index, width, height, tiles_x, tiles_y, downsample FROM levels")
+def q03_levels(spark: SparkSession, d: str) -> DataFrame:
+    return pyramid.build(_ifds(spark, d)).select("slide_id", F.col("level").cast("int").alias("level"), "ifd_index", "width", "height", "tiles_x", "tiles_y", "downsample")
+
+
+@query(f"""WITH {_CLASSIFIED}, c AS (SELECT DISTINCT slide_id, level, width, height, tile, x, y FROM (SELECT *, unnest([0, tiles_x - 1]) AS x FROM levels) JOIN
+ (SELECT slide_id AS s, level AS l, unnest([0, tiles_y - 1]) AS y FROM levels) ON s = slide_id AND l = level)
+SELECT slide_id, level, x AS tile_x, y AS tile_y, least(tile, width - x * tile) AS tile_width, least(tile, height - y * tile) AS tile_height FROM c""")
+def q04_edge_tiles(spark: SparkSession, d: str) -> DataFrame:
+    lv = pyramid.build(_ifds(spark, d))
+    ends = lambda c: F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.col(c) - 1)))
+    c = lv.withColumn("tile_x", ends("tiles_x")).withColumn("tile_y", ends("tiles_y"))
+    side = lambda p, t, s: g.tile_side(F.col(p), F.col(t), F.col(s))
+    return c.select(
+        "slide_id", F.col("level").cast("int").alias("level"), "tile_x", "tile_y",
+        side("tile_x", "tile_width", "width").alias("w"), side("tile_y", "tile_height", "height").alias("h"),
+    ).withColumnsRenamed({"w": "tile_width", "h": "tile_height"})
+
+
+def _wanted(lv: DataFrame) -> DataFrame:
+    return lv.filter("level = 0").select("slide_id", F.explode(F.array(*[F.lit(float(x)) for x in DOWNSAMPLES])).alias("d"))
+
+
+_WANTED = "wanted AS (SELECT slide_id, unnest([1.0, 2.0, 3.0, 8.0, 64.0])::DOUBLE AS d FROM levels WHERE level = 0)"
+
+
+@query(f"""WITH {_CLASSIFIED}, {_WANTED} SELECT w.slide_id, d, coalesce(arg_min(level, downsample) FILTER (downsample >= 0.99 * d), max(level)) AS level
+FROM wanted w JOIN levels l ON l.slide_id = w.slide_id GROUP BY w.slide_id, d""")
+def q05_best_level(spark: SparkSession, d: str) -> DataFrame:
+    lv = pyramid.build(_ifds(spark, d))
+    return pyramid.best_level(lv, _wanted(lv)).withColumn("level", F.col("level").cast("int"))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT slide_id, ifd_index, kind FROM kinds")
+def q06_partition_ifds(spark: SparkSession, d: str) -> DataFrame:
+    return pyramid.classify(_ifds(spark, d)).select("slide_id", "ifd_index", "kind")
+
+
+# ---- requests ----------------------------------------------------------------------------------
+
+_RESOLVED = f"""{_CLASSIFIED}, {_REQUESTS}, n AS (SELECT slide_id, count(*) AS n FROM levels GROUP BY 1),
+resolved AS (SELECT r.*, CASE WHEN quality NOT BETWEEN 1 AND 100 THEN 'invalid_quality' WHEN n.n IS NULL THEN 'not_found' WHEN r.level >= n.n THEN 'invalid_level'
+  WHEN NOT (tile_x < tiles_x AND tile_y < tiles_y) THEN 'tile_out_of_bounds' END AS error, tile_y * tiles_x + tile_x AS i
+  FROM requests r LEFT JOIN n ON n.slide_id = r.slide_id LEFT JOIN levels l ON l.slide_id = r.slide_id AND l.level = r.level)"""
+
+
+@query(f"""WITH {_RESOLVED} SELECT request_id, slide_id, level, tile_x, tile_y, quality,
+CASE error WHEN 'not_found' THEN 404 WHEN 'invalid_quality' THEN 400 WHEN 'invalid_level' THEN 400 WHEN 'tile_out_of_bounds' THEN 400 ELSE 200 END AS status,
+error, CASE WHEN error IS NULL THEN i END AS tile_index FROM resolved""")
+def q07_resolve_requests(spark: SparkSession, d: str) -> DataFrame:
+    return requests.resolve(_requests(spark, d), pyramid.build(_ifds(spark, d))).drop("message")
+
+
+@query("""SELECT 'found' AS kind, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT 'missing', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def q08_found_missing(spark: SparkSession, d: str) -> DataFrame:
+    r = _table(spark, d, "orders").select(F.col("o_custkey").alias("slide_id"))
+    s = _table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("slide_id"))
+    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(requests.found(r, s), "found").union(count(requests.missing(r, s), "missing"))
+
+
+@query(f"WITH {_SLIDES} SELECT slide_id FROM slides WHERE regexp_matches(lower(slide_id), '\\.(svs|tif|tiff)$') AND starts_with(slide_id, 'cohort3/') AND contains(lower(slide_id), lower('A'))")
+def q09_listing(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.matching(_slides(spark, d).select("slide_id"), "cohort3/", "A")
+
+
+@query(f"""WITH {_SLIDES}, p AS (SELECT slide_id, row_number() OVER (ORDER BY slide_id) AS i FROM slides WHERE regexp_matches(lower(slide_id), '\\.(svs|tif|tiff)$') AND slide_id > 'cohort2' ORDER BY slide_id LIMIT 51)
+SELECT slide_id, (SELECT q.slide_id FROM p q WHERE q.i = 50 AND EXISTS (SELECT 1 FROM p z WHERE z.i = 51)) AS next_cursor FROM p WHERE i <= 50""")
+def q10_page(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.page(_slides(spark, d).select("slide_id"), 50, cursor="cohort2")
+
+
+@query(f"""WITH {_CLASSIFIED}, m AS (SELECT slide_id, count(*) OVER (PARTITION BY slide_id) AS level_count, max(CASE WHEN level = 0 THEN width END) OVER (PARTITION BY slide_id) AS base_width,
+max(CASE WHEN level = 0 THEN height END) OVER (PARTITION BY slide_id) AS base_height, level, width, tiles_x, downsample FROM levels) SELECT slide_id, level_count::INT AS level_count, base_width, base_height, level, width, tiles_x, downsample FROM m""")
+def q11_metadata(spark: SparkSession, d: str) -> DataFrame:
+    m = pyramid.metadata(pyramid.build(_ifds(spark, d)))
+    each = m.select("slide_id", "level_count", F.col("width").alias("base_width"), F.col("height").alias("base_height"), F.explode("levels").alias("l"))
+    return each.select("slide_id", "level_count", "base_width", "base_height", F.col("l.level").cast("int").alias("level"), "l.width", "l.tiles_x", "l.downsample")
+
+
+# ---- deep zoom ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_IFDS}, b AS (SELECT slide_id, width, height, tile, CASE WHEN greatest(width, height) <= 1 THEN 0 ELSE length(bin(greatest(width, height) - 1)) END::INT AS m FROM ifds WHERE ifd_index = 0),
+l AS (SELECT *, unnest(range(m + 1))::INT AS dzi_level FROM b), s AS (SELECT *, (1::BIGINT << (m - dzi_level)) AS s FROM l),
+x AS (SELECT *, greatest(1, (width + s - 1) // s) AS w, greatest(1, (height + s - 1) // s) AS h FROM s)
+SELECT slide_id, m AS max_level, dzi_level, w AS dzi_width, h AS dzi_height, greatest(1, (w + tile - 1) // tile) AS dzi_tiles_x, greatest(1, (h + tile - 1) // tile) AS dzi_tiles_y, s::DOUBLE AS dzi_downsample FROM x""")
+def q12_dzi_levels(spark: SparkSession, d: str) -> DataFrame:
+    b = _ifds(spark, d).filter("ifd_index = 0").withColumn("max_level", g.max_dzi_level(F.col("width"), F.col("height")))
+    x = b.withColumn("dzi_level", F.explode(F.sequence(F.lit(0), F.col("max_level"))))
+    side = lambda c: g.dzi_side(F.col(c), F.col("dzi_level"), F.col("max_level"))
+    x = x.withColumn("dzi_width", side("width")).withColumn("dzi_height", side("height"))
+    return x.select(
+        "slide_id", "max_level", "dzi_level", "dzi_width", "dzi_height", g.dzi_tiles(F.col("dzi_width"), F.col("tile_width")).alias("dzi_tiles_x"),
+        g.dzi_tiles(F.col("dzi_height"), F.col("tile_height")).alias("dzi_tiles_y"), g.dzi_downsample(F.col("dzi_level"), F.col("max_level")).alias("dzi_downsample"),
+    )
+
+
+@query(f"""WITH {_CLASSIFIED}, {_WANTED}, b AS (SELECT w.slide_id, d, max(struct_pack(ds := downsample, l := level)) FILTER (downsample <= d) AS b FROM wanted w JOIN levels l ON l.slide_id = w.slide_id GROUP BY 1, 2)
+SELECT slide_id, d, coalesce(b.l, 0)::INT AS level, d / coalesce(b.ds, 1.0) AS scale FROM b""")
+def q13_dzi_to_level(spark: SparkSession, d: str) -> DataFrame:
+    lv = pyramid.build(_ifds(spark, d))
+    return pyramid.wsi_level(lv, _wanted(lv)).withColumn("level", F.col("level").cast("int"))
+
+
+@query(f"WITH {_IFDS} SELECT slide_id, '" + text.DZI.replace("%d", "{}", 1).split("{}")[0] + "' || tile || '" + text.DZI.split("%d")[1] + "' || width || '" + text.DZI.split("%d")[2] + "' || height || '" + text.DZI.split("%d")[3] + "' AS xml FROM ifds WHERE ifd_index = 0")
+def q14_dzi_xml(spark: SparkSession, d: str) -> DataFrame:
+    return _ifds(spark, d).filter("ifd_index = 0").select("slide_id", text.dzi_xml(F.col("width"), F.col("height"), F.col("tile_width")).alias("xml"))
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    form = dims.lookup((k % 7).cast("int"), {0: "%s_%s.jpg", 1: "%s_%s.jpeg", 2: "%s_%s", 3: "%s-%s.jpg", 4: "+%s_%s.jpg", 5: "%s_%s_0.jpg", 6: "a%s_%s.png"})
+    name = F.replace(F.regexp_replace(form, "%s_%s", "%s_{}"), F.lit("%s"), (k * 7919).cast("string"))
+    return _table(spark, d, "part").select("p_partkey", F.replace(name, F.lit("{}"), (k * 104729 * 977).cast("string")).alias("name"))
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN a || '_' || b || '.jpg' WHEN 1 THEN a || '_' || b || '.jpeg' WHEN 2 THEN a || '_' || b WHEN 3 THEN a || '-' || a || '.jpg'
+ WHEN 4 THEN '+' || a || '_' || b || '.jpg' WHEN 5 THEN a || '_' || b || '_0.jpg' ELSE 'a' || a || '_' || b || '.png' END AS name FROM (SELECT p_partkey, (p_partkey * 7919)::VARCHAR AS a, (p_partkey * 104729 * 977)::VARCHAR AS b FROM part)),
+x AS (SELECT p_partkey, name, regexp_extract(name, '^\\+?([0-9]+)_\\+?([0-9]+)(\\.jpe?g)?$', ['a', 'b']) AS m, regexp_extract(name, '^\\+?([0-9]+)(\\.jpg)?$', 1) AS f FROM n),
+y AS (SELECT *, try_cast(m.a AS BIGINT) AS a, try_cast(m.b AS BIGINT) AS b, try_cast(f AS BIGINT) AS fy FROM x)
+SELECT p_partkey, name, CASE WHEN a <= 4294967295 AND b <= 4294967295 THEN a END AS x, CASE WHEN a <= 4294967295 AND b <= 4294967295 THEN b END AS y, CASE WHEN fy <= 4294967295 THEN fy END AS file_y FROM y""")
+def q15_parse_names(spark: SparkSession, d: str) -> DataFrame:
+    n = _names(spark, d).withColumn("c", text.dzi_tile_coords(F.col("name")))
+    return n.select("p_partkey", "name", "c.x", "c.y", text.tile_file_y(F.col("name")).alias("file_y"))
+
+
+# ---- signing -----------------------------------------------------------------------------------
+
+
+def _urls(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    path = F.concat(F.lit("/tiles/slide%2F"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 6).cast("string"), F.lit("/1/2.jpg"))
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
+    params = F.array(pair("quality", F.floor("value") % 100), pair("event", F.col("event_type")))
+    return e.select("event_id", "user_id", path.alias("path"), params.alias("params"), (F.lit(NOW) - 5000 + F.col("event_id") % 10000).alias("exp"))
+
+
+_INNER = bytes(b ^ 0x36 for b in SECRET.encode().ljust(64, b"\0")).hex()
+_OUTER = bytes(b ^ 0x5C for b in SECRET.encode().ljust(64, b"\0")).hex()
+
+
+def _hmac_sql(message: str) -> str:
+    return f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode({message}))))"
+
+
+_URLS = f"""urls AS (SELECT event_id, user_id, '/tiles/slide%2F' || user_id || '/' || (event_id % 6) || '/1/2.jpg' AS path, event_type, (floor(value)::BIGINT % 100)::VARCHAR AS quality, {NOW} - 5000 + event_id % 10000 AS exp FROM events),
+signed AS (SELECT *, path || '?event=' || event_type || '&exp=' || exp || '&quality=' || quality AS base FROM urls)"""
+
+
+@query(f"WITH {_URLS} SELECT event_id, base, {_hmac_sql('base')} AS sig FROM signed")
+def q16_sign(spark: SparkSession, d: str) -> DataFrame:
+    u = _urls(spark, d)
+    c = [F.col(x) for x in ("path", "params", "exp")]
+    return u.select("event_id", signing.signature_base(*c).alias("base"), signing.sign(SECRET, *c).alias("sig"))
+
+
+@query(f"""WITH {_URLS}, g AS (SELECT *, {_hmac_sql('base')} AS good, event_id % 8 AS k FROM signed)
+SELECT event_id, CASE k WHEN 1 THEN 'missing_signature' WHEN 2 THEN 'missing_expiry' WHEN 4 THEN 'invalid_expiry_format' WHEN 6 THEN 'invalid_signature_format'
+ ELSE CASE WHEN {NOW} > exp THEN 'signature_expired' WHEN k = 3 THEN 'invalid_signature_format' WHEN k = 5 THEN 'invalid_signature' END END AS error FROM g""")
+def q17_access(spark: SparkSession, d: str) -> DataFrame:
+    u = _urls(spark, d).withColumn("good", signing.sign(SECRET, F.col("path"), F.col("params"), F.col("exp"))).withColumn("k", F.col("event_id") % 8)
+    pair = lambda k, v: F.array(F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    sig = F.when(F.col("k") == 1, none).when(F.col("k") == 3, pair("sig", F.lit("xyz"))).when(F.col("k") == 5, pair("sig", F.reverse("good")))
+    sig = sig.when(F.col("k") == 6, F.concat(pair("sig", F.col("good")), pair("sig", F.col("good")))).otherwise(pair("sig", F.col("good")))
+    exp = F.when(F.col("k") == 2, none).when(F.col("k") == 4, pair("exp", F.lit("soon"))).otherwise(pair("exp", F.col("exp")))
+    query = F.concat("params", exp, sig)
+    return u.withColumn("query", query).select("event_id", signing.access_decision(SECRET, F.col("path"), F.col("query"), F.lit(NOW)).alias("error"))
+
+
+@query(f"""WITH {_URLS} SELECT event_id, 'slide/' || user_id AS slide_id, {_hmac_sql("'viewer:slide/' || user_id || ':' || exp")} AS token FROM signed""")
+def q18_viewer_token(spark: SparkSession, d: str) -> DataFrame:
+    u = _urls(spark, d).withColumn("slide_id", signing.slide_id_of_path(F.col("path")))
+    return u.select("event_id", "slide_id", signing.viewer_token(SECRET, F.col("slide_id"), F.col("exp")).alias("token"))
+
+
+# ---- descriptions, dimensions, validation --------------------------------------------------------
+
+
+def _descriptions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    head = F.when(k % 3 == 0, "Aperio Image\n 2000x1000").otherwise("Other")
+    mpp = F.when(k % 5 == 0, "invalid").otherwise(F.format_string("0.%s", (k % 90 + 10).cast("string")))
+    body = F.concat(head, F.lit("|MPP = "), mpp, F.lit("| AppMag = 20|Name="), F.col("p_brand"), F.lit("|noequals|AppMag =  40 "))
+    return _table(spark, d, "part").select("p_partkey", F.when(k % 11 != 0, body).alias("description"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 5 <> 0 THEN ('0.' || (p_partkey % 90 + 10))::DOUBLE END AS mpp, CASE WHEN p_partkey % 11 <> 0 THEN 40.0::DOUBLE END AS magnification,
+CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 3 = 0 THEN 'Aperio' END AS vendor, CASE WHEN p_partkey % 11 <> 0 THEN 3 ELSE 0 END AS n_properties, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS name FROM part""")
+def q19_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    m = _descriptions(spark, d).withColumn("m", text.vendor_metadata(F.col("description")))
+    return m.select("p_partkey", "m.mpp", "m.magnification", "m.vendor", F.size("m.properties").alias("n_properties"), F.try_element_at("m.properties", F.lit("Name")).alias("name"))
+
+
+@query("""WITH t(field_type_raw, field_type, bytes) AS (VALUES (1, 'Byte', 1), (2, 'Ascii', 1), (3, 'Short', 2), (4, 'Long', 4), (7, 'Undefined', 1), (16, 'Long8', 8)),
+p AS (SELECT p_partkey, (p_partkey % 18)::INT AS field_type_raw, p_partkey % 6 AS n, CASE p_partkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 7 WHEN 2 THEN 33003 ELSE 5 END AS compression FROM part)
+SELECT p_partkey, t.field_type, coalesce(bytes * n <= 4, false) AS inline_classic, coalesce(bytes * n <= 8, false) AS inline_big,
+CASE compression WHEN 7 THEN 'JPEG' WHEN 33003 THEN 'JPEG 2000' ELSE 'LZW' END AS compression_name, compression <> 5 AS supported FROM p LEFT JOIN t USING (field_type_raw)""")
+def q20_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = _table(spark, d, "part").select(
+        "p_partkey", (k % 18).cast("int").alias("raw"), (k % 6).alias("n"), dims.lookup((k % 4).cast("int"), {0: 7, 1: 7, 2: 33003, 3: 5}).alias("c")
+    )
+    fits = lambda big: dims.fits_inline(F.col("raw"), F.col("n"), F.lit(big))
+    return p.select(
+        "p_partkey", dims.lookup(F.col("raw"), {c: n for c, (n, _) in dims.FIELD_TYPES.items()}).alias("field_type"), fits(False).alias("inline_classic"), fits(True).alias("inline_big"),
+        dims.lookup(F.col("c"), {c: n for c, (n, _) in dims.COMPRESSIONS.items()}).alias("compression_name"),
+        dims.lookup(F.col("c"), {c: s for c, (_, s) in dims.COMPRESSIONS.items()}, False).alias("supported"),
+    )
+
+
+@query(f"""WITH {_CLASSIFIED}, e AS (SELECT slide_id, 'unsupported_compression' AS code, ifd_index, 'LZW' AS detail FROM levels WHERE compression = 5
+UNION ALL SELECT slide_id, 'missing_tile_tags', ifd_index, 'TileByteCounts' FROM levels WHERE slide_id % 9 = 0)
+SELECT p_partkey AS slide_id, e.code IS NULL AND n IS NOT NULL AS is_valid, CASE WHEN n IS NULL THEN 'no_pyramid_levels' ELSE e.code END AS code, e.ifd_index, e.detail
+FROM part LEFT JOIN (SELECT slide_id, count(*) AS n FROM levels GROUP BY 1) c ON c.slide_id = p_partkey LEFT JOIN e ON e.slide_id = p_partkey""")
+def q21_validate(spark: SparkSession, d: str) -> DataFrame:
+    lv = pyramid.build(_ifds(spark, d))
+    lv = lv.withColumn("has_offsets", F.lit(True)).withColumn("has_counts", F.col("slide_id") % 9 != 0).withColumn("has_jpeg_tables", F.lit(False))
+    out = validation.check_pyramids(_table(spark, d, "part").select(F.col("p_partkey").alias("slide_id")), lv)
+    return out.select("slide_id", "is_valid", F.explode_outer("errors").alias("e")).select("slide_id", "is_valid", "e.code", "e.ifd_index", "e.detail")
+
+
+# ---- blocks and caches ---------------------------------------------------------------------------
+
+BLOCK = 262_144
+
+
+@query(f"""WITH e AS (SELECT l_orderkey % 97 AS slide_id, l_orderkey * 4099 AS o, l_quantity::BIGINT * 20011 AS n FROM lineitem),
+b AS (SELECT DISTINCT slide_id, unnest(range(o // {BLOCK}, (o + n - 1) // {BLOCK} + 1)) AS b FROM e WHERE n > 0) SELECT slide_id, count(*) AS blocks FROM b GROUP BY 1""")
+def q22_blocks(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 97).alias("slide_id"), (F.col("l_orderkey") * 4099).alias("offset"), (F.col("l_quantity").cast("long") * 20011).alias("length")
+    )
+    return requests.coalesced_reads(e, BLOCK).groupBy("slide_id").agg(F.count("*").alias("blocks"))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    key = F.concat("event_type", (F.floor("value") % 3).cast("string"))
+    op = F.when(F.col("event_id") % 3 == 0, "put").otherwise("get")
+    return e.select(F.col("user_id").alias("shard"), F.col("event_id").alias("seq"), op.alias("op"), key.alias("key"), (F.floor("value").cast("long") + 1).alias("bytes"))
+
+
+@query("""WITH r AS (SELECT user_id AS shard, event_id AS seq, event_type || (floor(value)::BIGINT % 3) AS key, lag(event_id) OVER (PARTITION BY user_id, event_type || (floor(value)::BIGINT % 3) ORDER BY event_id) AS prev FROM events),
+d AS (SELECT a.shard, a.seq, count(DISTINCT b.key) AS n FROM r a JOIN r b ON a.shard = b.shard AND b.seq > a.prev AND b.seq < a.seq GROUP BY 1, 2)
+SELECT r.shard, r.seq, r.key, prev IS NOT NULL AND coalesce(n, 0) < 4 AS hit FROM r LEFT JOIN d ON d.shard = r.shard AND d.seq = r.seq""")
+def q23_lru(spark: SparkSession, d: str) -> DataFrame:
+    return caches.replay_lru(_log(spark, d), 4).select("shard", "seq", "key", "hit")
+
+
+@query(None)
+def q24_bytes_lru(spark: SparkSession, d: str) -> DataFrame:
+    out = caches.replay_bytes_lru(_log(spark, d), 1500)
+    return out.select("shard", "seq", "op", "key", "hit", F.size("evicted").alias("n_evicted"))
+
+
+@query(None)
+def q24_block_fifo(spark: SparkSession, d: str) -> DataFrame:
+    return caches.replay_block_fifo(_log(spark, d), 4).select("shard", "seq", "key", "hit", F.size("evicted").alias("n_evicted"))
+
+
+# ---- bytes ---------------------------------------------------------------------------------------
+
+
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"))
+    full = F.col("doc_id") % 3 == 0
+    scan = F.when(full, F.lit(b"\xff\xd8\xff\xdb\x00\x04\x01\x02\xff\xda")).otherwise(F.lit(b"\xff\xd8\xff\xda"))
+    return t.select("doc_id", F.lit(b"\xff\xd8\xff\xdb\x00\x04\x07\x08\xff\xd9").alias("jpeg_tables"), F.concat(scan, "body", F.lit(b"\xff\xd9")).alias("data"))
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS complete, doc_id % 3 <> 0 AS abbreviated, 'jpeg' AS format, sha256(CASE WHEN doc_id % 3 = 0 THEN unhex('FFD8FFDB00040102FFDA') ELSE unhex('FFD8FFDB00040708FFDA') END || encode(coalesce(text, '')) || unhex('FFD9')) AS prepared_sha256 FROM documents""")
+def q25_jpeg_repair(spark: SparkSession, d: str) -> DataFrame:
+    t = _tiles(spark, d)
+    return t.select(
+        "doc_id", jpeg.is_complete(F.col("data")).alias("complete"), jpeg.is_abbreviated("data").alias("abbreviated"), jpeg.tile_format(F.col("data")).alias("format"),
+        F.sha2(jpeg.prepared(F.col("jpeg_tables"), F.col("data")), 256).alias("prepared_sha256"),
+    )
+
+
+@query(f"""WITH {_CLASSIFIED}, w AS (SELECT slide_id, greatest(width, height) AS longer, 16 + slide_id % 3000 AS max_size FROM levels WHERE level = 0),
+s AS (SELECT *, greatest(64, least(2048, max_size)) AS size FROM w), b AS (SELECT s.slide_id, s.max_size, s.size, coalesce(arg_min(level, downsample) FILTER (downsample >= 0.99 * (longer / size)), max(level)) AS level FROM s JOIN levels l ON l.slide_id = s.slide_id GROUP BY 1, 2, 3)
+SELECT b.slide_id, max_size, size, size <> max_size AS clamped, b.level, tiles_x = 1 AND tiles_y = 1 AS single_tile, round(width * (size / greatest(width, height)))::BIGINT AS out_width, round(height * (size / greatest(width, height)))::BIGINT AS out_height
+FROM b JOIN levels l ON l.slide_id = b.slide_id AND l.level = b.level""")
+def q26_thumbnails(spark: SparkSession, d: str) -> DataFrame:
+    lv = pyramid.build(_ifds(spark, d))
+    wanted = lv.filter("level = 0").select("slide_id", (16 + F.col("slide_id") % 3000).alias("max_size"))
+    return requests.thumbnail_plan(wanted, lv).withColumn("level", F.col("level").cast("int"))
+
+
+@query("""SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_sha256 FROM pages""")
+def q27_html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", F.sha2(text.html_escape(F.col("html")), 256).alias("escaped_sha256"))
+
+
+@query("SELECT event_id, floor(value)::BIGINT % 110 BETWEEN 1 AND 100 AS valid, greatest(1, least(100, floor(value)::BIGINT % 110)) AS clamped FROM events")
+def q28_quality(spark: SparkSession, d: str) -> DataFrame:
+    q = F.floor("value").cast("long") % 110
+    return _table(spark, d, "events").select("event_id", g.is_valid_quality(q).alias("valid"), g.clamp_quality(q).alias("clamped"))
+
+
