@@ -151,3 +151,12 @@ def test_settings():
     with pytest.raises(ValueError):
         config.Settings("b", quality=0)
     assert config.Settings("b", endpoint="http://e").spark_options()["spark.hadoop.fs.s3a.path.style.access"] == "true"
+
+
+def test_report_and_headers(spark):
+    s = spark.createDataFrame([("a", "Aperio SVS", None), ("b", None, "invalid_magic"), ("c", "Aperio SVS", None)], "slide_id string, format string, error string")
+    p = spark.createDataFrame([("a", True), ("c", False)], "slide_id string, is_valid boolean")
+    assert {(r.format, r.outcome): r.slides for r in views.check(s, p).collect()} == {("Aperio SVS", "ok"): 1, ("unknown", "invalid_magic"): 1, ("Aperio SVS", "unsupported_format"): 1}
+    plan = spark.createDataFrame([(10, 64, True), (100, 100, False)], "max_size long, size long, clamped boolean")
+    assert [(r.requested_size, r.actual_size) for r in views.thumbnail_headers(plan).collect()] == [(10, 64), (None, None)]
+    assert caches.cache_stats(spark.createDataFrame([(3,), (4,)], "length long")).first().asDict() == {"size": 7, "entries": 2}

@@ -58,3 +58,10 @@ def test_signed_url(spark):
     df = spark.createDataFrame([("/tiles/a", [("q", "a b")])], f"path string, params {PARAMS}")
     r = views.sign_urls(df, "k", now=10, ttl=5, base="http://h/").first()
     assert r.url == f"http://h/tiles/a?q=a+b&exp=15&sig={r.sig}" and r.sig == mac("/tiles/a?exp=15&q=a b")
+
+
+def test_plain_url_and_presence(spark):
+    df = spark.createDataFrame([("/tiles/a", [("q", "a b")])], f"path string, params {PARAMS}")
+    assert views.plain_urls(df, "k", now=10, ttl=5).first().url.startswith("/tiles/a?q=a b&exp=15&sig=")
+    got = spark.createDataFrame([("sig=1&exp=2",), ("exp=2",), (None,)], "q string").select(s.has_signature(F.col("q"))).collect()
+    assert [r[0] for r in got] == [True, False, False]

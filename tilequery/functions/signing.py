@@ -95,3 +95,8 @@ def access_decision(secret: str, path: Column, params: Column, now: Column) -> C
         .when(~given.rlike(r"^([0-9a-fA-F]{2})*\z"), "invalid_signature_format")
         .when(F.lower(given) != wanted, "invalid_signature")
     )
+
+
+def has_signature(query: Column) -> Column:
+    """Whether a raw query string carries a signature at all."""
+    return F.coalesce(F.contains(query, F.lit("sig=")) & F.contains(query, F.lit("exp=")), F.lit(False))

@@ -58,3 +58,23 @@ def sign_urls(rows: DataFrame, secret: str, now: int, ttl: int = CACHE_SECONDS,
         "*", exp.alias("exp"), signing.sign(secret, F.col("path"), F.col("params"), exp).alias("sig"),
         signing.signed_url(base, secret, F.col("path"), F.col("params"), exp).alias("url"),
     )
+
+
+def plain_urls(rows: DataFrame, secret: str, now: int, ttl: int = CACHE_SECONDS, base: str = "") -> DataFrame:
+    """The same for reading by people: parameters as they are, not encoded."""
+    exp = F.lit(now + ttl).cast("long")
+    pairs = F.transform("params", lambda p: F.concat(p["k"], F.lit("="), p["v"]))
+    tail = F.array(F.concat(F.lit("exp="), exp.cast("string")), F.concat(F.lit("sig="), signing.sign(secret, F.col("path"), F.col("params"), exp)))
+    return rows.select("*", F.concat(F.lit(base.rstrip("/")), F.col("path"), F.lit("?"), F.array_join(F.concat(pairs, tail), "&")).alias("url"))
+
+
+def thumbnail_headers(plan: DataFrame) -> DataFrame:
+    """What a response says of a thumbnail whose size was brought into range."""
+    return plan.withColumn("requested_size", F.when(F.col("clamped"), F.col("max_size"))).withColumn("actual_size", F.when(F.col("clamped"), F.col("size")))
+
+
+def check(slides: DataFrame, pyramids: DataFrame) -> DataFrame:
+    """A report of a collection: slides (slide_id, format, error) and validation results, counted by outcome."""
+    both = slides.join(pyramids.select("slide_id", "is_valid"), "slide_id", "left")
+    outcome = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("is_valid"), "ok").otherwise("unsupported_format")
+    return both.groupBy(F.coalesce("format", F.lit("unknown")).alias("format"), outcome.alias("outcome")).agg(F.count("*").alias("slides"))
