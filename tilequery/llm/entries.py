@@ -23,7 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE,
+    "op3_near_dup": near_dup.ORACLE,
     "op4_warc_fixity": warc_fixity.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
 }

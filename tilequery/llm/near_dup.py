@@ -283,3 +283,28 @@ def _texts(df: DataFrame, text: str, doc_id: str, nodes: DataFrame, pairs: DataF
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+#: All pairs by an exact join of shingles, both similarities, and the closure of the links; for small tables.
+ORACLE = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), k AS (SELECT doc_id, array_to_string(w, ' ') AS key FROM d), n AS (SELECT DISTINCT array_to_string(w, ' ') AS key, w FROM d),
+s AS (
+  SELECT key, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT key, w, unnest(range(1, len(w) - 3)) AS i FROM n)
+  UNION ALL SELECT key, key FROM n WHERE len(w) BETWEEN 1 AND 4
+), c AS (SELECT md5(key) AS key, s, 1 + ln(count(*)) AS x FROM s GROUP BY ALL), z AS (SELECT key, count(*) AS n, max(x) AS most FROM c GROUP BY 1),
+p AS (
+  SELECT a.key AS a, b.key AS b, count(*) AS shared FROM c a JOIN c b ON a.s = b.s AND a.key < b.key GROUP BY ALL
+), j AS (SELECT a, b, shared / (y.n + z.n - shared) AS j, greatest(y.most, z.most) > 1 AS often FROM p JOIN z y ON y.key = a JOIN z ON z.key = b),
+near AS (SELECT a, b FROM j WHERE j < 0.8 AND often AND j >= 0.4),
+u AS (SELECT near.a, near.b, s, sum(x) FILTER (key = near.a) AS x, sum(x) FILTER (key = near.b) AS y FROM near JOIN c ON key IN (near.a, near.b) GROUP BY ALL),
+g AS (SELECT a, b, coalesce(x, 0) AS x, coalesce(y, 0) AS y, count(*) AS n FROM u GROUP BY ALL),
+weighted AS (
+  SELECT a, b, sum(n / total) AS j FROM (SELECT i.a, i.b, i.x, i.y, i.n, sum(greatest(o.x / i.x, o.y / i.y) * o.n) AS total FROM g i JOIN g o ON o.a = i.a AND o.b = i.b WHERE i.x > 0 AND i.y > 0 GROUP BY ALL) GROUP BY ALL
+), l AS (SELECT a, b FROM j WHERE j >= 0.8 UNION SELECT a, b FROM weighted WHERE j >= 0.8),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT key, doc_id, coalesce((SELECT least(min(r.b), md5(key)) FROM r WHERE r.a = md5(key)), md5(key)) AS c FROM k)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS class_id, count(*) OVER (PARTITION BY c) AS class_size FROM m
+"""

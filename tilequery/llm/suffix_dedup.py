@@ -368,3 +368,22 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All strings of a small table, counted by digest; bytes are pairs of hex digits.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT k, n, c, substr(x, 2 * c + 1, {2 * (256 + LENGTH)}) AS x FROM (SELECT k, x, n, unnest(range(0, n - {LENGTH - 1}, 256)) AS c FROM d)),
+w AS (SELECT k, c + i AS i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT k, x, c, unnest(range(0, least(256, n - {LENGTH - 1} - c))) AS i FROM c)),
+often AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT k, i, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i) > {LENGTH}, true) AS fresh FROM w WHERE h IN (SELECT h FROM often)),
+g AS (SELECT k, i, sum(fresh::INT) OVER (PARTITION BY k ORDER BY i) AS g FROM r),
+spans AS (SELECT k, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY k, g),
+s AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS start FROM spans),
+t AS (
+  SELECT d.k, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM s JOIN d ON d.k = s.k GROUP BY d.k
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t ON t.k = d.k
+"""
