@@ -403,3 +403,71 @@ def q28_quality(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").select("event_id", g.is_valid_quality(q).alias("valid"), g.clamp_quality(q).alias("clamped"))
 
 
+
+
+# ---- more of directories, extents, addresses -------------------------------------------------------
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Tag entries of two directories a slide; the width stands twice, the later value counts."""
+    k = F.col("p_partkey")
+    entry = lambda n, tag, v: F.struct(F.lit(n).alias("entry_index"), F.lit(tag).alias("tag_id"), v.cast("long").alias("value"))
+    listed = F.array(
+        entry(0, 256, F.lit(1)), entry(1, 257, 300 + k % 900), entry(2, 259, dims.lookup((k % 3).cast("int"), {0: 7, 1: 5, 2: 33003})), entry(3, 256, 400 + k % 700 + F.col("ifd_index")),
+        entry(4, 322, F.lit(256)), entry(5, 323, F.when(k % 4 == 0, 250).otherwise(256)), entry(6, 324, F.lit(0)), F.when(k % 5 == 0, entry(7, 273, F.lit(0))).otherwise(entry(7, 325, F.lit(0))),
+    )
+    p = _table(spark, d, "part").select("p_partkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("ifd_index"))
+    return p.select(k.alias("slide_id"), "ifd_index", F.explode(listed).alias("e")).select("slide_id", "ifd_index", "e.*")
+
+
+_PIVOTED = """pivoted AS (SELECT p_partkey AS slide_id, i::INT AS ifd_index, 400 + p_partkey % 700 + i AS width, 300 + p_partkey % 900 AS height, 256 AS tile_width,
+ CASE WHEN p_partkey % 4 = 0 THEN 250 ELSE 256 END AS tile_height, CASE p_partkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 5 ELSE 33003 END AS compression, p_partkey % 5 <> 0 AS has_tiles, p_partkey % 5 = 0 AS is_stripped FROM part, range(2) r(i))"""
+
+
+@query(f"WITH {_PIVOTED} SELECT * FROM pivoted")
+def q29_pivot_tags(spark: SparkSession, d: str) -> DataFrame:
+    out = pyramid.pivot_tags(_entries(spark, d))
+    return out.select("slide_id", "ifd_index", "width", "height", "tile_width", "tile_height", "compression", "has_tiles", "is_stripped")
+
+
+@query(f"""WITH {_PIVOTED} SELECT slide_id, ifd_index, CASE WHEN compression = 5 THEN 'unsupported_compression' WHEN NOT has_tiles THEN 'missing_tile_tags' END AS error,
+((compression = 5)::INT + (NOT has_tiles)::INT)::INT AS n_errors, (tile_height % 16 <> 0)::INT AS n_warnings FROM pivoted""")
+def q30_validate_ifds(spark: SparkSession, d: str) -> DataFrame:
+    i = pyramid.pivot_tags(_entries(spark, d)).withColumn("has_offsets", F.lit(True)).withColumn("has_counts", F.col("has_tiles"))
+    out = validation.strict(validation.check_ifds(i))
+    return out.select("slide_id", "ifd_index", F.col("error.code").alias("error"), F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
+
+
+@query(f"""WITH {_RESOLVED} SELECT request_id, status, "offset", length FROM (SELECT request_id, CASE error WHEN 'not_found' THEN 404 WHEN 'invalid_quality' THEN 400 WHEN 'invalid_level' THEN 400 WHEN 'tile_out_of_bounds' THEN 400 ELSE 200 END AS status,
+CASE WHEN error IS NULL AND level > 1 THEN 1000 + i * 4096 END AS "offset", CASE WHEN error IS NULL AND level > 1 THEN 100 + i % 977 END AS length FROM resolved)""")
+def q31_tile_extents(spark: SparkSession, d: str) -> DataFrame:
+    """Extents from offset and count arrays; arrays of the two largest levels are left out of this projection."""
+    lv = pyramid.build(_ifds(spark, d))
+    index = F.sequence(F.lit(0).cast("long"), F.col("tile_count") - 1)
+    arrays = lv.filter("level > 1").select(
+        "slide_id", "level", "tiles_x", F.transform(index, lambda i: 1000 + i * 4096).alias("offsets"), F.transform(index, lambda i: 100 + i % 977).alias("byte_counts")
+    )
+    out = requests.locate(requests.resolve(_requests(spark, d), lv), pyramid.tile_extents(arrays))
+    good = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    return out.select("request_id", "status", good("offset"), good("length"))
+
+
+@query(f"""WITH {_URLS} SELECT event_id, 'http://host' || path || '?quality=' || quality || '&event=' || event_type || '&exp=' || exp || '&sig=' || {_hmac_sql('base')} AS url FROM signed""")
+def q32_signed_urls(spark: SparkSession, d: str) -> DataFrame:
+    u = _urls(spark, d)
+    return u.select("event_id", signing.signed_url("http://host/", SECRET, F.col("path"), F.col("params"), F.col("exp")).alias("url"))
+
+
+@query(f"WITH {_SLIDES} SELECT count(*) FILTER (regexp_matches(lower(slide_id), '\\.(svs|tif|tiff)$')) AS slides FROM (SELECT slide_id FROM slides ORDER BY slide_id LIMIT 1000)")
+def q33_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.connectivity(_slides(spark, d).select("slide_id"))
+
+
+@query("SELECT sum(floor(value)::BIGINT + 1)::BIGINT AS size, count(*) AS entries FROM events")
+def q34_cache_stats(spark: SparkSession, d: str) -> DataFrame:
+    return caches.cache_stats(_log(spark, d).withColumnRenamed("bytes", "length"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in dims.ERRORS.items()) + ") AS e(error, status)")
+def q35_error_statuses(spark: SparkSession, d: str) -> DataFrame:
+    return dims.errors(spark)
