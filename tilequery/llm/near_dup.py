@@ -25,6 +25,8 @@ BANDS, ROWS = 30, 5
 #: Estimates below this are not verified: five standard deviations under the threshold.
 LEAST_ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 BLOCK = 1024
+#: Bits of a text's bitmap of shingles.
+BITS = 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +66,7 @@ def prob_minhash(element: np.ndarray, weight: np.ndarray, text: np.ndarray, n_te
 
 
 def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE_WORDS) -> DataFrame:
-    """A row per row of df: key (md5 of its words), doc_id, h (of the text), bands, sketch (a byte per register)."""
+    """A row per row of df: key (md5 of its words), doc_id, h (of the text), bands, sketch (a byte per register), and number and weight of its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.arange(bands, dtype=np.uint64) * GOLDEN
@@ -77,8 +79,8 @@ def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: i
                 band = mark[None, :].repeat(n, 0)
                 for r in range(rows):
                     band = mix64(band * np.uint64(31) + who[:, r::rows] + np.uint64(r))
-                has = np.diff(offsets) > 0
-                has &= np.bincount(of, minlength=n) > 0
+                size = np.bincount(of, minlength=n)
+                has = size > 0
                 listed = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
                 data = raw.tobytes()
                 keys = [hashlib.md5(b" ".join(data[a:b].lower().split())).digest() for a, b in zip(offsets[:-1], offsets[1:])]
@@ -87,12 +89,13 @@ def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: i
                         pa.array(keys, pa.binary()), batch.column(0), batch.column(1),
                         pa.ListArray.from_arrays(pa.array(listed, pa.int32()), pa.array(band[has].ravel().view(np.int64))),
                         pa.array([x.tobytes() for x in (mix64(who) & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                        pa.array(size), pa.array(np.bincount(of, 1.0 + np.log(count), n)),
                     ],
-                    names=["key", "doc_id", "h", "bands", "sketch"],
+                    names=["key", "doc_id", "h", "bands", "sketch", "size", "weight"],
                 )
 
     own = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
-    return own.mapInArrow(run, "key binary, doc_id long, h long, bands array<long>, sketch binary")
+    return own.mapInArrow(run, "key binary, doc_id long, h long, bands array<long>, sketch binary, size long, weight double")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -172,13 +175,53 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("key", "label")
 
 
-def crossing(rows: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
+def unshared(texts: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(key, lone, lone_weight): number and weight of the shingles that no other of the texts has; none: no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t", 2 << 20):
+                raw, offsets = string_buffers(batch.column(1))
+                shingle, of, count = weighted_shingles(raw, offsets, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingle.view(np.int64)), batch.column(0).take(pa.array(of)), pa.array(1.0 + np.log(count))], names=["shingle", "key", "w"]
+                )
+
+    rows = texts.select("key", "t").mapInArrow(run, "shingle long, key binary, w double")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("w").alias("w")).filter("n = 1")
+    return once.groupBy("key").agg(F.count("*").alias("lone"), F.sum("w").alias("lone_weight"))
+
+
+def bitmaps(texts: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(key, bits): which of BITS values the hashes of a text's shingles take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t", 2 << 20):
+                raw, offsets = string_buffers(batch.column(1))
+                shingle, of, _ = weighted_shingles(raw, offsets, k)
+                flags = np.zeros((batch.num_rows, BITS), bool)
+                flags[of, (shingle % np.uint64(BITS)).astype(np.int64)] = True
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.packbits(flags, axis=1)], pa.binary())], names=["key", "bits"])
+
+    return texts.select("key", "t").mapInArrow(run, "key binary, bits binary")
+
+
+def crossing(rows: DataFrame, least: float = LEAST_ESTIMATE, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs in buckets that hold several components, between components only.
 
     A bucket's main component is not compared with itself. The others (outside) meet all
     rows of the bucket, in blocks of BLOCK rows a side, so a task holds two blocks
-    however large the bucket is. Emitted are pairs whose sketches agree enough.
+    however large the bucket is. Emitted are pairs whose sketches agree enough and that
+    can be as similar as the threshold: they share at most the shingles that each has in
+    common with any other text (size - lone), so their Jaccard similarity is at most
+    c / (a + b - c), and their probability Jaccard at most the smaller share of weight; and
+    they differ in at least x shingles, the bits in which their bitmaps differ, so their
+    Jaccard similarity is at most (a + b - x) / (a + b + x).
+    Variants of one text whose own changes make them unlike all others drop out here, before
+    they meet the others.
     """
+    threshold -= 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -187,6 +230,8 @@ def crossing(rows: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
             t = t.combine_chunks()
             keys, comps, left = t["key"].to_pylist(), t["comp"].to_pylist(), np.asarray(t["left"])
             sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(keys), -1)
+            size, shared, weight, part = (np.asarray(t[c]) for c in ("size", "shared", "weight", "part"))
+            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(len(keys), -1)
             group = np.stack([np.asarray(t[c]) for c in ("bkey", "i", "j")], 1)
             new = np.ones(len(keys), bool)
             new[1:] = (group[1:] != group[:-1]).any(1)
@@ -194,7 +239,16 @@ def crossing(rows: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
             for s, e in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(keys))):
                 out, all_ = np.flatnonzero(left[s:e]) + s, np.flatnonzero(~left[s:e]) + s
                 for x in out:
-                    near = all_[(sketch[all_] == sketch[x]).mean(1) >= least] if len(all_) else all_
+                    most = np.minimum(shared[all_], shared[x])
+                    can = most >= threshold * (size[all_] + size[x] - most)
+                    # all counts 1: both similarities are one
+                    uneven = (weight[all_] > size[all_]) | (weight[x] > size[x])
+                    can |= uneven & (np.minimum(part[all_] / weight[all_], part[x] / weight[x]) >= threshold)
+                    near, uneven = all_[can], uneven[can]
+                    if len(near):
+                        differ, both = np.bitwise_count(bits[near] ^ bits[x]).sum(1, dtype=np.int64), size[near] + size[x]
+                        can = uneven | (both - differ >= threshold * (both + differ))
+                        near = near[can & ((sketch[near] == sketch[x]).mean(1) >= least)]
                     for y in near:
                         if comps[x] != comps[y]:
                             a.append(min(keys[x], keys[y])), b.append(max(keys[x], keys[y]))
@@ -217,10 +271,11 @@ def crossing(rows: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
             yield pairs(rest)
 
     blocks, out_blocks = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_out") / BLOCK)
-    own = F.xxhash64("key")
+    own, sizes = F.xxhash64("key"), ["size", "shared", "weight", "part", "bits"]
+    rows = rows.filter((F.col("shared") >= threshold * F.col("size")) | (F.col("part") >= threshold * F.col("weight")))
     base = rows.withColumn("bj", F.pmod(own, blocks).cast("int")).withColumn("bi", F.pmod(own, out_blocks).cast("int"))
-    right = base.select("bkey", F.explode(F.sequence(F.lit(0), out_blocks.cast("int") - 1)).alias("i"), F.col("bj").alias("j"), "key", "comp", "sketch", F.lit(False).alias("left"))
-    left = base.filter("comp <> main").select("bkey", F.col("bi").alias("i"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("j"), "key", "comp", "sketch", F.lit(True).alias("left"))
+    right = base.select("bkey", F.explode(F.sequence(F.lit(0), out_blocks.cast("int") - 1)).alias("i"), F.col("bj").alias("j"), "key", "comp", "sketch", *sizes, F.lit(False).alias("left"))
+    left = base.filter("comp <> main").select("bkey", F.col("bi").alias("i"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("j"), "key", "comp", "sketch", *sizes, F.lit(True).alias("left"))
     dealt = right.union(left).repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -241,7 +296,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     an empty table; other columns are ignored.
     """
     rows = cut(sketches(df, text, doc_id), "sketches")
-    nodes = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "size", "weight")]), "nodes")
     members = nodes.select("key", F.explode("bands").alias("bkey"))
     sizes = members.groupBy("bkey").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(members.join(sizes, "bkey"), "members")
@@ -250,16 +305,20 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     pivots = members.join(central, "key").groupBy("bkey").agg(F.max(F.struct("c", "key")).alias("p")).select("bkey", F.col("p.key").alias("a"))
     star = members.join(pivots, "bkey").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
     star = cut(estimated(star, nodes), "star")
-    links = cut(verified(star, _texts(df, text, doc_id, nodes, star), threshold), "links")
+    texts = _texts(df, text, doc_id, nodes, members)
+    links = cut(verified(star, texts, threshold), "links")
     labels = components(links)
     rest = members.join(labels, "key", "left").select("bkey", "key", "n", F.coalesce("label", "key").alias("comp"))
     mains = rest.groupBy("bkey", "comp").agg(F.count("*").alias("k"), F.max("n").alias("n")).groupBy("bkey").agg(
         F.max(F.struct("k", "comp")).alias("m"), F.max("n").alias("total")
     )
     mains = mains.filter("m.k < total").select("bkey", F.col("m.comp").alias("main"), (F.col("total") - F.col("m.k")).alias("n_out"))
-    rest = rest.join(mains, "bkey").join(nodes.select("key", "sketch"), "key")
-    more = cut(crossing(rest), "crossing")
-    more_links = cut(verified(more, _texts(df, text, doc_id, nodes, more), threshold), "links")
+    rest = cut(rest.join(mains, "bkey"), "rest")
+    open_texts = texts.join(rest.select("key").distinct(), "key", "left_semi")
+    sizes = nodes.select("key", "sketch", "size", "weight").join(bitmaps(open_texts), "key").join(unshared(open_texts), "key", "left")
+    sizes = sizes.withColumn("shared", F.col("size") - F.coalesce("lone", F.lit(0))).withColumn("part", F.col("weight") - F.coalesce("lone_weight", F.lit(0.0)))
+    more = cut(crossing(rest.join(sizes.drop("lone", "lone_weight"), "key"), threshold=threshold), "crossing")
+    more_links = cut(verified(more, texts, threshold), "links")
     labels = components(links.union(more_links))
     known = rows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("n"))
     known = known.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -273,10 +332,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     )
 
 
-def _texts(df: DataFrame, text: str, doc_id: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, t) of the keys that occur in pairs, each from its first document."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = nodes.select("key", "rep.doc_id", "rep.h").join(needed, "key", "left_semi")
+def _texts(df: DataFrame, text: str, doc_id: str, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, t) of the keys in buckets with others, each from its first document."""
+    needed = nodes.select("key", "rep.doc_id", "rep.h").join(members.select("key").distinct(), "key", "left_semi")
     own = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
     return cut(own.join(needed, ["doc_id", "h"]).select("key", "t").dropDuplicates(["key"]), "texts")
 

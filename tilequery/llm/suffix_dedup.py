@@ -119,11 +119,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, last start, anchor, anchor hash, context hash) of runs of strings with one anchor."""
+    """(text, first start, last start, anchor, anchor hash, context hash, last start of the first context, contexts) of runs of strings with one anchor and context."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none, none
+        return (none,) * 8
     prefix, down = prefix_hashes(raw), powers(BASE_INVERSE, n + 1)
     grams = mix64((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
     shift = np.uint64(30)
@@ -136,8 +136,14 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     first = np.flatnonzero(new & valid)
     ends = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
     context = mix64((prefix[ends + length] - prefix[first]) * down[first] + ((anchor[first] - first) << 12 | (ends - first)).astype(np.uint64))
-    base = offsets[text[first]]
-    return text[first], first - base, ends - base, anchor[first] - base, grams[anchor[first]].view(np.int64), context.view(np.int64)
+    of, gram = text[first], grams[anchor[first]].view(np.int64)
+    # in periodic text one context follows itself: such a run is one row, and repeated in any case
+    fresh = np.ones(len(first), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (first[1:] != ends[:-1] + 1)
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(first)) - 1 if len(head) else head
+    base = offsets[of[head]]
+    return of[head], first[head] - base, ends[tail] - base, anchor[first[head]] - base, gram[head], context.view(np.int64)[head], ends[head] - base, tail - head + 1
 
 
 def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -153,21 +159,22 @@ def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, h, t). A row per anchor: hash, context hash, document, string starts first..last, anchor."""
+    """docs: (doc_id, h, t). A row per anchor, or run of n anchors with equal contexts one after another: hash, context hash, document, string starts first..last (own_last: of the first context), anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, start, raw, offsets in _pieces(batch, 1 << 20):
-                text, first, last, anchor, gram, context = anchors(raw, offsets, LENGTH, GRAM)
+                text, first, last, anchor, gram, context, own_last, n = anchors(raw, offsets, LENGTH, GRAM)
                 if len(text):
                     row = pa.array(text)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(gram), pa.array(context), part.column(0).take(row), part.column(1).take(row),
-                         pa.array(start[text] + first), pa.array(start[text] + last), pa.array(start[text] + anchor)],
-                        names=["gram", "context", "doc_id", "h", "first", "last", "anchor"],
+                         pa.array(start[text] + first), pa.array(start[text] + last), pa.array(start[text] + anchor),
+                         pa.array(start[text] + own_last), pa.array(n)],
+                        names=["gram", "context", "doc_id", "h", "first", "last", "anchor", "own_last", "n"],
                     )
 
-    return docs.mapInArrow(run, "gram long, context long, doc_id long, h long, first long, last long, anchor long")
+    return docs.mapInArrow(run, "gram long, context long, doc_id long, h long, first long, last long, anchor long, own_last long, n long")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +291,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, h, spans): byte spans, overlapping and in no order, of the documents (doc_id, h, t) that have repeated strings."""
     found = cut(find_anchors(docs), "anchors")
     kinds = cut(
-        found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "first", "last", "anchor")).alias("r")), "contexts"
+        found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "h", "first", F.col("own_last").alias("last"), "anchor")).alias("r")), "contexts"
     )
     whole = found.join(kinds.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     whole = whole.select("doc_id", "h", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))
