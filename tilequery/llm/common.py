@@ -130,6 +130,8 @@ class Words:
     """
 
     _cache: dict[str, np.ndarray] = {}
+    #: Powers for texts of so many bytes are kept from call to call.
+    _KEPT = 1 << 21
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = True, closing: np.ndarray | None = None) -> None:
         cache = self._cache
@@ -142,8 +144,11 @@ class Words:
             space[[9, 10, 11, 12, 13, 32]] = True
             cache["space"] = space
         n = len(raw)
-        if len(cache.get("up", ())) < n + 1:
-            cache["up"], cache["down"] = powers(BASE, n + 1), powers(BASE_INVERSE, n + 1)
+        up, down = cache.get("up", ()), cache.get("down", ())
+        if len(up) < n + 1:
+            up, down = powers(BASE, n + 1), powers(BASE_INVERSE, n + 1)
+            if n <= self._KEPT:  # a worker lives on after a long text
+                cache["up"], cache["down"] = up, down
         is_word = ~cache["space"][raw]
         # a word ends where its text ends
         first = np.zeros(n + 1, bool)
@@ -159,9 +164,9 @@ class Words:
         if closing is not None:  # such a last byte of a longer word is not part of it
             ends = ends - ((ends - starts > 1) & closing[raw[ends - 1]])
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(cache["folded" if fold else "values"][raw] * cache["up"][:n], out=prefix[1:])
+        np.cumsum(cache["folded" if fold else "values"][raw] * up[:n], out=prefix[1:])
         self.starts, self.ends = starts, ends
-        self.hash = mix64((prefix[ends] - prefix[starts]) * cache["down"][starts] + (ends - starts).astype(np.uint64))
+        self.hash = mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         #: index of each text's first word; one more entry closes the last text
         self.first = np.searchsorted(starts, offsets)
 

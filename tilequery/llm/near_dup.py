@@ -25,6 +25,8 @@ BANDS, ROWS = 30, 5
 #: Estimates below this are not verified: five standard deviations under the threshold.
 LEAST_ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 BLOCK = 1024
+#: Bytes of text that a task works on at once; a longer text is worked on alone.
+SLICE = 1 << 20
 #: Bits of a text's bitmap of shingles.
 BITS = 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -71,7 +73,7 @@ def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.arange(bands, dtype=np.uint64) * GOLDEN
         for whole in batches:
-            for batch in slices(whole, "t", 4 << 20):
+            for batch in slices(whole, "t", SLICE):
                 n = batch.num_rows
                 raw, offsets = string_buffers(batch.column(2))
                 shingle, of, count = weighted_shingles(raw, offsets, k)
@@ -125,18 +127,17 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, k
     """The pairs (a, b) of keys whose whole texts are as similar as the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "tb", 8 << 20):
-                sides = [batch.column(2).to_pylist(), batch.column(3).to_pylist()]
-                number: dict[str, int] = {}
-                for t in sides[0] + sides[1]:
-                    number.setdefault(t, len(number))
-                raw, offsets = string_buffers(pa.array(list(number), pa.large_string()))
-                shingle, of, count = weighted_shingles(raw, offsets, k)
-                first = np.searchsorted(of, np.arange(len(number) + 1))
-                own = [(shingle[i:j], count[i:j]) for i, j in zip(first[:-1], first[1:])]
-                keep = [similarity(own[number[x]], own[number[y]]) >= threshold for x, y in zip(*sides)]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in (part for whole in batches for half in slices(whole, "ta", SLICE) for part in slices(half, "tb", SLICE)):
+            sides = [batch.column(2).to_pylist(), batch.column(3).to_pylist()]
+            number: dict[str, int] = {}
+            for t in sides[0] + sides[1]:
+                number.setdefault(t, len(number))
+            raw, offsets = string_buffers(pa.array(list(number), pa.large_string()))
+            shingle, of, count = weighted_shingles(raw, offsets, k)
+            first = np.searchsorted(of, np.arange(len(number) + 1))
+            own = [(shingle[i:j], count[i:j]) for i, j in zip(first[:-1], first[1:])]
+            keep = [similarity(own[number[x]], own[number[y]]) >= threshold for x, y in zip(*sides)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ta, tb = texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), texts.select(F.col("key").alias("b"), F.col("t").alias("tb"))
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
@@ -180,7 +181,7 @@ def unshared(texts: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+            for batch in slices(whole, "t", SLICE):
                 raw, offsets = string_buffers(batch.column(1))
                 shingle, of, count = weighted_shingles(raw, offsets, k)
                 yield pa.RecordBatch.from_arrays(
@@ -197,7 +198,7 @@ def bitmaps(texts: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+            for batch in slices(whole, "t", SLICE):
                 raw, offsets = string_buffers(batch.column(1))
                 shingle, of, _ = weighted_shingles(raw, offsets, k)
                 flags = np.zeros((batch.num_rows, BITS), bool)
