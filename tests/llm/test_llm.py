@@ -211,6 +211,19 @@ def test_importance(spark, docs, empty):
     assert importance.importance_resample(made, labels, k=100).filter("kept").count() == 100
 
 
+@pytest.mark.parametrize("marks", [True, False])
+def test_importance_sees_word_order(spark, marks):
+    """Good and bad texts of the same words, equally often, in other pairs."""
+    def body(i):
+        starts = rnd.sample(range(40), 20)
+        return " ".join(f"first{s} second{(s + i % 2) % 40}" for s in starts)
+
+    made = spark.createDataFrame([(i, body(i)) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in importance.importance_resample(made, labels, marks=marks).collect() if r.kept}
+    assert len([i for i in range(600, 900, 2) if i in kept]) >= 145 and len([i for i in range(601, 900, 2) if i in kept]) <= 5
+
+
 def test_kth_largest(spark):
     xs = [rnd.choice([0.5, 1e9, -3.25, rnd.gauss(0, 1)]) for _ in range(500)]
     keys = spark.createDataFrame([(x,) for x in xs], "key double")

@@ -1,7 +1,7 @@
 """Operator 5: quality classification by importance resampling.
 
-Two generative models over hashed n-grams (each counted once a document), one of labelled good text and one of all text,
-give every document an importance weight, the product of its n-grams' probability ratios.
+Two generative models over hashed n-grams (single words and pairs of neighbours, each counted once a document), one of
+labelled good text and one of all text, give every document an importance weight, the product of its n-grams' probability ratios.
 Documents are sampled without replacement by Gumbel top-k over the log weights.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, cut, id_of, slices, string_buffers, table, text_of
 
-BUCKETS = 1 << 18
+#: The lower half is for single words and marks, the upper half for pairs.
+BUCKETS = 1 << 19
 #: At most so many labelled good documents fit the target model.
 TARGET_DOCS = 20_000
 #: Pseudo-count of an n-gram in either model, on the scale of the target's counts.
@@ -33,16 +34,24 @@ SPREAD = 0.15
 TEMPERATURE = 0.25
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def features(raw: np.ndarray, offsets: np.ndarray, buckets: int, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of the n-grams of each text, each once a text: its words without
-    closing punctuation, and three marks in buckets of their own, the eighths of its words
-    that hold symbols, are shouted, or begin a run of three words that stood earlier.
+    closing punctuation and its pairs of neighbouring words. Beside them, unless marks is
+    false, three marks in buckets of their own: the eighths of its words that hold symbols,
+    are shouted, or begin a run of three words that stood earlier.
     """
     closing = np.zeros(256, bool)
     closing[[ord(c) for c in ".,;:!?"]] = True
     words = Words(raw, offsets, closing=closing)
     n = np.diff(words.first)
     of = np.repeat(np.arange(len(n)), n)
+    half = buckets // 2
+    pair, pair_of = words.shingles(2)
+    pair, pair_of = pair[n[pair_of] > 1], pair_of[n[pair_of] > 1]
+    grams = [(MARKS + words.hash % np.uint64(half - MARKS)).astype(np.int64), (half + pair % np.uint64(buckets - half)).astype(np.int64)]
+    if not marks:
+        key = np.unique(np.concatenate([of, pair_of]) * buckets + np.concatenate(grams))
+        return key % buckets, key // buckets
     kinds = np.zeros((3, 256), np.int64)
     kinds[0, [ord(c) for c in "#*$%&|<>"]] = 1
     kinds[1, 65:91] = 1
@@ -57,8 +66,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nda
     for k, (flag, whose) in enumerate(((symbols > 0, of), ((upper > 1) & (lower == 0), of), (again, run_of))):
         count = np.bincount(whose[flag], minlength=len(n))[some]
         levels.append(16 * k + np.minimum(-(-8 * count // n[some]), 8))
-    bucket = np.concatenate([(MARKS + words.hash % np.uint64(buckets - MARKS)).astype(np.int64), *levels])
-    key = np.unique(np.concatenate([of, some, some, some]) * buckets + bucket)
+    key = np.unique(np.concatenate([of, pair_of, some, some, some]) * buckets + np.concatenate([*grams, *levels]))
     return key % buckets, key // buckets
 
 
@@ -69,7 +77,7 @@ def good_ids(labels: DataFrame, most: int) -> list[int]:
     return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()]
 
 
-def ngram_counts(docs: DataFrame, good: np.ndarray, buckets: int) -> np.ndarray:
+def ngram_counts(docs: DataFrame, good: np.ndarray, buckets: int, marks: bool = True) -> np.ndarray:
     """(2, buckets) counts over all documents and over the good ones; tasks add up their own before anything moves."""
     handed = docs.sparkSession.sparkContext.broadcast(np.sort(good))
 
@@ -78,7 +86,7 @@ def ngram_counts(docs: DataFrame, good: np.ndarray, buckets: int) -> np.ndarray:
         for whole in batches:
             for batch in slices(whole, "t", 2 << 20):
                 raw, offsets = string_buffers(batch.column(2))
-                bucket, of = features(raw, offsets, buckets)
+                bucket, of = features(raw, offsets, buckets, marks)
                 chosen = np.isin(np.asarray(batch.column(0)), handed.value)[of]
                 total[0] += np.bincount(bucket, minlength=buckets)
                 total[1] += np.bincount(bucket[chosen], minlength=buckets)
@@ -108,7 +116,7 @@ def typical_share(counts: np.ndarray, least: int = 100) -> float:
     return float(share[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def log_weights(docs: DataFrame, counts: np.ndarray, good: np.ndarray, smoothing: float) -> DataFrame:
+def log_weights(docs: DataFrame, counts: np.ndarray, good: np.ndarray, smoothing: float, marks: bool = True) -> DataFrame:
     """(doc_id, h, n, log_weight); a document's own n-grams are taken out of both models before it is weighed, and
     a ratio is drawn towards 1 by DEVIATIONS times its own uncertainty, so rare n-grams say nothing."""
     buckets = counts.shape[1]
@@ -120,7 +128,7 @@ def log_weights(docs: DataFrame, counts: np.ndarray, good: np.ndarray, smoothing
         for whole in batches:
             for batch in slices(whole, "t", 2 << 20):
                 text, offsets = string_buffers(batch.column(2))
-                bucket, of = features(text, offsets, buckets)
+                bucket, of = features(text, offsets, buckets, marks)
                 own = np.isin(np.asarray(batch.column(0)), ids)[of]
                 expected = np.maximum(raw[bucket] - 1, 0) * scale + smoothing
                 ratio = np.log((np.maximum(target[bucket] - own, 0) + smoothing) / expected)
@@ -178,13 +186,14 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float | None:
 
 def importance_resample(
     df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS,
-    target_docs: int = TARGET_DOCS, smoothing: float = SMOOTHING, k: int | None = None, seed: int = 0,
+    target_docs: int = TARGET_DOCS, smoothing: float = SMOOTHING, k: int | None = None, seed: int = 0, marks: bool = True,
 ) -> DataFrame:
     """Weigh all documents and keep k of them by Gumbel top-k.
 
     labels: doc_id, quality, toxic. The target model is fitted on up to target_docs labelled
     good documents, the raw model on all documents. k: how many to keep; else as many as lie
-    on the good side of the weight that parts the labelled documents best.
+    on the good side of the weight that parts the labelled documents best. marks: whether the three marks of
+    features() count beside the n-grams.
 
     Returns a row per row of df: doc_id, h (xxhash64 of the text), log_weight, key (with its
     Gumbel noise, drawn from a hash of the row) and kept. Null and empty texts have
@@ -194,11 +203,11 @@ def importance_resample(
     """
     docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
     good = np.asarray(good_ids(labels, target_docs), np.int64)
-    counts = ngram_counts(docs, good, buckets)
+    counts = ngram_counts(docs, good, buckets, marks)
     if not counts[1].sum():
         scores = docs.select("doc_id", "h", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("log_weight"))
     else:
-        scores = log_weights(docs, counts, good, smoothing)
+        scores = log_weights(docs, counts, good, smoothing, marks)
     uniform = ((F.xxhash64("doc_id", "h", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))) + 0.5) / float(1 << 52)
     scores = cut(scores.withColumn("key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(uniform))), "weights")
     if k is None:
