@@ -400,6 +400,15 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.filter("false")).count() == 0
 
 
+def test_short_items_leak_by_either_way(spark):
+    short = ["zq1", "zq1 zq2", "zq3 zq4 zq5", "zq6 zq7 zq8 zq9", "zq1 zq9"]
+    bench = spark.createDataFrame([*enumerate(short), (9, prose(30)), (10, None)], "item_id long, text string")
+    rows = [(i, f"{prose(20)} {t} {prose(7)}") for i, t in enumerate(short)] + [(20, "zq3 zq4 zq5"), (21, "zq2 zq1"), (22, None), (23, prose(40)), (None, "a zq1 zq2 zq1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    handed, joined = (sorted(map(repr, decontaminate.leaks(df, bench, handed_bytes=n).collect())) for n in (8 << 20, 0))
+    assert handed == joined and len(handed) == 11
+
+
 # ---- words and pipeline
 
 

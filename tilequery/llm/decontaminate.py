@@ -129,18 +129,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _seeds(rows: DataFrame, k: int) -> DataFrame:
-    """rows: (x, y, t). Distinct seeds of each text: (x, y, seed)."""
+def _seeds(rows: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
+    """rows: (x, y, t). Distinct windows of each text of each of the sizes: (x, y, size, seed).
+    With whole, a text of fewer words than the size is one seed of all its words and of their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+        for rows in batches:
+            for batch in slices(rows, "t", 2 << 20):
                 raw, offsets = string_buffers(batch.column(2))
-                h, of = Words(raw, offsets).shingles(k)
-                row = pa.array(of)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h.view(np.int64))], names=["x", "y", "seed"])
+                words = Words(raw, offsets)
+                count = np.diff(words.first)
+                for size in sizes:
+                    h, of = words.shingles(size)
+                    if not whole:
+                        h, of = h[count[of] >= size], of[count[of] >= size]
+                    row, own = pa.array(of), np.minimum(count[of], size)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(own.astype(np.int32)), pa.array(h.view(np.int64))], names=["x", "y", "size", "seed"])
 
-    return rows.mapInArrow(run, "x long, y long, seed long").distinct()
+    return rows.mapInArrow(run, "x long, y long, size int, seed long").distinct()
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", coverage: float = COVERAGE, k: int = SEED_WORDS, handed_bytes: int = HANDED_BYTES) -> DataFrame:
@@ -153,8 +159,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str =
     Null and empty texts and items match nothing. Repeated documents and items give a row
     for each; null ids come back null. Empty tables give an empty table; other columns are
     ignored. The benchmark is handed to all tasks if its text has at most handed_bytes
-    (documents then aren't shuffled at all); beyond that seeds are joined by a shuffle
-    and only texts with a shared seed move.
+    (documents then aren't shuffled at all); beyond that seeds, with windows of
+    the length of each shorter item, are joined by a shuffle and only texts with a shared seed
+    move. Both ways give the same rows.
     """
     docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
     items = benchmark.select(id_of("item_id").alias("item_id"), text_of("text").alias("item"))
@@ -171,9 +178,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str =
 
         out = docs.mapInArrow(run, SCHEMA)
     else:
-        own = _seeds(docs.select(F.col("doc_id").alias("x"), F.col("h").alias("y"), "t"), k)
-        theirs = _seeds(items.select(F.col("item_id").alias("x"), F.xxhash64("item").alias("y"), F.col("item").alias("t")), k)
-        pairs = own.join(theirs.select("seed", F.col("x").alias("item_id"), F.col("y").alias("g")), "seed")
+        theirs = _seeds(items.select(F.col("item_id").alias("x"), F.xxhash64("item").alias("y"), F.col("item").alias("t")), [k], whole=True)
+        short = [r[0] for r in theirs.filter(F.col("size") < k).select("size").distinct().collect()]  # at most k - 1
+        own = _seeds(docs.select(F.col("doc_id").alias("x"), F.col("h").alias("y"), "t"), [*sorted(short), k])
+        pairs = own.join(theirs.select("size", "seed", F.col("x").alias("item_id"), F.col("y").alias("g")), ["size", "seed"])
         pairs = pairs.select(F.col("x").alias("doc_id"), F.col("y").alias("h"), "item_id", "g").distinct()
         both = docs.join(pairs, ["doc_id", "h"]).join(items.withColumn("g", F.xxhash64("item")), ["item_id", "g"])
 
