@@ -175,6 +175,18 @@ def test_crossing_buckets_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_texts_that_differ_in_a_repeated_line(spark):
+    """Set Jaccard 0.8 or more, probability Jaccard far less: shared lines stand once, each text's own line 20 times."""
+    rows = []
+    for i in range(30):
+        shared = prose(70)
+        rows += [(2 * i + s, shared + " " + " ".join([f"header{i}x{s} page{i}x{s} of{i}x{s}"] * 20)) for s in (0, 1)]
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 # ---- 4
 
 

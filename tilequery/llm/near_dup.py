@@ -3,7 +3,8 @@
 Every shingle of five words sends exponential arrivals, at a rate of its weight, to
 random registers; a register keeps the element that arrives first, so two texts agree
 in a register with their probability Jaccard similarity. An element stops when its next
-arrival is later than all registers of its text. Registers are banded; texts that share a
+arrival is later than all registers of its text. A second set of registers, with all weights 1,
+does the same for the Jaccard similarity of sets. Registers are banded; texts that share a
 band are compared on their whole texts, and verified links are closed to classes.
 """
 
@@ -68,7 +69,7 @@ def prob_minhash(element: np.ndarray, weight: np.ndarray, text: np.ndarray, n_te
 
 
 def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE_WORDS) -> DataFrame:
-    """A row per row of df: key (md5 of its words), doc_id, h (of the text), bands, sketch (a byte per register), and number and weight of its distinct shingles."""
+    """A row per row of df: key (md5 of its words), doc_id, h (of the text), bands, sketch (a byte per register, weighted and then unweighted), and number and weight of its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.arange(bands, dtype=np.uint64) * GOLDEN
@@ -78,19 +79,33 @@ def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: i
                 raw, offsets = string_buffers(batch.column(2))
                 shingle, of, count = weighted_shingles(raw, offsets, k)
                 who = prob_minhash(shingle, 1.0 + np.log(count), of, n, bands * rows)
-                band = mark[None, :].repeat(n, 0)
-                for r in range(rows):
-                    band = mix64(band * np.uint64(31) + who[:, r::rows] + np.uint64(r))
+                # with all weights 1; texts without repeated shingles have those already
+                uneven = np.unique(of[count > 1])
+                mine = np.isin(of, uneven)
+                plain = who.copy()
+                plain[uneven] = prob_minhash(shingle[mine], np.ones(int(mine.sum())), np.searchsorted(uneven, of[mine]), len(uneven), bands * rows)
                 size = np.bincount(of, minlength=n)
-                has = size > 0
-                listed = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
+                # (text, band), each once: a band that both sets of registers agree in counts once
+                listed, band = [], []
+                for registers, text_no in ((who, np.flatnonzero(size)), (plain[uneven], uneven)):
+                    registers = registers[text_no] if registers is who else registers
+                    keys = mark[None, :].repeat(len(text_no), 0)
+                    for r in range(rows):
+                        keys = mix64(keys * np.uint64(31) + registers[:, r::rows] + np.uint64(r))
+                    listed.append(text_no.repeat(bands)), band.append(keys.ravel())
+                listed, band = np.concatenate(listed), np.concatenate(band)
+                order = np.lexsort((band, listed))
+                listed, band = listed[order], band[order]
+                new = np.ones(len(listed), bool)
+                new[1:] = (listed[1:] != listed[:-1]) | (band[1:] != band[:-1])
+                listed, band = np.searchsorted(listed[new], np.arange(n + 1)).astype(np.int32), band[new]
                 data = raw.tobytes()
                 keys = [hashlib.md5(b" ".join(data[a:b].lower().split())).digest() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, pa.binary()), batch.column(0), batch.column(1),
-                        pa.ListArray.from_arrays(pa.array(listed, pa.int32()), pa.array(band[has].ravel().view(np.int64))),
-                        pa.array([x.tobytes() for x in (mix64(who) & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(listed, pa.int32()), pa.array(band.view(np.int64))),
+                        pa.array([x.tobytes() for x in (mix64(np.concatenate([who, plain], 1)) & np.uint64(255)).astype(np.uint8)], pa.binary()),
                         pa.array(size), pa.array(np.bincount(of, 1.0 + np.log(count), n)),
                     ],
                     names=["key", "doc_id", "h", "bands", "sketch", "size", "weight"],
@@ -143,14 +158,19 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, k
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The larger share of equal bytes of the weighted and the unweighted halves of sketches, row by row."""
+    return (a == b).reshape(len(a), 2, -1).mean(2).max(1)
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
-    """The pairs whose sketches agree in a share of bytes of at least `least`."""
+    """The pairs whose sketches agree, in either half, in a share of bytes of at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (string_buffers(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= least))
+                yield batch.select(["a", "b"]).filter(pa.array(agreement(a, b) >= least))
 
     sa, sb = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
@@ -249,7 +269,7 @@ def crossing(rows: DataFrame, least: float = LEAST_ESTIMATE, threshold: float =
                     if len(near):
                         differ, both = np.bitwise_count(bits[near] ^ bits[x]).sum(1, dtype=np.int64), size[near] + size[x]
                         can = uneven | (both - differ >= threshold * (both + differ))
-                        near = near[can & ((sketch[near] == sketch[x]).mean(1) >= least)]
+                        near = near[can & (agreement(sketch[near], sketch[x]) >= least)]
                     for y in near:
                         if comps[x] != comps[y]:
                             a.append(min(keys[x], keys[y])), b.append(max(keys[x], keys[y]))
