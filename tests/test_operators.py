@@ -160,3 +160,15 @@ def test_report_and_headers(spark):
     plan = spark.createDataFrame([(10, 64, True), (100, 100, False)], "max_size long, size long, clamped boolean")
     assert [(r.requested_size, r.actual_size) for r in views.thumbnail_headers(plan).collect()] == [(10, 64), (None, None)]
     assert caches.cache_stats(spark.createDataFrame([(3,), (4,)], "length long")).first().asDict() == {"size": 7, "entries": 2}
+
+
+def test_extents_of_all_levels(spark):
+    from tilequery.plans import driver_queries
+
+    d = "/root/testdata/sf0.001"
+    wanted = {r.request_id: r for r in driver_queries.q07_resolve_requests(spark, d).collect()}
+    rows = driver_queries.q36_tile_extents_all_levels(spark, d).collect()
+    assert len(rows) == len(wanted) and {wanted[r.request_id].level for r in rows if r.offset is not None} >= {0, 1}
+    for r in rows:
+        i = wanted[r.request_id].tile_index
+        assert (r.status, r.offset, r.length) == ((200, 1000 + i * 4096, 100 + i % 977) if i is not None else (wanted[r.request_id].status, None, None))

@@ -52,6 +52,17 @@ def locate(resolved: DataFrame, tiles: DataFrame) -> DataFrame:
     return resolved.join(tiles, ["slide_id", "level", "tile_x", "tile_y"], "left")
 
 
+def accepted(resolved: DataFrame) -> DataFrame:
+    """(slide_id, level, wanted): the distinct tile indexes of the requests that passed, a row per level asked for."""
+    return resolved.filter("error IS NULL").groupBy("slide_id", "level").agg(F.collect_set("tile_index").alias("wanted"))
+
+
+def picked(arrays: DataFrame) -> DataFrame:
+    """arrays (slide_id, level, wanted, offsets, byte_counts) to (slide_id, level, tile_index, offset, length) of the wanted tiles only."""
+    tile = lambda i: F.struct(i.alias("tile_index"), F.get("offsets", i.cast("int")).alias("offset"), F.get("byte_counts", i.cast("int")).alias("length"))
+    return arrays.select("slide_id", "level", F.explode(F.transform("wanted", tile)).alias("t")).select("slide_id", "level", "t.*")
+
+
 def with_tables(located: DataFrame, tables: DataFrame) -> DataFrame:
     """Add a level's shared decoding tables (slide_id, level, jpeg_tables)."""
     return located.join(tables, ["slide_id", "level"], "left")
