@@ -93,6 +93,19 @@ def test_license_spellings(spark, docs, empty):
     assert license_scan.license_scan(docs, known).count() == docs.count() and license_scan.license_scan(empty, known).count() == 0
 
 
+def test_whole_licenses_and_comments(spark):
+    known = license_scan.known_licenses(spark)
+    isc = license_scan.LICENSES["ISC"].replace("the above copyright notice", "the above\ncopyright notice")
+    comment = lambda mark, t: "\n".join(mark + x for x in t.split("\n"))
+    mit = "MIT License\n\nCopyright (c) 2019 The Authors\n" + license_scan.LICENSES["MIT-bare"]
+    rows = [(1, "Copyright 2001 An Owner\n" + isc), (2, comment("# ", mit)), (3, comment(" * ", mit)), (4, "// Copyright The Foo Authors. All rights reserved.\n" + isc)]
+    rows += [(100 + i, "\n" + t.replace("\n", "\r\n")) for i, t in enumerate(license_scan.WHOLE_LICENSES.values())]
+    rows += [(5, license_scan.WHOLE_LICENSES["MPL-2.0-text"].replace("(c) under Patent Claims", "(c) over Patent Claims"))]
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    want = {1: "ISC", 2: "MIT", 3: "MIT", 4: "ISC", 5: None}
+    assert got == want | {100 + i: name for i, name in enumerate(license_scan.WHOLE_LICENSES)}
+
+
 # ---- 2
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .license_texts import LICENSES
+from .license_texts import LICENSES, WHOLE_LICENSES
 
 # Spellings that count as the same word, variant first.
 EQUIVALENT = (
@@ -23,8 +23,17 @@ EQUIVALENT = (
     ("noncommercial", "non commercial"), ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"),
     ("programme", "program"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"),
 )
-#: A line that begins like this names the owner, not the terms.
-COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)"
+#: A line that begins like this, after comment marks, names the owner, not the terms: a year, (c) or an owner follows, not a word of the terms.
+_TERMS = (
+    "notices?|holders?|owners?|licen[cs]es?|laws?|laws?-like|like|line|lines|statements?|interests?|rights?|protection|treaty|treaties|and|or|in|is|are|on|of|to|for|from|"
+    "that|which|with|under|as|any|disclaimers?|permission|ownership|status|infringement|also|means|may|can|shall|will|page|information|management"
+)
+COPYRIGHT_LINE = (
+    r"^[^\p{L}\p{N}(©\[<]*(all rights reserved|(copyright[ \t:,]*)?(\(c\)|©)[ \t,:]*([\[<(]?(\d|yyyy|year))|copyright[ \t:,]*(\(c\)|©)|"
+    rf"©[ \t]*\p{{L}}|copyright[ \t:,]+(by[ \t]|[\[<(]?(\d|yyyy|year)|(?!({_TERMS})(?![\p{{L}}\p{{N}}]))\p{{L}}))"
+)
+#: The rule of the SQL below, which keeps its first form.
+SQL_COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)"
 SPACED = r"[^\p{L}\p{N}]+"
 
 
@@ -40,7 +49,7 @@ def canonical(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license_id, digest) of licence texts; of texts with one canonical form the first id counts."""
-    rows = sorted((texts or LICENSES).items())
+    rows = sorted((texts or LICENSES | WHOLE_LICENSES).items())
     known = spark.createDataFrame(rows, "license_id string, text string")
     return known.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -63,12 +72,12 @@ def license_scan(df: DataFrame, known: DataFrame, doc_id: str = "doc_id", text:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the built-in table has a few dozen rows of 100 bytes
+    # the built-in table has 31 rows of 100 bytes
     return license_scan(table(spark, sf_dir, "documents"), F.broadcast(known_licenses(spark)))
 
 
 def _canonical_sql(text: str) -> str:
-    lines = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), chr(10))"
+    lines = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda x: NOT regexp_matches(x, '{SQL_COPYRIGHT_LINE}')), chr(10))"
     out = f"' ' || regexp_replace({lines}, '{SPACED}', '  ', 'g') || ' '"
     for variant, word in EQUIVALENT:
         out = f"replace({out}, ' {variant.replace(' ', '  ')} ', ' {word.replace(' ', '  ')} ')"

@@ -1,5 +1,7 @@
 """Known licence texts and notices. The public texts, in order of their ids."""
 
+from pathlib import Path
+
 _BSD_TAIL = (
     'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
     "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
@@ -85,3 +87,6 @@ LICENSES = {
         "not be removed or altered from any source distribution."
     ),
 }
+
+#: Whole licences, as distributed: the files of the folder licenses.
+WHOLE_LICENSES = {f"{path.stem}-text": path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
