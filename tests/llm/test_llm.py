@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tilequery.llm import chat_format, decontaminate, entries, importance, license_scan, near_dup, packing, quality_rules, suffix_dedup, token_counts, warc_fixity
-from tilequery.llm.common import Words, string_buffers
+from tilequery.llm.common import Words, string_buffers, word_values
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, kept string"
@@ -280,19 +280,78 @@ def test_repeats(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("segment,bucket", [(300, 16_384), (1 << 20, 3)])
-def test_repeats_in_segments_and_in_large_buckets(docs, segment, bucket, monkeypatch):
-    want = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect())
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
-    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
-    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()) == want
+@pytest.mark.parametrize("segment,group", [(300, 2048), (1 << 20, 3)])
+def test_repeats_in_segments_and_in_large_groups(docs, segment, group, monkeypatch):
+    show = lambda rows: sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.n_also, bytes(r.kept)) for r in rows)
+    for measure, keep_first in ((suffix_dedup.BYTES, False), (suffix_dedup.PASSAGES, True)):
+        find = lambda: show(suffix_dedup.remove_repeats(docs, measure=measure, keep_first=keep_first, also=suffix_dedup.Measure(12, 4, True)).collect())  # noqa: B023, E731
+        want = find()
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "SEGMENT", segment)
+            m.setattr(suffix_dedup.repeated_spans, "__defaults__", (suffix_dedup.BYTES, False, group))
+            assert find() == want
+
+
+def brute_passages(texts, length, first_stays):
+    """Texts without the words of repeated runs, each gone with the white space behind it; the least place in (order of texts, word) stays if asked for."""
+    words = [t.split() for t in texts]
+    places = collections.defaultdict(list)
+    for k, w in enumerate(words):
+        for i in range(len(w) - length + 1):
+            places[tuple(w[i : i + length])].append((k, i))
+    gone = [bytearray(len(w)) for w in words]
+    for at in places.values():
+        if len(at) > 1:
+            for k, i in at[1 if first_stays else 0 :]:
+                gone[k][i : i + length] = b"\1" * length
+    return ["".join(m for m, g in zip(re.findall(r"\S+\s*", t), gone[k]) if not g) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_passages_of_over_50_words(spark, keep_first):
+    """Passages of 51 to 80 words in several documents go (the first stays if asked for); 50 words are left alone."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6)))
+    own = lambda n: [word() for _ in range(n)]
+    texts = [" ".join(own(60)) for _ in range(10)]
+    passages = [own(n) for n in (50, 51, 52, 60, 80)]
+    for p in passages:
+        texts += [" ".join(own(30) + p + own(k)) for k in (0, 7, 40)]
+    texts += [" ".join(own(5) + passages[3] + passages[4] + own(3) + passages[3]), "tail\n" * 300, "", " ".join(passages[2][:30])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, as_text=True, measure=suffix_dedup.PASSAGES, keep_first=keep_first).orderBy("doc_id").collect()
+    # which place is the first is told by (doc_id, h, start), and ids ascend here
+    assert [r.kept for r in got] == brute_passages(texts, 51, keep_first)
+    assert all(r.n_removed == 0 for r in got[:13]) and sum(r.n_removed > 0 for r in got[13:26]) == (9 if keep_first else 13)
+    if keep_first:
+        assert all(sum(" ".join(p) in r.kept for r in got) == 1 for p in passages[1:])
+
+
+def test_every_removed_string_still_stands(docs):
+    """With keep_first each string of the input has a place in the output of its first place, or repeats what does."""
+    rows = docs.dropDuplicates(["doc_id", "text"]).filter("doc_id IS NOT NULL")
+    got = suffix_dedup.remove_repeats(rows, keep_first=True).collect()
+    order = sorted(got, key=lambda r: (r.doc_id, r.h))
+    texts = {r.doc_id: (r.text or "").encode() for r in rows.collect()}
+    seen, want = set(), []
+    for r in order:
+        t = texts[r.doc_id]
+        gone = bytearray(len(t))
+        for s in range(len(t) - 399):
+            if t[s : s + 400] in seen:
+                gone[s : s + 400] = b"\1" * 400
+            seen.add(t[s : s + 400])
+        want.append(bytes(b for b, g in zip(t, gone) if not g))
+    assert [bytes(r.kept) for r in order] == want and sum(len(t) for t in want) < sum(len(t) for t in texts.values())
 
 
-def test_suffix_order():
+@pytest.mark.parametrize("base", [suffix_dedup.BASE, 1])
+def test_suffix_order(base):
+    """Base 1 gives all rearrangements of a string one hash, so the first order is thrown away."""
     texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
     raw, offsets = string_buffers(pa.array(texts, pa.binary()))
     group = np.sort(np.array([rnd.randrange(9) for _ in texts]))
-    s = suffix_dedup.SuffixOrder(raw, offsets[:-1], np.diff(offsets), group)
+    s = suffix_dedup.SuffixOrder(raw, suffix_dedup.BYTES.values(raw), offsets[:-1], np.diff(offsets), group, base)
     for g in range(9):
         own = [texts[k] for k in s.order[group[s.order] == g]]
         assert own == sorted(own)
@@ -301,6 +360,14 @@ def test_suffix_order():
         assert s.common[k] == len(list(itertools.takewhile(lambda p: p[0] == p[1], zip(a, b))))
 
 
+def test_words_of_long_texts():
+    raw = np.frombuffer(b"  ab cd " + b"x" * 5000 + b" ef\n g " * 900 + "é".encode() * 300, np.uint8)
+    want = Words(raw, np.array([0, len(raw)]), fold=False).hash
+    for block in (7, 64, 1000, 4999, 5000, 1 << 20):
+        got, first = word_values(raw, np.array([0, len(raw)]), block)
+        assert (got == want).all() and first.tolist() == [0, len(want)]
+
+
 # ---- 7
 
 

@@ -186,5 +186,33 @@ class Words:
         return mix64(total[keep]), texts[keep]
 
 
-def distinct_ids(values: Iterable[int]) -> list[int]:
-    return sorted(set(values))
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of one text."""
+    flags = np.zeros(len(raw) + 2, np.int8)
+    flags[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    step = np.diff(flags)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def word_values(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, first word of each text); case counts. A text beyond `block` bytes is hashed block by block."""
+    if len(offsets) != 2 or len(raw) <= block:
+        words = Words(raw, offsets, fold=False)
+        return words.hash, words.first
+    starts, ends = word_bounds(raw)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.array([0, 0])
+    parts, values, at = [], byte_values(), 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(ends, starts[at] + block, "right")), at + 1)
+        own = raw[starts[at] : ends[to - 1]]
+        if len(own) <= block:
+            parts.append(Words(own, np.array([0, len(own)]), fold=False).hash)
+        else:  # one word longer than a block
+            total, step = np.zeros(1, np.uint64), np.uint64(pow(BASE, block, 1 << 64))
+            for lo in range((len(own) - 1) // block * block, -1, -block):
+                piece = own[lo : lo + block]
+                total = total * step + (values[piece] * powers(BASE, len(piece))).sum()
+            parts.append(mix64(total + np.uint64(len(own))))
+        at = to
+    return np.concatenate(parts), np.array([0, len(starts)])
