@@ -15,7 +15,7 @@ from tilequery.llm.decontaminate import leaks
 from tilequery.llm.importance import importance_resample
 from tilequery.llm.near_dup import near_duplicates
 from tilequery.llm.packing import packed
-from tilequery.llm.suffix_dedup import remove_repeats
+from tilequery.llm.suffix_dedup import PASSAGES, remove_repeats
 
 
 def _keys() -> list[Column]:
@@ -42,9 +42,9 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 400-byte passages are cut out of the texts; every document stays."""
+    """Of each passage of over 50 words that repeats, all places but the first are cut out of the texts; every document stays."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = remove_repeats(docs, carry=carry, as_text=True)
+    out = remove_repeats(docs, carry=carry, as_text=True, measure=PASSAGES, keep_first=True)
     out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
     return out.select(docs.columns)
 
