@@ -236,8 +236,7 @@ def test_importance(spark, docs, empty):
     assert importance.importance_resample(made, labels, k=100).filter("kept").count() == 100
 
 
-@pytest.mark.parametrize("marks", [True, False])
-def test_importance_sees_word_order(spark, marks):
+def test_importance_sees_word_order(spark):
     """Good and bad texts of the same words, equally often, in other pairs."""
     def body(i):
         starts = rnd.sample(range(40), 20)
@@ -245,10 +244,57 @@ def test_importance_sees_word_order(spark, marks):
 
     made = spark.createDataFrame([(i, body(i)) for i in range(900)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in importance.importance_resample(made, labels, marks=marks).collect() if r.kept}
+    kept = {r.doc_id for r in importance.importance_resample(made, labels).collect() if r.kept}
     assert len([i for i in range(600, 900, 2) if i in kept]) >= 145 and len([i for i in range(601, 900, 2) if i in kept]) <= 5
 
 
+def test_importance_equals_brute_force(spark):
+    """Log weights, keys and the drawn rows from n-grams in plain Python, without hashing."""
+    rng = random.Random(3)
+    vocabulary = ["Lore", "ipsum,", "DOLOR", "sit.", "ämet", "a1", "x$y", "the", "the", "of!", "9"]
+    texts = [" ".join(rng.choice(vocabulary[4 * (i % 3 % 2) :]) for _ in range(rng.randint(0, 30))) for i in range(400)] + [None, "", "word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(300) if i % 3 % 2}
+
+    def shape(w):
+        return re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[a-zä]", "a", re.sub("[A-Z]", "A", w))))
+
+    def grams(text):
+        words = [re.sub("(?<=.)[.,;:!?]$", "", w) for w in (text or "").split()]
+        low = [w.lower() for w in words]
+        sizes = collections.Counter(shape(w) for w in words)
+        sizes.update((shape(a), shape(b), x == y) for a, b, x, y in zip(words, words[1:], low, low[1:]))
+        return set(low) | set(zip(low, low[1:])) | {(k, -(-8 * n // len(words)), "shape") for k, n in sizes.items()}
+
+    every = [grams(t) for t in texts]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, g in enumerate(every):
+        raw.update(g)
+        target.update(g if i in good else ())
+    line = sorted((target[g] / raw[g], raw[g] ** 2 / (raw[g] + importance.HALF_WEIGHT)) for g in raw)
+    half, scale = sum(w for _, w in line) / 2, None
+    for share, w in line:
+        half -= w
+        if half <= 1e-12:
+            scale = share
+            break
+    want = []
+    for i, g in enumerate(every):
+        total = 0.0
+        for x in g:
+            expected = (raw[x] - 1) * scale + 1
+            ratio = np.log((target[x] - (i in good) + 1) / expected)
+            total += np.sign(ratio) * max(abs(ratio) - importance.DEVIATIONS * np.sqrt(1 / expected + importance.SPREAD**2), 0)
+        want.append(total)
+    got = {r.doc_id: r for r in importance.importance_resample(df, labels, k=40).collect()}
+    assert np.allclose([got[i].log_weight for i in range(len(texts))], want) and np.std(want) > 0
+    noise = {r.doc_id: -np.log(-np.log(((r.x & (2**52 - 1)) + 0.5) / 2**52)) for r in df.select("doc_id", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(0)).alias("x")).collect()}
+    keys = {i: want[i] + noise[i] for i in got}
+    assert np.allclose([got[i].key for i in keys], list(keys.values()))
+    assert {i for i, r in got.items() if r.kept} == set(sorted(keys, key=keys.get)[-40:])
+
+
 def test_kth_largest(spark):
     xs = [rnd.choice([0.5, 1e9, -3.25, rnd.gauss(0, 1)]) for _ in range(500)]
     keys = spark.createDataFrame([(x,) for x in xs], "key double")

@@ -1,8 +1,8 @@
 """Operator 5: quality classification by importance resampling.
 
-Two generative models over hashed n-grams (single words and pairs of neighbours, each counted once a document), one of
-labelled good text and one of all text, give every document an importance weight, the product of its n-grams' probability ratios.
-Documents are sampled without replacement by Gumbel top-k over the log weights.
+Two generative models over hashed n-grams (words, pairs of neighbouring words, and both of word shapes; each counted once
+a document), one of labelled good text and one of all text, give every document an importance weight, the product of its
+n-grams' probability ratios. Documents are sampled without replacement by Gumbel top-k over the log weights.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, cut, id_of, slices, string_buffers, table, text_of
+from .common import BASE, BASE_INVERSE, NULL_ID, Words, byte_values, cut, id_of, mix64, powers, slices, string_buffers, table, text_of
 
-#: The lower half is for single words and marks, the upper half for pairs.
+#: The lower half is for single words, three eighths for pairs, the last eighth for shapes.
 BUCKETS = 1 << 19
 #: At most so many labelled good documents fit the target model.
 TARGET_DOCS = 20_000
@@ -24,49 +24,57 @@ TARGET_DOCS = 20_000
 SMOOTHING = 1.0
 #: A labelled good document that is lost weighs so many times one of the others that is kept.
 KEEP_WEIGHT = 4.0
-#: Buckets of the three marks.
-MARKS = 48
 #: Ratios within so many standard deviations of 1 count as 1.
 DEVIATIONS = 4.0
 #: Relative deviation of counts between like bodies of text (groups of copies, topics), besides that of chance.
 SPREAD = 0.15
-#: The log weight is divided by this before the Gumbel noise is added.
-TEMPERATURE = 0.25
-
-
-def features(raw: np.ndarray, offsets: np.ndarray, buckets: int, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: N-grams of so many documents count half when the scale of the models is taken.
+HALF_WEIGHT = 100
+
+
+def shapes(raw: np.ndarray, words: Words) -> np.ndarray:
+    """A hash of each word's shape: runs of capitals, of small or other letters, of digits, and of each other sign, one symbol each."""
+    kind = np.arange(256)
+    kind[65:91], kind[97:123], kind[128:], kind[48:58] = 65, 97, 97, 48
+    symbol = kind[raw]
+    new = np.ones(len(raw), bool)
+    new[1:] = symbol[1:] != symbol[:-1]
+    new[words.starts] = True
+    rank = np.cumsum(new)  # symbols up to here
+    n = int(rank[-1]) if len(rank) else 0
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(byte_values()[symbol[new]] * powers(BASE, n), out=prefix[1:])
+    first = rank[words.starts] - 1 if len(words.starts) else np.zeros(0, np.int64)
+    last = rank[words.ends - 1] if len(words.starts) else first
+    return mix64((prefix[last] - prefix[first]) * powers(BASE_INVERSE, n + 1)[first] + (last - first).astype(np.uint64))
+
+
+def features(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of the n-grams of each text, each once a text: its words without
-    closing punctuation and its pairs of neighbouring words. Beside them, unless marks is
-    false, three marks in buckets of their own: the eighths of its words that hold symbols,
-    are shouted, or begin a run of three words that stood earlier.
+    closing punctuation, its pairs of neighbouring words, and the shapes of its words and
+    pairs, each with the eighth of the text's words that it makes up. The shape of a pair
+    tells besides whether its words are the same.
     """
     closing = np.zeros(256, bool)
     closing[[ord(c) for c in ".,;:!?"]] = True
     words = Words(raw, offsets, closing=closing)
     n = np.diff(words.first)
     of = np.repeat(np.arange(len(n)), n)
-    half = buckets // 2
-    pair, pair_of = words.shingles(2)
-    pair, pair_of = pair[n[pair_of] > 1], pair_of[n[pair_of] > 1]
-    grams = [(MARKS + words.hash % np.uint64(half - MARKS)).astype(np.int64), (half + pair % np.uint64(buckets - half)).astype(np.int64)]
-    if not marks:
-        key = np.unique(np.concatenate([of, pair_of]) * buckets + np.concatenate(grams))
-        return key % buckets, key // buckets
-    kinds = np.zeros((3, 256), np.int64)
-    kinds[0, [ord(c) for c in "#*$%&|<>"]] = 1
-    kinds[1, 65:91] = 1
-    kinds[2, 97:123] = 1
-    symbols, upper, lower = (np.diff(np.concatenate([[0], np.cumsum(k[raw])])[np.stack([words.starts, words.ends])], axis=0)[0] for k in kinds)
-    run, run_of = words.shingles(3)
-    order = np.lexsort((run, run_of))
-    again = np.zeros(len(run), bool)
-    again[order[1:]] = (run[order][1:] == run[order][:-1]) & (run_of[order][1:] == run_of[order][:-1])
-    some = np.flatnonzero(n)
-    levels = []
-    for k, (flag, whose) in enumerate(((symbols > 0, of), ((upper > 1) & (lower == 0), of), (again, run_of))):
-        count = np.bincount(whose[flag], minlength=len(n))[some]
-        levels.append(16 * k + np.minimum(-(-8 * count // n[some]), 8))
-    key = np.unique(np.concatenate([of, pair_of, some, some, some]) * buckets + np.concatenate([*grams, *levels]))
+    two = np.flatnonzero(of[1:] == of[:-1])  # first words of pairs
+    join = lambda x, y, z=0: mix64(x * np.uint64(BASE) + mix64(y + np.uint64(z)))
+    pair = join(words.hash[two], words.hash[two + 1])
+    shape = shapes(raw, words)
+    same = (words.hash[two] == words.hash[two + 1]).astype(np.uint64)
+    kinds = np.concatenate([shape, join(shape[two], shape[two + 1] + same, 1)])
+    whose = np.concatenate([of, of[two]])
+    order = np.lexsort((kinds, whose))
+    kinds, whose = kinds[order], whose[order]
+    head = np.flatnonzero(np.append(True, (kinds[1:] != kinds[:-1]) | (whose[1:] != whose[:-1]))) if len(kinds) else np.zeros(0, np.int64)
+    count, kinds, whose = np.diff(np.append(head, len(order))), kinds[head], whose[head]
+    level = -(-8 * count // np.maximum(n[whose], 1))
+    half, most = buckets // 2, buckets - buckets // 8
+    grams = np.concatenate([words.hash % np.uint64(half), np.uint64(half) + pair % np.uint64(most - half), np.uint64(most) + mix64(kinds + level.astype(np.uint64)) % np.uint64(buckets - most)])
+    key = np.unique(np.concatenate([of, of[two], whose]) * buckets + grams.astype(np.int64))
     return key % buckets, key // buckets
 
 
@@ -77,7 +85,7 @@ def good_ids(labels: DataFrame, most: int) -> list[int]:
     return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()]
 
 
-def ngram_counts(docs: DataFrame, good: np.ndarray, buckets: int, marks: bool = True) -> np.ndarray:
+def ngram_counts(docs: DataFrame, good: np.ndarray, buckets: int) -> np.ndarray:
     """(2, buckets) counts over all documents and over the good ones; tasks add up their own before anything moves."""
     handed = docs.sparkSession.sparkContext.broadcast(np.sort(good))
 
@@ -86,7 +94,7 @@ def ngram_counts(docs: DataFrame, good: np.ndarray, buckets: int, marks: bool =
         for whole in batches:
             for batch in slices(whole, "t", 2 << 20):
                 raw, offsets = string_buffers(batch.column(2))
-                bucket, of = features(raw, offsets, buckets, marks)
+                bucket, of = features(raw, offsets, buckets)
                 chosen = np.isin(np.asarray(batch.column(0)), handed.value)[of]
                 total[0] += np.bincount(bucket, minlength=buckets)
                 total[1] += np.bincount(bucket[chosen], minlength=buckets)
@@ -101,22 +109,22 @@ def ngram_counts(docs: DataFrame, good: np.ndarray, buckets: int, marks: bool =
     return out
 
 
-def typical_share(counts: np.ndarray, least: int = 100) -> float:
-    """The target's share in the count of a typical n-gram: the median over running text of n-grams seen `least` times.
+def typical_share(counts: np.ndarray) -> float:
+    """The target's share in the count of a typical n-gram: the median over running text, in which n-grams weigh less the rarer they are.
 
     With the raw model on this scale an n-gram that is as typical of the target as most
     are has ratio 1, and a long document doesn't gain weight by its length alone."""
     raw, good = counts[0].astype(np.float64), counts[1].astype(np.float64)
-    at = np.flatnonzero(raw >= least)
+    at = np.flatnonzero(raw)
     if not len(at):
-        return float(good.sum() / max(1.0, raw.sum()))
+        return 0.0
     share = good[at] / raw[at]
     order = np.argsort(share, kind="stable")
-    total = np.cumsum(raw[at][order])
+    total = np.cumsum((raw[at] ** 2 / (raw[at] + HALF_WEIGHT))[order])
     return float(share[order][np.searchsorted(total, total[-1] / 2)])
 
 
-def log_weights(docs: DataFrame, counts: np.ndarray, good: np.ndarray, smoothing: float, marks: bool = True) -> DataFrame:
+def log_weights(docs: DataFrame, counts: np.ndarray, good: np.ndarray, smoothing: float) -> DataFrame:
     """(doc_id, h, n, log_weight); a document's own n-grams are taken out of both models before it is weighed, and
     a ratio is drawn towards 1 by DEVIATIONS times its own uncertainty, so rare n-grams say nothing."""
     buckets = counts.shape[1]
@@ -128,7 +136,7 @@ def log_weights(docs: DataFrame, counts: np.ndarray, good: np.ndarray, smoothing
         for whole in batches:
             for batch in slices(whole, "t", 2 << 20):
                 text, offsets = string_buffers(batch.column(2))
-                bucket, of = features(text, offsets, buckets, marks)
+                bucket, of = features(text, offsets, buckets)
                 own = np.isin(np.asarray(batch.column(0)), ids)[of]
                 expected = np.maximum(raw[bucket] - 1, 0) * scale + smoothing
                 ratio = np.log((np.maximum(target[bucket] - own, 0) + smoothing) / expected)
@@ -186,14 +194,13 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float | None:
 
 def importance_resample(
     df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS,
-    target_docs: int = TARGET_DOCS, smoothing: float = SMOOTHING, k: int | None = None, seed: int = 0, marks: bool = True,
+    target_docs: int = TARGET_DOCS, smoothing: float = SMOOTHING, k: int | None = None, seed: int = 0,
 ) -> DataFrame:
     """Weigh all documents and keep k of them by Gumbel top-k.
 
     labels: doc_id, quality, toxic. The target model is fitted on up to target_docs labelled
     good documents, the raw model on all documents. k: how many to keep; else as many as lie
-    on the good side of the weight that parts the labelled documents best. marks: whether the three marks of
-    features() count beside the n-grams.
+    on the good side of the weight that parts the labelled documents best.
 
     Returns a row per row of df: doc_id, h (xxhash64 of the text), log_weight, key (with its
     Gumbel noise, drawn from a hash of the row) and kept. Null and empty texts have
@@ -203,13 +210,13 @@ def importance_resample(
     """
     docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
     good = np.asarray(good_ids(labels, target_docs), np.int64)
-    counts = ngram_counts(docs, good, buckets, marks)
+    counts = ngram_counts(docs, good, buckets)
     if not counts[1].sum():
         scores = docs.select("doc_id", "h", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("log_weight"))
     else:
-        scores = log_weights(docs, counts, good, smoothing, marks)
+        scores = log_weights(docs, counts, good, smoothing)
     uniform = ((F.xxhash64("doc_id", "h", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))) + 0.5) / float(1 << 52)
-    scores = cut(scores.withColumn("key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(uniform))), "weights")
+    scores = cut(scores.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     if k is None:
         k = sample_size(scores, labels) if counts[1].sum() else scores.count()
     least = kth_largest(scores, k)
