@@ -203,17 +203,33 @@ def test_texts_that_differ_in_a_repeated_line(spark):
 # ---- 4
 
 
+def audit(pages, a, b, file_records=300):
+    return warc_fixity.fixity_audit(*(warc_fixity.manifest(warc_fixity.records(pages, body, warc_fixity.DATE, file_records)) for body in (a, b)))
+
+
 def test_fixity(spark):
-    rows = [(i, f"http://h/{i}", "<p>" + prose(20)) for i in range(1200)] + [(None, "http://n", "x"), (7, "http://h/7", "again"), (8, None, None)]
-    pages = warc_fixity.manifest(spark.createDataFrame(rows, "page_id long, url string, html string"), 300)
-    whole = F.col("html")
+    rows = [(i, f"http://h/{i}", "<p>" + prose(20), "x") for i in range(1200)] + [(None, "http://n", "x", None), (7, "http://h/7", "again", "x"), (8, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, hash string")
+    whole = F.coalesce("html", F.lit(""))
     broken = F.when(F.col("page_id") == 5, F.concat("html", F.lit("!"))).when(F.col("page_id") == 777, F.lit(None)).when(F.col("url") == "http://n", F.lit("y")).otherwise(whole)
-    got = warc_fixity.fixity_audit(warc_fixity.hashed({"a": whole, "b": broken}, pages, warc_fixity.DATE)).collect()
+    got = audit(pages, whole, broken).collect()
     assert sorted((r.page_id is None, r.page_id or 0, r.status) for r in got) == [(False, 5, "length"), (False, 777, "missing_in_b"), (True, 0, "digest")]
     assert all(r.root_a != r.root_b for r in got)
-    same = warc_fixity.fixity_audit(warc_fixity.hashed({"a": whole, "b": whole}, pages, warc_fixity.DATE))
-    assert same.count() == 0
-    assert warc_fixity.fixity_audit(warc_fixity.hashed({"a": whole, "b": broken}, pages.filter("false"), warc_fixity.DATE)).count() == 0
+    assert {r.page_id: r.status for r in audit(pages, broken, whole).collect()}[777] == "missing_in_a"
+    assert audit(pages, whole, whole).count() == 0 and audit(pages.filter("false"), whole, broken).count() == 0
+
+
+def test_fixity_of_a_page_that_repeats(spark):
+    """Thousands of records of one page_id, most of them equal, are one file; it is numbered over several tasks."""
+    rows = [(600, "http://h", "same" if i % 3 else f"own {i}") for i in range(6000)] + [(i, f"http://h/{i}", "x" * i) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    one = warc_fixity.manifest(warc_fixity.records(pages, F.col("html"), warc_fixity.DATE)).orderBy("file_id", "idx").collect()
+    for file_id, n in ((0, 100), (1, 6000)):
+        own = [r for r in one if r.file_id == file_id]
+        assert [r.idx for r in own] == list(range(n)) and own[0].start == 0 and all(x.end == y.start for x, y in zip(own, own[1:]))
+    got = audit(pages, F.col("html"), F.when(F.col("html") == "own 2400", "own 24OO").otherwise(F.col("html")), 512).collect()
+    assert [(r.file_id, r.page_id, r.status) for r in got] == [(1, 600, "digest")]
+    assert got[0].a_start == got[0].b_start == next(r.start for r in one if r.hash == got[0].a_hash)
 
 
 # ---- 5

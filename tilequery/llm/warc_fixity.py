@@ -1,20 +1,24 @@
 """Operator 4: Merkle fixity audit of WARC files and a replica of them.
 
-Records are hashed where they are read; only digests and lengths move from there on.
-A node of a file's tree is the hash of its ordered children and has the range of byte
-offsets they cover. Roots are compared first, and from level to level only the children
-of nodes that differ.
+Each replica has a manifest of its own: the digest, length and byte range of every record,
+made where the record is read; only these move from there on. Over each manifest a tree is
+built: a node is the hash of its ordered children and has the range of byte offsets they
+cover. The roots of the two trees are compared, and from level to level only the children
+of nodes that differ are fetched from either tree.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, drop_cut, table
 
 FILE_RECORDS = 512
 FANOUT = 16
@@ -28,101 +32,145 @@ def warc_record(url: Column, date: str, body: Column) -> Column:
     )
 
 
-def manifest(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """Deal pages into WARC files by page_id and number the records of a file.
+def records(pages: DataFrame, body: Column, date: str, file_records: int = FILE_RECORDS) -> DataFrame:
+    """The records of one replica: file_id, page_id, order_key, length and hash (null: the replica hasn't the record).
 
     Files hold the pages of a range of `file_records` ids. A null page_id is dealt by a
-    hash of its address over 1024 files with negative numbers. Ties of page_id are
-    ordered by address and body digest.
+    hash of its address over 1024 files with negative numbers. body: what the replica
+    holds of a page (null: nothing); order_key: the digest of what was archived, by which
+    records of one page_id are ordered in either replica.
     """
-    file_id = F.coalesce(F.floor(F.col("page_id") / file_records), -1 - F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(1024)))
-    return pages.select(file_id.cast("long").alias("file_id"), F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-
+    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    file_id = F.coalesce(F.floor(F.col("page_id") / file_records), -1 - F.pmod(F.crc32(url), F.lit(1024)))
+    record = warc_record(url, date, body)
+    return pages.select(
+        file_id.cast("long").alias("file_id"), F.col("page_id").cast("long"), F.sha2(F.concat(url, F.lit("\n"), html), 256).alias("order_key"),
+        F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"),
+    )
 
-def hashed(replicas: dict[str, Column | None], pages: DataFrame, date: str) -> DataFrame:
-    """(file_id, page_id, order_key, <name>_length, <name>_hash ...) of each record in each replica; a null body: the record is missing."""
-    out = pages.withColumn("order_key", F.sha2(F.concat("url", F.lit("\n"), "html"), 256))
-    for name, body in replicas.items():
-        record = warc_record(F.col("url"), date, body)
-        out = out.withColumn(f"{name}_length", F.octet_length(record).cast("long")).withColumn(f"{name}_hash", F.sha2(record, 256))
-    keep = [c for n in replicas for c in (f"{n}_length", f"{n}_hash")]
-    return out.select("file_id", "page_id", "order_key", *keep)
 
+def manifest(records: DataFrame) -> DataFrame:
+    """Number the records of each file and sum up their offsets: file_id, idx, page_id, length, hash, start, end.
 
-def merkle_levels(leaves: DataFrame, names: tuple[str, ...], fanout: int, depth: int) -> list[DataFrame]:
-    """levels[0] the records, levels[depth] the roots; (file_id, idx, and <name>_hash, _start, _end per replica)."""
-    levels = [leaves]
+    Records are sorted by ranges of (file_id, page_id, order_key), so a file however large is
+    dealt over tasks; each task numbers its part of a file, and the counts and bytes of a
+    file's earlier parts are added. Written to the shared folder.
+    """
+    order = ["file_id", "page_id", "order_key", "tie"]
+    # equal records are told apart by their place in the input, else they'd all meet in one task
+    dealt = records.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, count, size = TaskContext.get().partitionId(), None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file_id, length = np.asarray(batch.column(0)), np.asarray(batch.column(2).fill_null(0))
+            first = np.flatnonzero(np.append(True, file_id[1:] != file_id[:-1]))
+            run_of = np.cumsum(np.append(True, file_id[1:] != file_id[:-1])) - 1
+            total = np.cumsum(length)
+            idx = np.arange(len(file_id)) - first[run_of]
+            end = total - (total[first] - length[first])[run_of]
+            if file_id[0] == last:
+                idx[run_of == 0] += count
+                end[run_of == 0] += size
+            last, count, size = file_id[-1], int(idx[-1]) + 1, int(end[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(idx), part)), pa.array(idx), pa.array(end)], names=[*batch.schema.names, "part", "idx", "end"])
+
+    numbered = dealt.select("file_id", "page_id", "length", "hash").mapInArrow(run, "file_id long, page_id long, length long, hash string, part long, idx long, end long")
+    numbered = cut(numbered, "manifest_parts")
+    parts = numbered.groupBy("file_id", "part").agg(F.max("idx").alias("n"), F.max("end").alias("bytes"))
+    before = Window.partitionBy("file_id").orderBy("part")
+    parts = parts.withColumn("parts", F.count("*").over(Window.partitionBy("file_id"))).withColumn("n0", F.sum(F.col("n") + 1).over(before) - F.col("n") - 1)
+    parts = parts.withColumn("bytes0", F.sum("bytes").over(before) - F.col("bytes"))
+    # a task has at most two files that go on in other tasks, so these are at most two rows a task
+    parts = parts.filter("parts > 1").select("file_id", "part", "n0", "bytes0")
+    out = numbered.join(F.broadcast(parts), ["file_id", "part"], "left")
+    end = F.when(F.col("hash").isNotNull(), F.col("end") + F.coalesce("bytes0", F.lit(0)))
+    out = out.select("file_id", (F.col("idx") + F.coalesce("n0", F.lit(0))).alias("idx"), "page_id", "length", "hash", (end - F.col("length")).alias("start"), end.alias("end"))
+    done = cut(out, "manifest")
+    drop_cut(numbered)
+    return done
+
+
+def merkle_tree(leaves: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
+    """tree[0] the records, tree[depth] the roots; (file_id, idx, hash, start, end), each level written once."""
+    tree = [leaves]
     for _ in range(depth):
-        below = levels[-1]
-        grouped = below.groupBy("file_id", F.floor(F.col("idx") / fanout).cast("long").alias("idx"))
-        parts = []
-        for n in names:
-            # at most `fanout` children, in order; a missing record counts as an empty string
-            children = F.sort_array(F.collect_list(F.struct("idx", F.coalesce(f"{n}_hash", F.lit("")).alias("h"))))
-            parts += [
-                F.sha2(F.array_join(F.transform(children, lambda x: x["h"]), ""), 256).alias(f"{n}_hash"),
-                F.min(f"{n}_start").alias(f"{n}_start"), F.max(f"{n}_end").alias(f"{n}_end"),
-            ]
-        levels.append(grouped.agg(*parts))
-    return levels
-
-
-def fixity_audit(records: DataFrame, a: str = "a", b: str = "b", fanout: int = FANOUT, least_depth: int = 1) -> DataFrame:
-    """Compare two replicas of WARC files and locate the records that differ.
-
-    records: a row per record with file_id, page_id, order_key, and per replica its length
-    and hash (null: missing). Returns a row per record that differs: file_id, seq (place in
+        # at most `fanout` children, in order; a missing record counts as an empty string
+        children = F.sort_array(F.collect_list(F.struct("idx", F.coalesce("hash", F.lit("")).alias("h"))))
+        grouped = tree[-1].groupBy("file_id", F.floor(F.col("idx") / fanout).cast("long").alias("idx"))
+        node = F.sha2(F.array_join(F.transform(children, lambda x: x["h"]), ""), 256)
+        tree.append(cut(grouped.agg(node.alias("hash"), F.min("start").alias("start"), F.max("end").alias("end")), "merkle"))
+    return tree
+
+
+def fixity_audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT, least_depth: int = 1) -> DataFrame:
+    """Compare the manifests of two replicas and locate the records that differ.
+
+    a, b: manifests. Returns a row per record that differs: file_id, seq (place in
     the file), page_id, status (digest, length, missing_in_b, missing_in_a), the byte
     range and digest in each replica and both roots.
 
-    Equal replicas or an empty table give no rows. Repeated records are records of their
-    own. Trees are as deep as the longest file needs and least_depth asks. A file is bounded by its writer (here a range of ids), so its offsets are
-    summed in one window. Other columns are ignored.
+    A record that one manifest lists without a hash, or not at all, is missing there. Equal
+    replicas or empty tables give no rows. Repeated records are records of their own. Trees
+    are as deep as the longest file needs and least_depth asks. Other columns are ignored.
     """
-    order = Window.partitionBy("file_id").orderBy("page_id", "order_key")
-    leaves = records.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for n in (a, b):
-        leaves = leaves.withColumn(f"{n}_end", F.when(F.col(f"{n}_hash").isNotNull(), F.sum(f"{n}_length").over(before)))
-        leaves = leaves.withColumn(f"{n}_start", F.col(f"{n}_end") - F.col(f"{n}_length"))
-    leaves = cut(leaves, "merkle_leaves")
-    most = leaves.agg(F.max("idx")).first()[0]
+    most = a.select("idx").union(b.select("idx")).agg(F.max("idx")).first()[0]
     depth = least_depth
     while fanout**depth <= (most or 0):
         depth += 1
-    levels = merkle_levels(leaves, (a, b), fanout, depth)
-    differ = ~F.col(f"{a}_hash").eqNullSafe(F.col(f"{b}_hash"))
-    roots = levels[-1].filter(differ).select("file_id", F.col(f"{a}_hash").alias(f"root_{a}"), F.col(f"{b}_hash").alias(f"root_{b}"))
-    suspects = levels[-1].filter(differ).select("file_id", "idx")
-    for level in reversed(levels[:-1]):
-        up = suspects.select("file_id", F.col("idx").alias("parent"))
-        suspects = level.withColumn("parent", F.floor(F.col("idx") / fanout).cast("long")).join(up, ["file_id", "parent"], "left_semi").filter(differ)
-        suspects = suspects if level is leaves else suspects.select("file_id", "idx")
+    ours, theirs = merkle_tree(a, fanout, depth), merkle_tree(b, fanout, depth)
+
+    def differing(level: int, within: DataFrame | None) -> DataFrame:
+        """Nodes of a level, below the nodes `within`, that differ; fetched from each tree by itself."""
+        sides = []
+        for name, tree in (("a", ours), ("b", theirs)):
+            side = tree[level]
+            if within is not None:
+                up = within.select("file_id", F.col("idx").alias("parent"))
+                side = side.withColumn("parent", F.floor(F.col("idx") / fanout).cast("long")).join(up, ["file_id", "parent"], "left_semi")
+            own = ["hash", "start", "end"] + (["length", "page_id"] if level == 0 else [])
+            sides.append(side.select("file_id", "idx", *[F.col(c).alias(f"{name}_{c}") for c in own]))
+        return sides[0].join(sides[1], ["file_id", "idx"], "full").filter(~F.col("a_hash").eqNullSafe(F.col("b_hash")))
+
+    suspects = roots = cut(differing(depth, None), "suspects")
+    used = [roots]
+    for level in range(depth - 1, -1, -1):
+        suspects = cut(differing(level, suspects), "suspects")
+        used.append(suspects)
     status = (
-        F.when(F.col(f"{b}_hash").isNull(), f"missing_in_{b}").when(F.col(f"{a}_hash").isNull(), f"missing_in_{a}")
-        .when(F.col(f"{a}_length") != F.col(f"{b}_length"), "length").otherwise("digest")
+        F.when(F.col("b_hash").isNull(), "missing_in_b").when(F.col("a_hash").isNull(), "missing_in_a")
+        .when(F.col("a_length") != F.col("b_length"), "length").otherwise("digest")
     )
-    sides = reduce(lambda x, n: x + [f"{n}_start", f"{n}_end", f"{n}_hash"], (a, b), [])
-    return suspects.join(roots, "file_id").select("file_id", F.col("idx").alias("seq"), "page_id", status.alias("status"), *sides, f"root_{a}", f"root_{b}")
+    roots = roots.select("file_id", F.col("a_hash").alias("root_a"), F.col("b_hash").alias("root_b"))
+    out = suspects.join(roots, "file_id").select(
+        "file_id", F.col("idx").alias("seq"), F.coalesce("a_page_id", "b_page_id").alias("page_id"), status.alias("status"),
+        "a_start", "a_end", "a_hash", "b_start", "b_end", "b_hash", "root_a", "root_b",
+    )
+    out = cut(out, "fixity")
+    drop_cut(*used, *ours[1:], *theirs[1:])
+    return out
 
 
 def _damaged() -> Column:
     """A replica with planted damage, told by a digest of the address: a changed sign, a lost last sign, a missing record."""
-    mark = F.substring(F.sha2("url", 256), 1, 2)
-    sign = F.when(F.expr("substring(html, CAST(length(html) / 2 AS INT) + 1, 1)") == "X", "Y").otherwise("X")
-    changed = F.concat(F.expr("substring(html, 1, CAST(length(html) / 2 AS INT))"), sign, F.expr("substring(html, CAST(length(html) / 2 AS INT) + 2)"))
-    return (
-        F.when(mark == "00", changed).when(mark == "01", F.expr("substring(html, 1, greatest(length(html) - 1, 0))"))
-        .when(mark == "02", F.lit(None).cast("string")).otherwise(F.col("html"))
-    )
+    html = F.coalesce("html", F.lit(""))
+    mark = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 2)
+    middle = (F.length(html) / 2).cast("int")
+    sign = F.when(F.substring(html, middle + 1, F.lit(1)) == "X", "Y").otherwise("X")
+    changed = F.concat(F.substring(html, F.lit(1), middle), sign, F.substring(html, middle + 2, F.length(html)))
+    shorter = F.substring(html, F.lit(1), F.greatest(F.length(html) - 1, F.lit(0)))
+    return F.when(mark == "00", changed).when(mark == "01", shorter).when(mark == "02", F.lit(None).cast("string")).otherwise(html)
 
 
 DATE = "2024-01-01T00:00:00Z"
 
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = manifest(table(spark, sf_dir, "pages"))
-    return fixity_audit(hashed({"a": F.col("html"), "b": _damaged()}, pages, DATE), least_depth=3)
+    pages = table(spark, sf_dir, "pages")
+    replicas = [manifest(records(pages, body, DATE)) for body in (F.coalesce("html", F.lit("")), _damaged())]
+    return fixity_audit(*replicas, least_depth=3)
 
 
 def _oracle() -> str:
