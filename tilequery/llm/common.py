@@ -21,14 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, as in tests, a session on one machine gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tilequery_")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Paths written by cut() in this process, in order.
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there,
     a lost executor costs no recomputation of what lies before, and nothing is stored
@@ -36,22 +42,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilequery/{name}-{uuid.uuid4().hex}"
     # shuffle files of this write are of no use after it
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(SHUFFLE_CLEANUP)
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tilequery_path = path
+    WRITTEN.append(path)
     return out
 
 
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in WRITTEN:
+            WRITTEN.remove(name)
+
+
 def drop_cut(*frames: DataFrame) -> None:
     """Delete tables written by cut() that nothing lazy refers to any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._tilequery_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        drop_paths(df.sparkSession, [df._tilequery_path])
 
 
 def text_of(column: str = "text") -> Column:

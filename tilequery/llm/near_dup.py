@@ -187,13 +187,13 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         up = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("up"))
         jump = labels.select(F.col("key").alias("up"), F.col("label").alias("far"))
-        new = cut(up.join(jump, "up").select("key", "old", F.least("up", "far").alias("label")), "labels")
+        new = cut(up.join(jump, "up").select("key", F.least("up", "far").alias("label"), "old"), "labels")
         changed = new.filter("label <> old").limit(1).count()
         drop_cut(labels)
         labels = new
         if not changed:
             drop_cut(edges)
-            return labels.select("key", "label")
+            return labels
 
 
 def unshared(texts: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -328,8 +328,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     star = cut(estimated(star, nodes), "star")
     texts = _texts(df, text, doc_id, nodes, members)
     links = cut(verified(star, texts, threshold), "links")
-    labels = components(links)
-    rest = members.join(labels, "key", "left").select("bkey", "key", "n", F.coalesce("label", "key").alias("comp"))
+    first_labels = labels = components(links)
+    rest = members.join(labels.drop("old"), "key", "left").select("bkey", "key", "n", F.coalesce("label", "key").alias("comp"))
     mains = rest.groupBy("bkey", "comp").agg(F.count("*").alias("k"), F.max("n").alias("n")).groupBy("bkey").agg(
         F.max(F.struct("k", "comp")).alias("m"), F.max("n").alias("total")
     )
@@ -342,15 +342,18 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     more_links = cut(verified(more, texts, threshold), "links")
     labels = components(links.union(more_links))
     known = rows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("n"))
-    known = known.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    known = known.join(labels.drop("old"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     classes = known.groupBy("label").agg(F.min("rep").alias("rep"), F.sum("n").alias("class_size"))
     of = known.select("key", "label").join(classes, "label").select("key", "rep", "class_size")
     out = rows.select("key", "doc_id", "h").join(of, "key")
     real = lambda c: F.when(c != NULL_ID, c)
-    return out.select(
+    out = out.select(
         real(F.col("doc_id")).alias("doc_id"), "h", real(F.col("rep.doc_id")).alias("class_id"), "class_size",
         ((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("h") == F.col("rep.h"))).alias("keep"),
     )
+    done = cut(out, "classes")
+    drop_cut(rows, nodes, members, star, texts, links, first_labels, rest, more, more_links, labels)
+    return done
 
 
 def _texts(df: DataFrame, text: str, doc_id: str, nodes: DataFrame, members: DataFrame) -> DataFrame:
