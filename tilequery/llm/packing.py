@@ -109,7 +109,7 @@ class BestFit:
 
 
 def pack_documents(
-    df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, open_bins: int = 8192,
+    df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, open_bins: int = 8192, lookahead: int = 8192,
     text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """Cut every document into pieces of at most `capacity` tokens and pack them.
@@ -118,8 +118,9 @@ def pack_documents(
     piece (from 0), start (ids of the document before it), length, ids (little-endian
     unsigned 32-bit), sequence_id, offset (place in the sequence, gapless from 0).
     Of a document longer than `capacity` the first piece takes what is over a multiple
-    of it, so that all the others are sequences of their own. The pieces of an Arrow batch
-    are placed longest first.
+    of it, so that all the others are sequences of their own. Pieces arrive in the order of
+    the partition; of every `lookahead` pieces that arrived together (whole documents) the longer
+    are placed first. With lookahead 1 a document is placed before the next one is seen.
 
     A null or empty text is the end id alone. Ties and repeated rows are packed each for
     itself; an empty table gives an empty table; other input columns are ignored.
@@ -130,27 +131,32 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, fit = ByteEncoder.load(tokenizer_path), BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
+        arrived: list[tuple] = []  # doc_id, piece, start, length, ids
+
+        def placed() -> pa.RecordBatch:
+            places = [(0, 0)] * len(arrived)
+            for k in sorted(range(len(arrived)), key=lambda k: -arrived[k][3]):
+                number, offset = fit.place(arrived[k][3])
+                places[k] = (base + number, offset)
+            columns = [list(c) for c in (*zip(*arrived), *zip(*places))]
+            arrived.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
-            row, number, start, length, ids = [], [], [], [], []
-            for k in range(len(texts)):
-                own = np.append(encoder.encode(texts[k].as_py()), np.uint32(end_id))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.append(encoder.encode(text.as_py()), np.uint32(end_id))
                 raw, n = own.astype("<u4").tobytes(), len(own)
                 first = n % capacity or min(n, capacity)
                 for p, s in enumerate([0, *range(first, n, capacity)]):
                     e = s + (first if p == 0 else capacity)
-                    row.append(k), number.append(p), start.append(s), length.append(e - s), ids.append(raw[4 * s : 4 * e])
-            placed = [(0, 0)] * len(row)
-            for k in sorted(range(len(row)), key=length.__getitem__, reverse=True):
-                placed[k] = fit.place(length[k])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    docs.take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                    pa.array(ids, pa.binary()), pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
-            )
-
+                    arrived.append((doc, p, s, e - s, raw[4 * s : 4 * e]))
+                if len(arrived) >= lookahead:
+                    yield placed()
+        if arrived:
+            yield placed()
+
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     return rows.mapInArrow(run, SCHEMA)
 
