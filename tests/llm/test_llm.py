@@ -563,6 +563,33 @@ def test_short_items_leak_by_either_way(spark):
     assert handed == joined and len(handed) == 11
 
 
+def test_leaks_equal_brute_force_by_either_way(spark):
+    """All pairs of documents and items tiled naively; some items share a phrase that most documents have."""
+    common = prose(7)
+    rng = random.Random(8)
+    items = [prose(30) + " " + common + " " + prose(9) for _ in range(6)] + [common, prose(12), prose(5), prose(3), "zz yy"]
+    cutting = lambda t: " ".join(x for n in rng.sample(range(3), 3) for x in t.split()[n * len(t.split()) // 3 : (n + 1) * len(t.split()) // 3])
+    texts = [prose(rng.randint(0, 40)) + " " + rng.choice([common, "", cutting(rng.choice(items)), " ".join(rng.choice(items).split()[:18]), rng.choice(items)]) + " " + prose(rng.randint(0, 9)) for _ in range(120)]
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            if naive_tiles(item.split(), t.split(), min(5, len(item.split()))) >= 0.5 * len(item.split()):
+                want.add((d, i))
+    for handed in (8 << 20, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, handed_bytes=handed).collect()} == want
+    assert len(want) > 60
+
+
+def test_common_seeds_are_not_looked_up(spark):
+    common = prose(5)
+    theirs = spark.createDataFrame([(0, 0, prose(20) + " " + common + " " + prose(15))], "x long, y long, t string")
+    docs = spark.createDataFrame([(i, i, common + f" {i}") for i in range(50)], "x long, y long, t string")
+    seeds = decontaminate._seeds(theirs, [5], whole=True)
+    own = decontaminate._seeds(docs, [5]).select("size", "seed")
+    assert seeds.join(own, "seed", "left_semi").count() == 1 and decontaminate.telling_seeds(seeds, own, 0.5, 5).join(own, "seed", "left_semi").count() == 0
+
+
 # ---- words and pipeline
 
 

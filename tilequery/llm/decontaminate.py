@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BASE, BASE_INVERSE, NULL_ID, Words, id_of, powers, slices, string_buffers, table, text_of
+from .common import BASE, BASE_INVERSE, NULL_ID, Words, cut, drop_cut, id_of, powers, slices, string_buffers, table, text_of
 
 SEED_WORDS = 5
 COVERAGE = 0.5
@@ -130,7 +131,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _seeds(rows: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
-    """rows: (x, y, t). Distinct windows of each text of each of the sizes: (x, y, size, seed).
+    """rows: (x, y, t). Windows of each text of each of the sizes, each with its number of places there: (x, y, size, seed, places, words).
     With whole, a text of fewer words than the size is one seed of all its words and of their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +144,34 @@ def _seeds(rows: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
                     h, of = words.shingles(size)
                     if not whole:
                         h, of = h[count[of] >= size], of[count[of] >= size]
+                    order = np.lexsort((h, of))
+                    h, of = h[order], of[order]
+                    head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))) if len(h) else np.zeros(0, np.int64)
+                    places = np.diff(np.append(head, len(h)))
+                    h, of = h[head], of[head]
                     row, own = pa.array(of), np.minimum(count[of], size)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(own.astype(np.int32)), pa.array(h.view(np.int64))], names=["x", "y", "size", "seed"])
+                    numbers = [pa.array(x.astype(np.int32)) for x in (places, count[of])]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(row), batch.column(1).take(row), pa.array(own.astype(np.int32)), pa.array(h.view(np.int64)), *numbers],
+                        names=["x", "y", "size", "seed", "places", "words"],
+                    )
 
-    return rows.mapInArrow(run, "x long, y long, size int, seed long").distinct()
+    return rows.mapInArrow(run, "x long, y long, size int, seed long, places int, words int")
+
+
+def telling_seeds(theirs: DataFrame, own: DataFrame, coverage: float, k: int) -> DataFrame:
+    """The seeds of each item that a document must share one of, the rarest ones: (size, seed, item_id, g).
+
+    Tiles of k words or more that cover c words hold c / k seeds or more of the item, in
+    places counted. A document can lack all but that many places less one, so as many of the
+    item's most frequent seeds needn't be looked up. A phrase that is common in the corpus
+    hence makes no pairs, unless items consist of it.
+    """
+    often = own.join(theirs.select("size", "seed").distinct(), ["size", "seed"], "left_semi").groupBy("size", "seed").agg(F.count("*").alias("docs"))
+    item = Window.partitionBy("x", "y").orderBy(F.desc("docs"), "seed")
+    least = F.when(F.col("words") < k, 1).otherwise(F.ceil(F.lit(coverage) * F.col("words") / k - 1e-9))
+    listed = theirs.join(often, ["size", "seed"]).withColumn("passed", F.sum("places").over(item))
+    return listed.filter(F.col("passed") >= F.greatest(least, F.lit(1))).select("size", "seed", F.col("x").alias("item_id"), F.col("y").alias("g"))
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", coverage: float = COVERAGE, k: int = SEED_WORDS, handed_bytes: int = HANDED_BYTES) -> DataFrame:
@@ -179,10 +204,14 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str =
         out = docs.mapInArrow(run, SCHEMA)
     else:
         theirs = _seeds(items.select(F.col("item_id").alias("x"), F.xxhash64("item").alias("y"), F.col("item").alias("t")), [k], whole=True)
+        theirs = cut(theirs.distinct(), "item_seeds")
         short = [r[0] for r in theirs.filter(F.col("size") < k).select("size").distinct().collect()]  # at most k - 1
         own = _seeds(docs.select(F.col("doc_id").alias("x"), F.col("h").alias("y"), "t"), [*sorted(short), k])
-        pairs = own.join(theirs.select("size", "seed", F.col("x").alias("item_id"), F.col("y").alias("g")), ["size", "seed"])
-        pairs = pairs.select(F.col("x").alias("doc_id"), F.col("y").alias("h"), "item_id", "g").distinct()
+        # only seeds that some item has are written: a small part of the corpus
+        own = cut(own.join(theirs.select("size", "seed").distinct(), ["size", "seed"], "left_semi").select("size", "seed", F.col("x").alias("doc_id"), F.col("y").alias("h")), "seeds")
+        pairs = own.join(telling_seeds(theirs, own, coverage, k), ["size", "seed"]).select("doc_id", "h", "item_id", "g").distinct()
+        pairs = cut(pairs, "pairs")
+        drop_cut(own, theirs)
         both = docs.join(pairs, ["doc_id", "h"]).join(items.withColumn("g", F.xxhash64("item")), ["item_id", "g"])
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
