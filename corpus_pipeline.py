@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequery.llm.common import cut, id_of, table, text_of
+from tilequery.llm.common import WRITTEN, cut, drop_paths, id_of, table, text_of
 from tilequery.llm.decontaminate import leaks
 from tilequery.llm.importance import importance_resample
 from tilequery.llm.near_dup import near_duplicates
@@ -68,8 +68,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for k, (name, stage) in enumerate(STAGES):
+        known = len(WRITTEN)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, name)
+            # what the stage wrote for itself, and its input, are read no more
+            drop_paths(spark, [*before, *WRITTEN[known:-1]])
+            before = WRITTEN[-1:]
     return docs
