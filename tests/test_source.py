@@ -3,7 +3,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tilequery.operators import pyramid, requests, tiles, validation
+from tilequery.functions import text
+from tilequery.operators import pyramid, requests, service, tiles, validation
 from tilequery.sources import pyramid_tiff, tiff
 
 TILE = b"\xff\xd8\xff\xda\x00\x02ab\xff\xd9"
@@ -128,3 +129,76 @@ def test_values():
     assert sum(1 for _ in tiff.directories(lambda o, k: bytes(loop[o : o + k]), h)) == tiff.MAX_IFDS
     with pytest.raises(tiff.TiffError):
         tiff.read_header(lambda o, k: b"II\x63\0\0\0\0\0"[o : o + k], 8)
+
+
+def tables_of(spark, folder):
+    lv = pyramid.build(pyramid_tiff.read(spark, str(folder)))
+    return service.open_slides(spark, str(folder)), lv, pyramid_tiff.read(spark, str(folder), "arrays")
+
+
+def test_open_slides(spark, folder):
+    got = {r.name: r for r in named(service.open_slides(spark, str(folder))).collect()}
+    assert set(got) == set(FILES) | {"short.tif", "bad.tif"}
+    assert {n for n, r in got.items() if r.error is None} == {"le.tif", "be.tif", "big.tiff", "tab.tif", "full.svs", "pyr.tif"}
+    assert (got["lzw.tif"].error, got["strip.tif"].error, got["short.tif"].error) == ("unsupported_format", "unsupported_format", "file_too_small")
+    svs = got["full.svs"]
+    assert (svs.vendor.mpp, svs.vendor.magnification, svs.width, svs.height, svs.level_count) == (0.25, 40.0, 2048, 1536, 1)
+    assert got["le.tif"].warnings and got["le.tif"].vendor.mpp is None and [lv.level for lv in got["pyr.tif"].levels] == [0, 1, 2]
+
+
+def test_get_tiles(spark, folder):
+    """Statuses in the order of the checks, extents, repaired bytes, equal requests, and files that are gone."""
+    at = lambda name: str(folder / name)
+    gone, cut = folder / "gone.tif", folder / "cut.tif"
+    gone.write_bytes(build())
+    cut.write_bytes(build())
+    tables = [t.cache() for t in tables_of(spark, folder)]
+    assert all(t.count() for t in tables)
+    gone.unlink()
+    cut.write_bytes(build()[:8004])
+    rows = [
+        (1, at("tab.tif"), 0, 7, 5, 80), (2, at("tab.tif"), 0, 7, 5, 80), (3, at("tab.tif"), 0, 7, 5, None), (4, at("tab.tif"), 0, 7, 5, 90), (5, at("tab.tif"), 0, 8, 0, 80), (6, at("tab.tif"), 1, 0, 0, 80),
+        (7, at("tab.tif"), 0, 0, 0, 101), (8, "/nowhere.tif", 0, 0, 0, 0), (9, "/nowhere.tif", 0, 0, 0, 50), (10, at("lzw.tif"), 0, 0, 0, 80), (11, at("strip.tif"), 0, 0, 0, 80), (12, at("bad.tif"), 9, 0, 0, 80),
+        (13, at("be.tif"), 0, 1, 1, 80), (14, at("pyr.tif"), 2, 4, 3, 80), (15, at("gone.tif"), 0, 0, 0, 80), (16, at("cut.tif"), 0, 0, 0, 80), (17, at("full.svs"), 0, 0, 0, 1),
+    ]
+    wanted = spark.createDataFrame(rows, "request_id long, slide_id string, level int, tile_x long, tile_y long, quality int")
+    got = {r.request_id: r for r in service.get_tiles(wanted, *tables, encode=False).collect()}
+    repaired = TABLES[:-2] + TILE[2:]
+    assert {i: (r.status, r.error) for i, r in got.items() if r.error} == {
+        5: (400, "tile_out_of_bounds"), 6: (400, "invalid_level"), 7: (400, "invalid_quality"), 8: (400, "invalid_quality"), 9: (404, "not_found"), 10: (415, "unsupported_format"),
+        11: (415, "unsupported_format"), 12: (415, "unsupported_format"), 15: (404, "not_found"), 16: (500, "io_error"),
+    }
+    assert all(bytes(got[i].data) == repaired and (got[i].offset, got[i].length) == (8000, len(TILE)) for i in (1, 2, 3, 4, 17)) and all(bytes(got[i].data) == TILE for i in (13, 14))
+    assert {i for i, r in got.items() if r.cache_hit} == {2, 3} and len(got) == len(rows) and got[3].quality == 80
+    assert all(r.data is None for r in got.values() if r.error)
+    coded = {r.request_id: r.error for r in service.get_tiles(wanted.filter("request_id IN (1, 5, 15)"), *tables).collect()}
+    slides, lv, arrays = tables
+    lost = service.get_tiles(wanted.filter("request_id = 16"), slides, lv, pyramid_tiff.read(spark, str(cut), "arrays"), encode=False).collect()
+    assert [(r.status, r.error, r.data) for r in lost] == [(500, "io_error", None)]
+    cut.unlink()
+    assert (coded[5], coded[15]) == ("tile_out_of_bounds", "not_found") and (tiles.Image is not None or coded[1] == "decode_error")
+
+
+def test_thumbnails_from_files(spark, folder):
+    slides, lv, arrays = tables_of(spark, folder)
+    wanted = named(slides).filter("name IN ('pyr.tif', 'tab.tif')").select("slide_id", F.lit(300).alias("max_size"))
+    plan = requests.thumbnail_plan(wanted, lv)
+    each = named(service.thumbnail_tiles(plan, lv, arrays)).collect()
+    assert sorted((r.name, r.level) for r in each) == [("pyr.tif", 2)] * 20 + [("tab.tif", 0)] * 48
+    assert all(bytes(r.data) == (TABLES[:-2] + TILE[2:] if r.name == "tab.tif" else TILE) for r in each)
+    got = {r.name: (r.out_width, r.out_height, r.error) for r in named(tiles.thumbnails(service.thumbnail_tiles(plan, lv, arrays))).collect()}
+    assert set(got) == {"pyr.tif", "tab.tif"} and got["tab.tif"][:2] == (300, 225) and (tiles.Image is not None or got["tab.tif"][2] == "decode_error")
+
+
+def test_scan_of_listed_files(spark, folder):
+    files = spark.createDataFrame([(str(folder / n), (folder / n).stat().st_size) for n in ("pyr.tif", "bad.tif")] + [(str(folder / "lost.tif"), 9)], "slide_id string, size long")
+    for table in ("ifds", "arrays"):
+        listed = sorted(map(str, pyramid_tiff.scan(files, table).collect()))
+        assert listed == sorted(map(str, pyramid_tiff.read(spark, str(folder), table).filter(F.col("slide_id") == str(folder / "pyr.tif")).collect())) and listed
+    assert {r.name: r.error for r in named(pyramid_tiff.scan(files, "slides")).collect()} == {"pyr.tif": None, "bad.tif": "invalid_magic", "lost.tif": "not_found"}
+
+
+def test_tiff_header(spark):
+    rows = [b"II*\0\x08\0\0\0", b"MM\0*\0\0\0\x08", b"II+\0\x08\0\0\0", b"MM\0+\0\0\0\x08", b"II*\0", b"MM*\0\0\0\0\0", b"PK\x03\x04aaaa", b""]
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(rows)], "i int, data binary")
+    assert [r[0] for r in df.orderBy("i").select(text.is_tiff_header(F.col("data"))).collect()] == [True] * 4 + [False] * 4

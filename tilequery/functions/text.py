@@ -19,6 +19,12 @@ def is_slide_file(path: Column) -> Column:
     return F.lower(path).rlike(r"(?s)\.(svs|tif|tiff)\z")
 
 
+def is_tiff_header(data: Column) -> Column:
+    """Whether bytes begin as a TIFF or BigTIFF file of either byte order: eight bytes or more, mark and version."""
+    start = F.hex(F.substring(data, 1, 4))
+    return (F.octet_length(data) >= 8) & start.isin("49492A00", "49492B00", "4D4D002A", "4D4D002B")
+
+
 def dzi_xml(width: Column, height: Column, tile: Column) -> Column:
     return F.format_string(DZI, tile.cast("long"), width.cast("long"), height.cast("long"))
 

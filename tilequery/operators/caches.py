@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Cache(OrderedDict):
+    """The state of one shard: sizes by key in order of eviction, and their sum where it is bounded."""
+
+    bytes = 0
+
+
 def replay_lru(log: DataFrame, capacity: int) -> DataFrame:
     """log (shard, seq, op, key, bytes): an LRU cache of `capacity` entries; every look-up promotes, a miss loads.
 
     One pass over the sorted log with the cache as the only state: linear, where a join of
     reuse distances would grow with the square of a shard."""
 
-    def step(cache: OrderedDict, row) -> tuple[bool | None, list[str]]:
+    def step(cache: Cache, row) -> tuple[bool | None, list[str]]:
         if row.key in cache:
             cache.move_to_end(row.key)
             return True, []
@@ -34,22 +40,18 @@ def replay_bytes_lru(log: DataFrame, max_bytes: int, max_entries: int | None = N
     item larger than the bound evicts everything and itself. State is one cache of bounded
     size; rows stream through in order of (shard, seq)."""
 
-    held = {"bytes": 0}
-
-    def step(cache: OrderedDict, row) -> tuple[bool | None, list[str]]:
-        if not cache:
-            held["bytes"] = 0
+    def step(cache: Cache, row) -> tuple[bool | None, list[str]]:
         if row.op == "get":
             hit = row.key in cache
             if hit:
                 cache.move_to_end(row.key)
             return hit, []
-        held["bytes"] += row.bytes - cache.pop(row.key, 0)
+        cache.bytes += row.bytes - cache.pop(row.key, 0)
         cache[row.key] = row.bytes
         evicted = []
-        while cache and (held["bytes"] > max_bytes or (max_entries is not None and len(cache) > max_entries)):
+        while cache and (cache.bytes > max_bytes or (max_entries is not None and len(cache) > max_entries)):
             key, size = cache.popitem(last=False)
-            held["bytes"] -= size
+            cache.bytes -= size
             evicted.append(key)
         return None, evicted
 
@@ -59,7 +61,7 @@ def replay_bytes_lru(log: DataFrame, max_bytes: int, max_entries: int | None = N
 def replay_block_fifo(log: DataFrame, capacity: int) -> DataFrame:
     """log (shard, seq, op, key, bytes): block cache whose look-ups don't renew a block; evicts by age."""
 
-    def step(cache: OrderedDict, row) -> tuple[bool | None, list[str]]:
+    def step(cache: Cache, row) -> tuple[bool | None, list[str]]:
         if row.key in cache:
             return True, []
         evicted = [cache.popitem(last=False)[0]] if len(cache) >= capacity else []
@@ -71,12 +73,12 @@ def replay_block_fifo(log: DataFrame, capacity: int) -> DataFrame:
 
 def _replay(log: DataFrame, step) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, cache = None, OrderedDict()
+        shard, cache = None, Cache()
         for frame in frames:
             hits, gone = [], []
             for row in frame.itertuples(index=False):
                 if row.shard != shard:
-                    shard, cache = row.shard, OrderedDict()
+                    shard, cache = row.shard, Cache()
                 hit, evicted = step(cache, row)
                 hits.append(hit), gone.append(evicted)
             yield frame[["shard", "seq", "op", "key"]].assign(hit=pd.array(hits, "boolean"), evicted=gone)

@@ -23,7 +23,7 @@ except ImportError:
 GAP = 262_144
 
 
-def fetch(extents: DataFrame, files_per_task: int = 64) -> DataFrame:
+def fetch(extents: DataFrame) -> DataFrame:
     """extents (slide_id = path, offset, length, ...): adds data and error.
 
     Equal extents are read once; a task takes its files in order of offset and joins
@@ -40,6 +40,9 @@ def fetch(extents: DataFrame, files_per_task: int = 64) -> DataFrame:
             for k, row in enumerate(frame.itertuples(index=False)):
                 try:
                     if row.slide_id != path:
+                        if handle is not None:
+                            handle.close()
+                        path, handle = None, None
                         system, name = fs.FileSystem.from_uri(row.slide_id if "://" in row.slide_id else f"file://{row.slide_id}")
                         path, handle, held, start = row.slide_id, system.open_input_file(name), b"", 0
                     if not (start <= row.offset and row.offset + row.length <= start + len(held)):
@@ -56,6 +59,8 @@ def fetch(extents: DataFrame, files_per_task: int = 64) -> DataFrame:
                 except OSError:
                     data.append(None), errors.append("io_error")
             yield frame[["slide_id", "offset", "length"]].assign(data=data, error=errors)
+        if handle is not None:
+            handle.close()
 
     dealt = wanted.repartition("slide_id", "part").sortWithinPartitions("slide_id", "offset").drop("part")
     got = dealt.mapInPandas(run, "slide_id string, offset long, length long, data binary, error string")

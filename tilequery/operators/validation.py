@@ -26,34 +26,30 @@ def _name() -> Column:
     return F.coalesce(lookup(F.col("compression"), {k: n for k, (n, _) in COMPRESSIONS.items()}), F.lit("Unknown"))
 
 
+def _tile_findings(tiled: Column) -> list[Column]:
+    """What is wrong with a tiled directory or level."""
+    gone = F.array_join(_some(F.when(~F.col("has_offsets"), "TileOffsets"), F.when(~F.col("has_counts"), "TileByteCounts")), ",")
+    return [
+        _finding("missing_tag", tiled & F.col("compression").isNull(), F.lit("Compression")),
+        _finding("unsupported_compression", tiled & _unsupported(), _name()),
+        _finding("missing_tile_tags", tiled & (~F.col("has_offsets") | ~F.col("has_counts")), gone),
+        _finding("invalid_tile_dimensions", tiled & ((F.col("tile_width") == 0) | (F.col("tile_height") == 0)), F.lit("Tile dimensions cannot be zero")),
+    ]
+
+
 def check_levels(levels: DataFrame) -> DataFrame:
     """Add errors array<struct<code,ifd_index,detail>> and warnings array<string> to levels.
 
     levels: level, ifd_index, compression, tile_width, tile_height, has_offsets, has_counts, has_jpeg_tables."""
-    gone = F.array_join(F.filter(F.array(F.when(~F.col("has_offsets"), "TileOffsets"), F.when(~F.col("has_counts"), "TileByteCounts")), lambda x: x.isNotNull()), ",")
-    errors = _some(
-        _finding("missing_tag", F.col("compression").isNull(), F.lit("Compression")),
-        _finding("unsupported_compression", _unsupported(), _name()),
-        _finding("missing_tile_tags", ~F.col("has_offsets") | ~F.col("has_counts"), gone),
-        _finding("invalid_tile_dimensions", (F.col("tile_width") == 0) | (F.col("tile_height") == 0), F.lit("Tile dimensions cannot be zero")),
-    )
     warn = F.when((F.col("compression") == 7) & ~F.col("has_jpeg_tables"), F.format_string("Level %s: No JPEGTables tag found (tiles may have inline tables)", F.col("level").cast("string")))
-    return levels.withColumn("errors", errors).withColumn("warnings", _some(warn))
+    return levels.withColumn("errors", _some(*_tile_findings(F.lit(True)))).withColumn("warnings", _some(warn))
 
 
 def check_ifds(ifds: DataFrame) -> DataFrame:
     """The same for directories: strips only is an error and ends the check, not tiled is no finding."""
-    strips = F.col("is_stripped") & ~F.col("is_tiled")
     tiled = F.col("is_tiled")
     sides = F.greatest("tile_width", "tile_height")
-    gone = F.array_join(F.filter(F.array(F.when(~F.col("has_offsets"), "TileOffsets"), F.when(~F.col("has_counts"), "TileByteCounts")), lambda x: x.isNotNull()), ",")
-    errors = _some(
-        _finding("strip_organization", strips, F.lit(None)),
-        _finding("missing_tag", tiled & F.col("compression").isNull(), F.lit("Compression")),
-        _finding("unsupported_compression", tiled & _unsupported(), _name()),
-        _finding("missing_tile_tags", tiled & (~F.col("has_offsets") | ~F.col("has_counts")), gone),
-        _finding("invalid_tile_dimensions", tiled & ((F.col("tile_width") == 0) | (F.col("tile_height") == 0)), F.lit("Tile dimensions cannot be zero")),
-    )
+    errors = _some(_finding("strip_organization", F.col("is_stripped") & ~tiled, F.lit(None)), *_tile_findings(tiled))
     size = F.format_string("IFD %s: tile size %sx%s", F.col("ifd_index").cast("string"), F.col("tile_width").cast("string"), F.col("tile_height").cast("string"))
     uneven = (F.col("tile_width") % TILE_STEP != 0) | (F.col("tile_height") % TILE_STEP != 0)
     warnings = _some(F.when(tiled & (sides > LARGE_TILE), F.concat(size, F.lit(" is unusually large"))), F.when(tiled & uneven, F.concat(size, F.lit(" is not a multiple of 16"))))

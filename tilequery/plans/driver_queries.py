@@ -352,13 +352,30 @@ def q23_lru(spark: SparkSession, d: str) -> DataFrame:
     return caches.replay_lru(_log(spark, d), 4).select("shard", "seq", "key", "hit")
 
 
-@query(None)
+@query("""WITH RECURSIVE log AS (
+  SELECT user_id AS shard, event_id AS seq, event_type || (floor(value)::BIGINT % 3) AS key, CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS op,
+    floor(value)::BIGINT + 1 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), r(shard, n, cache, seq, op, key, hit, n_evicted) AS (
+  SELECT DISTINCT shard, 0::BIGINT, []::STRUCT(k VARCHAR, b BIGINT)[], NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BOOLEAN, 0 FROM log
+  UNION ALL SELECT shard, n, after[gone + 1:], seq, op, key, hit, gone FROM (
+    SELECT *, CASE WHEN op = 'get' THEN 0 ELSE len(list_filter(range(1, len(after) + 1), lambda i: list_sum(list_transform(after[i:], lambda x: x.b)) > 1500)) END::INT AS gone FROM (
+      SELECT l.shard, l.n, l.seq, l.op, l.key, CASE WHEN l.op = 'get' THEN len(list_filter(r.cache, lambda x: x.k = l.key)) > 0 END AS hit,
+        list_concat(list_filter(r.cache, lambda x: x.k <> l.key), CASE WHEN l.op = 'put' THEN [{'k': l.key, 'b': l.bytes}] ELSE list_filter(r.cache, lambda x: x.k = l.key) END) AS after
+      FROM r JOIN log l ON l.shard = r.shard AND l.n = r.n + 1))
+) SELECT shard, seq, op, key, hit, n_evicted FROM r WHERE n > 0""")
 def q24_bytes_lru(spark: SparkSession, d: str) -> DataFrame:
     out = caches.replay_bytes_lru(_log(spark, d), 1500)
     return out.select("shard", "seq", "op", "key", "hit", F.size("evicted").alias("n_evicted"))
 
 
-@query(None)
+@query("""WITH RECURSIVE log AS (
+  SELECT user_id AS shard, event_id AS seq, event_type || (floor(value)::BIGINT % 3) AS key, CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS op,
+    floor(value)::BIGINT + 1 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), r(shard, n, cache, seq, key, hit, n_evicted) AS (
+  SELECT DISTINCT shard, 0::BIGINT, []::VARCHAR[], NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, 0 FROM log
+  UNION ALL SELECT l.shard, l.n, CASE WHEN list_contains(r.cache, l.key) THEN r.cache WHEN len(r.cache) >= 4 THEN list_append(r.cache[2:], l.key) ELSE list_append(r.cache, l.key) END,
+    l.seq, l.key, list_contains(r.cache, l.key), (NOT list_contains(r.cache, l.key) AND len(r.cache) >= 4)::INT FROM r JOIN log l ON l.shard = r.shard AND l.n = r.n + 1
+) SELECT shard, seq, key, hit, n_evicted FROM r WHERE n > 0""")
 def q24_block_fifo(spark: SparkSession, d: str) -> DataFrame:
     return caches.replay_block_fifo(_log(spark, d), 4).select("shard", "seq", "key", "hit", F.size("evicted").alias("n_evicted"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from . import tiff
@@ -111,8 +111,12 @@ class PyramidTiffReader(DataSourceReader):
         for h, k, entries in self._each(path, size, read):
             own = tiff.by_tag(entries)
             if 324 in own and 325 in own:
-                tables = own[347].bytes(h, read) if 347 in own else None
-                yield path, k, own[324].numbers(h, read), own[325].numbers(h, read), tables
+                try:
+                    tables = own[347].bytes(h, read) if 347 in own else None
+                    row = path, k, own[324].numbers(h, read), own[325].numbers(h, read), tables
+                except tiff.TiffError:  # values beyond the end of the file: its tiles have no extents
+                    continue
+                yield row
 
 
 class PyramidTiff(DataSource):
@@ -135,3 +139,25 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, path: str, table: str = "ifds"):
     register(spark)
     return spark.read.format("pyramidtiff").option("table", table).load(path)
+
+
+def scan(files: DataFrame, table: str = "ifds") -> DataFrame:
+    """The same tables of files that are listed in a DataFrame (slide_id: path, size long), however many: nothing is listed on the driver.
+
+    Files are dealt over tasks by path. A file that is gone is, in the slides table, a row with the error not_found."""
+    import pandas as pd
+
+    columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, size in zip(frame.slide_id, frame["size"]):
+                reader = PyramidTiffReader({"path": path, "table": table})
+                try:
+                    rows = list(reader.read(Files([(reader._fs()[1], int(size))])))
+                except FileNotFoundError as e:
+                    rows = [(path, int(size), None, None, None, None, None, "not_found", str(e))] if table == "slides" else []
+                if rows:
+                    yield pd.DataFrame([(path, *r[1:]) for r in rows], columns=columns)
+
+    return files.select("slide_id", "size").distinct().mapInPandas(run, SCHEMAS[table])
