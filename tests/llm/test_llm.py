@@ -477,7 +477,10 @@ def test_best_fit_is_tight():
 # ---- 8
 
 
-def test_quality_rules(spark, docs, empty):
+@pytest.mark.parametrize("bits", [20, 62, 2])
+def test_quality_rules(docs, empty, bits, monkeypatch):
+    """62 bits for positions leave two of the hash, so nearly all windows collide; with 2, positions don't fit."""
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", bits)
     for r in quality_rules.quality_rules(docs.withColumn("t2", F.col("text")), keep=("doc_id", "t2")).collect():
         t = r.t2 or ""
         words = re.findall("[^\x20\x09-\x0d]+", t)

@@ -65,24 +65,39 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+#: Low bits of a window's hash that hold its position instead.
+POSITION_BITS = 20
+
+
 def _repeat_words(words: str) -> str:
     """Words covered by five-word windows that occur twice or more.
 
-    A text whose window hashes are all different has none. For the others the windows
-    are sorted by hash and words with their positions; equal neighbours mark repeated
-    windows, and over the sorted marked positions a window adds min(5, next - own) words.
-    Elements are read one by one: slice() would copy the whole array for each window.
+    Window hashes, with positions in their low bits, are sorted as plain numbers; neighbours
+    with equal high bits are compared word by word. If all of these are equal, they are the
+    repeated windows, and over their sorted positions a window adds min(5, next - own) words.
+    If some aren't (a collision), or positions don't fit, windows are sorted by hash and
+    words. Elements are read one by one: slice() would copy the whole array for each window.
     """
     five = ", ".join(f"{words}[i + {k}]" for k in range(5))
-    hashes = f"transform(sequence(0, size({words}) - 5), i -> xxhash64({five}))"
-    windows = f"sort_array(transform(h, (x, i) -> struct(x AS h, concat_ws(' ', {five}) AS w, i AS i)))"
+    covered = "aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(5, coalesce(b - a, 5))), 0, (a, x) -> a + x)"
+    positions = f"sequence(0, size({words}) - 5)"
+    windows = f"sort_array(transform({positions}, i -> struct(xxhash64({five}) AS h, concat_ws(' ', {five}) AS w, i AS i)))"
     marked = (
         "sort_array(array_distinct(flatten(filter(zip_with(s, slice(s, 2, size(s)), "
         "(a, b) -> IF(a.h = b.h AND a.w = b.w, array(a.i, b.i), NULL)), x -> x IS NOT NULL))))"
     )
-    covered = "aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(5, coalesce(b - a, 5))), 0, (a, x) -> a + x)"
     exact = _let(windows, "s", _let(marked, "p", covered))
-    return f"CASE WHEN size({words}) < 6 THEN 0 ELSE {_let(hashes, 'h', f'CASE WHEN size(array_distinct(h)) = size(h) THEN 0 ELSE {exact} END')} END"
+    low = (1 << POSITION_BITS) - 1
+    hashes = f"sort_array(transform({positions}, i -> (xxhash64({five}) & {~low}L) | CAST(i AS BIGINT)))"
+    place = lambda x: f"CAST({x} & {low}L AS INT)"
+    alike = (
+        f"filter(zip_with(h, slice(h, 2, size(h)), (a, b) -> IF(shiftright(a, {POSITION_BITS}) = shiftright(b, {POSITION_BITS}), "
+        f"struct({place('a')} AS i, {place('b')} AS j), NULL)), x -> x IS NOT NULL)"
+    )
+    equal = " AND ".join(f"{words}[x.i + {k}] = {words}[x.j + {k}]" for k in range(5))
+    fast = _let("sort_array(array_distinct(flatten(transform(z, x -> array(x.i, x.j)))))", "p", covered)
+    found = _let(hashes, "h", _let(alike, "z", f"CASE WHEN size(z) = 0 THEN 0 WHEN forall(z, x -> {equal}) THEN {fast} ELSE {exact} END"))
+    return f"CASE WHEN size({words}) < 6 THEN 0 WHEN size({words}) > {low} THEN {exact} ELSE {found} END"
 
 
 def _words(text: str) -> str:
