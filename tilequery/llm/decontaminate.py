@@ -12,16 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BASE, BASE_INVERSE, NULL_ID, Words, cut, drop_cut, id_of, powers, slices, string_buffers, table, text_of
+from .common import BASE, BASE_INVERSE, NULL_ID, Words, cut, drop_cut, id_of, mix64, powers, slices, string_buffers, table, text_of
 
 SEED_WORDS = 5
 COVERAGE = 0.5
 #: Items are handed to every task up to this many bytes of text; a larger benchmark is joined by its seeds.
 HANDED_BYTES = 8 << 20
+#: Bits that the seeds of a larger benchmark are marked in, 8 MB whatever its size; the join behind it is exact.
+SIEVE_BITS = 1 << 26
+#: Tasks that the documents of one seed or item are dealt over.
+SALTS = 16
 SCHEMA = "doc_id long, h long, item_id long, coverage double, n_tiles int, longest int"
 
 
@@ -130,9 +135,43 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _seeds(rows: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
+def _bits(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of 64 bits, bit among them) of each seed in the sieve."""
+    at = mix64(seeds) & np.uint64(bits - 1)
+    return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+
+def sieve(theirs: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
+    """A bit for each of the benchmark's seeds; tasks mark their own before anything moves, and at most bits / 64 rows are gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at, bit = _bits(np.asarray(batch.column(0)).view(np.uint64), bits)
+            np.bitwise_or.at(marked, at, bit)
+        used = np.flatnonzero(marked)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(marked[used].view(np.int64))], names=["at", "marked"])
+
+    got = theirs.select("seed").mapInArrow(run, "at long, marked long").groupBy("at").agg(F.bit_or("marked").alias("marked")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[np.asarray(got["at"])] = np.asarray(got["marked"]).view(np.uint64)
+    return out
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of one seed or item, dealt by document."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of the benchmark, one for each salt."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _seeds(rows: DataFrame, sizes: list[int], whole: bool = False, known: Broadcast | None = None) -> DataFrame:
     """rows: (x, y, t). Windows of each text of each of the sizes, each with its number of places there: (x, y, size, seed, places, words).
-    With whole, a text of fewer words than the size is one seed of all its words and of their number."""
+    With whole, a text of fewer words than the size is one seed of all its words and of their number.
+    With known, a sieve, only windows whose bit is marked in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -144,6 +183,10 @@ def _seeds(rows: DataFrame, sizes: list[int], whole: bool = False) -> DataFrame:
                     h, of = words.shingles(size)
                     if not whole:
                         h, of = h[count[of] >= size], of[count[of] >= size]
+                    if known is not None:
+                        at, bit = _bits(h, 64 * len(known.value))
+                        hit = (known.value[at] & bit) != 0
+                        h, of = h[hit], of[hit]
                     order = np.lexsort((h, of))
                     h, of = h[order], of[order]
                     head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))) if len(h) else np.zeros(0, np.int64)
@@ -185,8 +228,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str =
     for each; null ids come back null. Empty tables give an empty table; other columns are
     ignored. The benchmark is handed to all tasks if its text has at most handed_bytes
     (documents then aren't shuffled at all); beyond that seeds, with windows of
-    the length of each shorter item, are joined by a shuffle and only texts with a shared seed
-    move. Both ways give the same rows.
+    the length of each shorter item, pass a sieve of fixed size and are joined by a shuffle, in
+    which a seed's or item's documents are dealt over SALTS tasks, and texts move once. Both ways give the same rows.
     """
     docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
     items = benchmark.select(id_of("item_id").alias("item_id"), text_of("text").alias("item"))
@@ -206,13 +249,16 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str =
         theirs = _seeds(items.select(F.col("item_id").alias("x"), F.xxhash64("item").alias("y"), F.col("item").alias("t")), [k], whole=True)
         theirs = cut(theirs.distinct(), "item_seeds")
         short = [r[0] for r in theirs.filter(F.col("size") < k).select("size").distinct().collect()]  # at most k - 1
-        own = _seeds(docs.select(F.col("doc_id").alias("x"), F.col("h").alias("y"), "t"), [*sorted(short), k])
+        known = df.sparkSession.sparkContext.broadcast(sieve(theirs))
+        own = _seeds(docs.select(F.col("doc_id").alias("x"), F.col("h").alias("y"), "t"), [*sorted(short), k], known=known)
+        own = _dealt(own.select("size", "seed", F.col("x").alias("doc_id"), F.col("y").alias("h")))
         # only seeds that some item has are written: a small part of the corpus
-        own = cut(own.join(theirs.select("size", "seed").distinct(), ["size", "seed"], "left_semi").select("size", "seed", F.col("x").alias("doc_id"), F.col("y").alias("h")), "seeds")
-        pairs = own.join(telling_seeds(theirs, own, coverage, k), ["size", "seed"]).select("doc_id", "h", "item_id", "g").distinct()
-        pairs = cut(pairs, "pairs")
+        own = cut(own.join(_spread(theirs.select("size", "seed").distinct()), ["size", "seed", "salt"], "left_semi"), "seeds")
+        telling = _spread(telling_seeds(theirs, own, coverage, k))
+        pairs = cut(own.join(telling, ["size", "seed", "salt"]).select("doc_id", "h", "item_id", "g").distinct(), "pairs")
         drop_cut(own, theirs)
-        both = docs.join(pairs, ["doc_id", "h"]).join(items.withColumn("g", F.xxhash64("item")), ["item_id", "g"])
+        listed = _dealt(pairs).join(_spread(items.withColumn("g", F.xxhash64("item"))), ["item_id", "g", "salt"])
+        both = docs.join(listed, ["doc_id", "h"])
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
