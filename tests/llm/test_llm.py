@@ -232,6 +232,14 @@ def test_fixity_of_a_page_that_repeats(spark):
     assert got[0].a_start == got[0].b_start == next(r.start for r in one if r.hash == got[0].a_hash)
 
 
+def test_fixity_with_clashing_columns(spark):
+    names = "file_id long, idx long, start long, end long, hash string, a_hash string, b_hash string, record string, level int, node long, status string, n long"
+    rows = [(i, f"http://h/{i}", f"body {i}", 1, 2, 3, 4, "h", "a", "b", "r", 5, 6, "s", 7) for i in range(900)]
+    pages = spark.createDataFrame(rows, f"page_id long, url string, html string, {names}")
+    got = audit(pages, F.col("html"), F.when(F.col("page_id") == 444, "bodY 444").otherwise(F.col("html"))).collect()
+    assert [(r.page_id, r.status) for r in got] == [(444, "digest")]
+
+
 # ---- 5
 
 
@@ -594,6 +602,69 @@ def test_common_seeds_are_not_looked_up(spark):
     assert seeds.join(own, "seed", "left_semi").count() == 1 and decontaminate.telling_seeds(seeds, own, 0.5, 5).join(own, "seed", "left_semi").count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 26])
+def test_sieve_passes_every_seed(spark, bits, monkeypatch):
+    """However full the sieve is, no seed is lost and the rows stay the same; one item stands in most documents."""
+    items = [prose(12) for _ in range(40)]
+    bench = spark.createDataFrame([*enumerate(items), (40, "zq1 zq2")], "item_id long, text string")
+    seeds = decontaminate._seeds(bench.select(F.col("item_id").alias("x"), F.lit(0).cast("long").alias("y"), F.col("text").alias("t")), [5], whole=True)
+    marked = decontaminate.sieve(seeds, bits)
+    at, bit = decontaminate._bits(np.array([r.seed for r in seeds.collect()], np.int64).view(np.uint64), bits)
+    assert len(marked) == bits // 64 and ((marked[at] & bit) != 0).all()
+    rows = [(i, f"{prose(20)} {items[0] if i % 3 else items[i % 40]} {'zq1 zq2' if i % 9 == 0 else ''} {prose(5)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = decontaminate.sieve
+    monkeypatch.setattr(decontaminate, "sieve", lambda theirs: own(theirs, bits))
+    handed, joined = (sorted(map(repr, decontaminate.leaks(df, bench, handed_bytes=n).collect())) for n in (8 << 20, 0))
+    assert handed == joined and len(handed) > 200
+
+
+def test_leaks_with_clashing_columns(spark):
+    names = "h long, t string, g long, x long, y long, size int, seed long, salt int, item string, coverage double"
+    other = (1, "t", 2, 3, 4, 5, 6, 7, "i", 0.5)
+    item = prose(30)
+    df = spark.createDataFrame([(1, f"{prose(9)} {item}", 77, *other), (2, prose(40), 77, *other)], f"doc_id long, text string, item_id long, {names}")
+    bench = spark.createDataFrame([(5, item, 88, *other)], f"item_id long, text string, doc_id long, {names}")
+    for handed in (8 << 20, 0):
+        got = decontaminate.leaks(df, bench, handed_bytes=handed)
+        assert got.columns == ["doc_id", "h", "item_id", "coverage", "n_tiles", "longest"] and [(r.doc_id, r.item_id, r.coverage) for r in got.collect()] == [(1, 5, 1.0)]
+
+
+# ---- texts of megabytes
+
+
+def test_texts_of_megabytes(spark):
+    """A text of 1.2 MB, one that shares all but a few words with it, and short ones, through each operator on documents."""
+    long = prose(210_000)
+    other = long.split(" ")
+    for k in range(0, len(other), 30_000):
+        other[k] = f"own{k}"
+    edited = " ".join(other)
+    texts = {1: long, 2: edited, 3: prose(100), 4: "", 5: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    known = license_scan.known_licenses(spark, {"long": long.upper(), "mit": "a short one"})
+    assert {r.doc_id: r.license_id for r in license_scan.license_scan(df, known).collect()} == {1: "long", 2: None, 3: None, 4: None, 5: None}
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = token_counts.PieceEncoder.load(path).model
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path).collect()} == {i: len(model.encode(t or "")) for i, t in texts.items()}
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df.filter("doc_id < 4")).collect()} == {1: 1, 2: 1, 3: 3}
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    # what lies between two edits is far longer than 400 bytes, so all goes but the edited words
+    assert [rows[i].n_removed for i in (3, 4, 5)] == [0, 0, 0] and [len(long.encode()) - rows[1].n_removed, rows[1].n_spans] == [sum(len(long.split(" ")[k].encode()) for k in range(0, 210_000, 30_000)), 7]
+    assert bytes(rows[2].kept).decode() == "".join(f"own{k}" for k in range(0, 210_000, 30_000))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert got[1].n_words == 210_000 and got[1].word_chars == len(long) - 209_999 and got[5].n_words == 0
+    packed = collections.Counter()
+    for r in packing.packed(df).collect():
+        packed[r.doc_id] += r.length
+        assert r.length <= 1024
+    exact = packing.ByteEncoder.load(public_tokenizers.path("byte_bpe_50k.json")).exact
+    assert packed == {i: len(exact.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    bench = spark.createDataFrame([(7, " ".join(long.split(" ")[200_001:200_041]))], "item_id long, text string")
+    for handed in (8 << 20, 0):
+        assert {r.doc_id for r in decontaminate.leaks(df, bench, handed_bytes=handed).collect()} == {1, 2}
+
+
 # ---- words and pipeline
 
 
