@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilequery.llm import chat_format, decontaminate, entries, importance, license_scan, near_dup, packing, quality_rules, suffix_dedup, token_counts, warc_fixity
+from tilequery.llm import chat_format, decontaminate, entries, hard_negatives, importance, license_scan, near_dup, packing, quality_rules, suffix_dedup, token_counts, warc_fixity, whitening
 from tilequery.llm.common import Words, string_buffers, word_values
 
 DATA = "/root/testdata/sf0.001"
@@ -74,7 +74,7 @@ def values(frame):
 @pytest.mark.parametrize("name", sorted(entries.ORACLES))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     assert values(entries.QUERIES[name](spark, DATA).toPandas()) == values(c.execute(entries.ORACLES[name]).df())
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, importance, license_scan, near_dup, packing, quality_rules, suffix_dedup, token_counts, warc_fixity
+from . import chat_format, decontaminate, hard_negatives, importance, license_scan, near_dup, packing, quality_rules, suffix_dedup, token_counts, warc_fixity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
