@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, hard_negatives, importance, license_scan, near_dup, packing, quality_rules, suffix_dedup, token_counts, warc_fixity, whitening
+from . import chat_format, decontaminate, hard_negatives, id_files, importance, license_scan, near_dup, packing, quality_rules, suffix_dedup, token_counts, warc_fixity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_id_files": id_files.op11_id_files,
     "op12_whitening": whitening.op12_whitening,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
