@@ -102,7 +102,7 @@ def test_awkward_rows(spark, tmp_path):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
     want = {(d, n, c) for d, _, n, c in expected([r[:2] for r in rows])}
     assert {(r.doc_id, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got} == want
-    assert blob_sink.blobs(spark, path).count() > 2
+    assert blob_sink.blobs(spark, path).count() >= 2
     with pytest.raises(Exception, match="written before|ids"):
         id_files.write_ids(frame.limit(1), path, PATH, 0)
     name = f"{path}/{blob_sink.blobs(spark, path).first().name}"

@@ -240,6 +240,57 @@ def test_fixity_with_clashing_columns(spark):
     assert [(r.page_id, r.status) for r in got] == [(444, "digest")]
 
 
+def replica(spark, rows, parts=3):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return warc_fixity.manifest(warc_fixity.records(pages, F.col("html"), warc_fixity.DATE))
+
+
+def found(a, b):
+    return sorted(((r.page_id, r.status) for r in warc_fixity.fixity_audit(a, b).collect()), key=str)
+
+
+PAGES = [(i, f"http://h/{i}", f"body {i} " + "x" * (i % 9)) for i in range(500)]
+
+
+@pytest.mark.parametrize("gone", [0, 5, 250, 499])
+def test_fixity_of_an_absent_record(spark, gone):
+    """One record less, one more: one row each, and no more than its slot's records are looked at."""
+    whole = replica(spark, PAGES)
+    less = replica(spark, [r for r in PAGES if r[0] != gone], 5)
+    assert found(whole, less) == [(gone, "missing_in_b")] and found(less, whole) == [(gone, "missing_in_a")]
+    row = warc_fixity.fixity_audit(whole, less).first()
+    assert row.seq == gone and row.b_start is None and row.a_end - row.a_start == len(f"http://h/{gone}") + len(PAGES[gone][2]) + len("WARC/1.0WARC-Type: responseWARC-Target-URI: WARC-Date: Content-Length: ") + len(warc_fixity.DATE) + len(str(len(PAGES[gone][2]))) + 16
+    trees = [warc_fixity.merkle_tree(m, 16, 3) for m in (whole, less)]
+    unlike = lambda level: trees[0][level].join(trees[1][level], ["file_id", "idx", "hash"], "left_anti").count()
+    assert [unlike(k) for k in range(4)] == [1, 1, 1, 1]
+
+
+def test_fixity_of_an_independent_replica(spark):
+    """Other order, inserted, changed, absent and repeated records, and whole files that one side lacks."""
+    same = [(7, "http://h/7", "twice")] * 5 + [(8, "http://h/8", f"own {k}") for k in range(6)] + [(None, "http://n", "n"), (None, "http://m", "m")]
+    a = PAGES + same + [(5000, "http://h/5000", "only a")]
+    b = PAGES[::-1] + same[1:4] + [(8, "http://h/8", f"own {k}") for k in range(1, 6)] + [(8, "http://h/8", "own 00"), (None, "http://m", "M")] + [(9999, "http://h/9999", "only b")]
+    b = [(r[0], r[1], "changed") if r[0] == 41 else r for r in b if r[0] != 40]
+    want = [(7, "missing_in_b")] * 2 + [(8, "length"), (40, "missing_in_b"), (41, "length"), (5000, "missing_in_b"), (9999, "missing_in_a"), (None, "digest"), (None, "missing_in_b")]
+    assert found(replica(spark, a, 2), replica(spark, b, 7)) == sorted(want, key=str)
+    assert found(replica(spark, a, 2), replica(spark, a[::-1], 5)) == []
+    assert found(replica(spark, a, 2), replica(spark, [], 1)) == sorted(((r[0], "missing_in_b") for r in a), key=str)
+
+
+def test_fixity_of_equal_records_in_number(spark):
+    """Of thousands of equal records of one page some are missing."""
+    many = [(3, "http://h/3", "same")] * 4000 + PAGES[:3]
+    less = [(3, "http://h/3", "same")] * 3950 + PAGES[:3] + [(3, "http://h/3", "new")] * 2
+    got = warc_fixity.fixity_audit(replica(spark, many), replica(spark, less)).collect()
+    assert collections.Counter(r.status for r in got) == {"length": 2, "missing_in_b": 48} and len({r.a_start for r in got}) == 50
+
+
+def test_fixity_of_long_records(spark):
+    a = replica(spark, [(k, f"http://h/{k}", "word " * (400_000 * (k % 3))) for k in range(6)])
+    b = replica(spark, [(k, f"http://h/{k}", "word " * (400_000 * (k % 3)) + "!" * (k == 4)) for k in range(6) if k != 2])
+    assert found(a, b) == [(2, "missing_in_b"), (4, "length")]
+
+
 # ---- 5
 
 

@@ -1,10 +1,12 @@
 """Operator 4: Merkle fixity audit of WARC files and a replica of them.
 
-Each replica has a manifest of its own: the digest, length and byte range of every record,
-made where the record is read; only these move from there on. Over each manifest a tree is
-built: a node is the hash of its ordered children and has the range of byte offsets they
-cover. The roots of the two trees are compared, and from level to level only the children
-of nodes that differ are fetched from either tree.
+Each replica has a manifest of its own: the digest, length and byte range of every record that
+it holds, in its own order; only these move from there on. Over each manifest a tree is built.
+A leaf is a slot of the file's key space, which the record's key alone tells, and a node covers
+a range of slots and the byte offsets of their records; so a record that is absent or inserted
+changes the nodes above its slot and no others. The roots of the two trees are compared, and from level to
+level only the children of nodes that differ are fetched from either tree; records of
+slots that differ are matched by key, digest and number.
 """
 
 from __future__ import annotations
@@ -33,31 +35,31 @@ def warc_record(url: Column, date: str, body: Column) -> Column:
 
 
 def records(pages: DataFrame, body: Column, date: str, file_records: int = FILE_RECORDS) -> DataFrame:
-    """The records of one replica: file_id, page_id, order_key, length and hash (null: the replica hasn't the record).
+    """The records that one replica holds: file_id, slot, key, page_id, length and hash.
 
-    Files hold the pages of a range of `file_records` ids. A null page_id is dealt by a
-    hash of its address over 1024 files with negative numbers. body: what the replica
-    holds of a page (null: nothing); order_key: the digest of what was archived, by which
-    records of one page_id are ordered in either replica.
+    Files hold the pages of a range of `file_records` ids, a slot for each. A null page_id is dealt by a
+    hash of its address over 1024 files with negative numbers and their slots, and its key is a hash of the address. body: what
+    the replica holds of a page (null: it hasn't the record).
     """
-    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    url = F.coalesce("url", F.lit(""))
     file_id = F.coalesce(F.floor(F.col("page_id") / file_records), -1 - F.pmod(F.crc32(url), F.lit(1024)))
+    slot = F.pmod(F.coalesce(F.col("page_id").cast("long"), F.floor(F.crc32(url) / 1024)), F.lit(file_records))
     record = warc_record(url, date, body)
     return pages.select(
-        file_id.cast("long").alias("file_id"), F.col("page_id").cast("long"), F.sha2(F.concat(url, F.lit("\n"), html), 256).alias("order_key"),
-        F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"),
-    )
+        file_id.cast("long").alias("file_id"), slot.cast("long").alias("slot"), F.coalesce(F.col("page_id").cast("long"), F.xxhash64(url)).alias("key"),
+        F.col("page_id").cast("long"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"),
+    ).filter("hash IS NOT NULL")
 
 
 def manifest(records: DataFrame) -> DataFrame:
-    """Number the records of each file and sum up their offsets: file_id, idx, page_id, length, hash, start, end.
+    """Number the records of each file and sum up their offsets: file_id, idx, slot, key, page_id, length, hash, start, end.
 
-    Records are sorted by ranges of (file_id, page_id, order_key), so a file however large is
-    dealt over tasks; each task numbers its part of a file, and the counts and bytes of a
-    file's earlier parts are added. Written to the shared folder.
+    Records of a file are ordered by page_id and, of one page_id, as the replica has them. They are sorted by ranges, so
+    a file however large is dealt over tasks; each task numbers its part of a file, and the counts and
+    bytes of a file's earlier parts are added. Written to the shared folder.
     """
-    order = ["file_id", "page_id", "order_key", "tie"]
-    # equal records are told apart by their place in the input, else they'd all meet in one task
+    order = ["file_id", "page_id", "key", "tie"]
+    # records of one page are told apart by their place in the input, else they'd all meet in one task
     dealt = records.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +67,9 @@ def manifest(records: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            file_id, length = np.asarray(batch.column(0)), np.asarray(batch.column(2).fill_null(0))
-            first = np.flatnonzero(np.append(True, file_id[1:] != file_id[:-1]))
-            run_of = np.cumsum(np.append(True, file_id[1:] != file_id[:-1])) - 1
+            file_id, length = np.asarray(batch.column(0)), np.asarray(batch.column(4))
+            new = np.append(True, file_id[1:] != file_id[:-1])
+            first, run_of = np.flatnonzero(new), np.cumsum(new) - 1
             total = np.cumsum(length)
             idx = np.arange(len(file_id)) - first[run_of]
             end = total - (total[first] - length[first])[run_of]
@@ -77,7 +79,8 @@ def manifest(records: DataFrame) -> DataFrame:
             last, count, size = file_id[-1], int(idx[-1]) + 1, int(end[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(idx), part)), pa.array(idx), pa.array(end)], names=[*batch.schema.names, "part", "idx", "end"])
 
-    numbered = dealt.select("file_id", "page_id", "length", "hash").mapInArrow(run, "file_id long, page_id long, length long, hash string, part long, idx long, end long")
+    own = "file_id long, slot long, key long, page_id long, length long, hash string"
+    numbered = dealt.select("file_id", "slot", "key", "page_id", "length", "hash").mapInArrow(run, f"{own}, part long, idx long, end long")
     numbered = cut(numbered, "manifest_parts")
     parts = numbered.groupBy("file_id", "part").agg(F.max("idx").alias("n"), F.max("end").alias("bytes"))
     before = Window.partitionBy("file_id").orderBy("part")
@@ -85,38 +88,80 @@ def manifest(records: DataFrame) -> DataFrame:
     parts = parts.withColumn("bytes0", F.sum("bytes").over(before) - F.col("bytes"))
     # a task has at most two files that go on in other tasks, so these are at most two rows a task
     parts = parts.filter("parts > 1").select("file_id", "part", "n0", "bytes0")
-    out = numbered.join(F.broadcast(parts), ["file_id", "part"], "left")
-    end = F.when(F.col("hash").isNotNull(), F.col("end") + F.coalesce("bytes0", F.lit(0)))
-    out = out.select("file_id", (F.col("idx") + F.coalesce("n0", F.lit(0))).alias("idx"), "page_id", "length", "hash", (end - F.col("length")).alias("start"), end.alias("end"))
+    out = numbered.join(parts, ["file_id", "part"], "left")
+    end = F.col("end") + F.coalesce("bytes0", F.lit(0))
+    out = out.select("file_id", (F.col("idx") + F.coalesce("n0", F.lit(0))).alias("idx"), "slot", "key", "page_id", "length", "hash", (end - F.col("length")).alias("start"), end.alias("end"))
     done = cut(out, "manifest")
     drop_cut(numbered)
     return done
 
 
-def merkle_tree(leaves: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
-    """tree[0] the records, tree[depth] the roots; (file_id, idx, hash, start, end), each level written once."""
-    tree = [leaves]
+def _joined(hashes: Column) -> Column:
+    return F.sha2(F.array_join(hashes, ""), 256)
+
+
+def slots(manifest: DataFrame) -> DataFrame:
+    """The leaves: (file_id, idx = slot, hash, start, end).
+
+    The one record of a slot is its hash. Several make a set: digests with their numbers are
+    put together by the first three signs of the digest, then these; so a page of any number
+    of records, alike or not, never meets in one task, and their order doesn't count."""
+    each = manifest.groupBy("file_id", "slot", "hash").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    ends = [F.min("start").alias("start"), F.max("end").alias("end")]
+    several = F.transform(F.sort_array(F.collect_list(F.struct("hash", "n"))), lambda x: F.concat(x["hash"], F.lit(":"), x["n"].cast("string")))
+    single = lambda n: F.when((F.count("*") == 1) & (F.first(n) == 1), F.first("hash"))
+    parts = each.groupBy("file_id", "slot", F.substring("hash", 1, 3).alias("part")).agg(
+        F.coalesce(single("n"), _joined(several)).alias("hash"), F.sum("n").alias("n"), *ends
+    )
+    own = F.coalesce(single("n"), _joined(F.transform(F.sort_array(F.collect_list(F.struct("part", "hash"))), lambda x: x["hash"])))
+    return parts.groupBy("file_id", F.col("slot").alias("idx")).agg(own.alias("hash"), *ends)
+
+
+def merkle_tree(manifest: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
+    """tree[0] the slots, tree[depth] the roots; (file_id, idx, hash, start, end), each level written once."""
+    tree = [cut(slots(manifest), "merkle")]
     for _ in range(depth):
-        # at most `fanout` children, in order; a missing record counts as an empty string
-        children = F.sort_array(F.collect_list(F.struct("idx", F.coalesce("hash", F.lit("")).alias("h"))))
+        # at most `fanout` children, in order; an empty slot or node counts as an empty string
+        children = F.sort_array(F.collect_list(F.struct("idx", "hash")))
         grouped = tree[-1].groupBy("file_id", F.floor(F.col("idx") / fanout).cast("long").alias("idx"))
-        node = F.sha2(F.array_join(F.transform(children, lambda x: x["h"]), ""), 256)
+        node = _joined(F.transform(children, lambda x: x["hash"]))
         tree.append(cut(grouped.agg(node.alias("hash"), F.min("start").alias("start"), F.max("end").alias("end")), "merkle"))
     return tree
 
 
+#: Tasks that equal records of one page are dealt over where some of them have no counterpart.
+SALTS = 16
+
+
+def _surplus(suspects: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
+    """Records below differing slots that the other side has fewer of: of equal ones as many as are too many, the last."""
+    key = ["file_id", "key", "hash"]
+    below = lambda m: m.withColumnRenamed("idx", "place").join(suspects, ["file_id", "slot"], "left_semi")
+    mine = below(own)
+    count = lambda m, name: m.groupBy(*key).agg(F.count("*").alias(name))
+    more = count(mine, "n").join(count(below(other), "m"), key, "left").select(*key, (F.col("n") - F.coalesce("m", F.lit(0))).alias("over")).filter("over > 0")
+    ranked = mine.join(more, key).withColumn("salt", F.pmod("place", F.lit(SALTS)))
+    for by in ([*key, "salt"], key):  # first within a salt, so that equal records don't meet in one task
+        last = Window.partitionBy(*by).orderBy(F.desc("place"))
+        ranked = ranked.withColumn("r", F.row_number().over(last)).filter("r <= over")
+    return ranked.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "key").orderBy("place")))
+
+
 def fixity_audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT, least_depth: int = 1) -> DataFrame:
     """Compare the manifests of two replicas and locate the records that differ.
 
-    a, b: manifests. Returns a row per record that differs: file_id, seq (place in
-    the file), page_id, status (digest, length, missing_in_b, missing_in_a), the byte
-    range and digest in each replica and both roots.
+    a, b: manifests of the same file_records, each in its replica's own order. Returns a row per record that differs: file_id, seq (place in
+    the file, of a's record where there is one), page_id, status (digest, length, missing_in_b, missing_in_a), the byte
+    range and digest in each replica and both roots (null where a replica has nothing of the file).
 
-    A record that one manifest lists without a hash, or not at all, is missing there. Equal
-    replicas or empty tables give no rows. Repeated records are records of their own. Trees
-    are as deep as the longest file needs and least_depth asks. Other columns are ignored.
+    A record is matched by its key (the page_id; the address where that is null) and its digest,
+    wherever it stands: an absent or inserted record is one row, however many follow it.
+    Of several records of one key, equal ones are matched by their number (the last ones are those too
+    many), and what is left on both sides is paired in order as changed. Equal
+    replicas or empty tables give no rows. Trees are as deep as the largest slot needs and least_depth asks.
+    Other columns are ignored. If very many records of one key differ, their pairing is one task's sort.
     """
-    most = a.select("idx").union(b.select("idx")).agg(F.max("idx")).first()[0]
+    most = a.select("slot").union(b.select("slot")).agg(F.max("slot")).first()[0]
     depth = least_depth
     while fanout**depth <= (most or 0):
         depth += 1
@@ -130,8 +175,7 @@ def fixity_audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT, least_depth:
             if within is not None:
                 up = within.select("file_id", F.col("idx").alias("parent"))
                 side = side.withColumn("parent", F.floor(F.col("idx") / fanout).cast("long")).join(up, ["file_id", "parent"], "left_semi")
-            own = ["hash", "start", "end"] + (["length", "page_id"] if level == 0 else [])
-            sides.append(side.select("file_id", "idx", *[F.col(c).alias(f"{name}_{c}") for c in own]))
+            sides.append(side.select("file_id", "idx", F.col("hash").alias(f"{name}_hash")))
         return sides[0].join(sides[1], ["file_id", "idx"], "full").filter(~F.col("a_hash").eqNullSafe(F.col("b_hash")))
 
     suspects = roots = cut(differing(depth, None), "suspects")
@@ -139,17 +183,23 @@ def fixity_audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT, least_depth:
     for level in range(depth - 1, -1, -1):
         suspects = cut(differing(level, suspects), "suspects")
         used.append(suspects)
+    suspects = suspects.select("file_id", F.col("idx").alias("slot"))
+    sides = []
+    for name, own, other in (("a", a, b), ("b", b, a)):
+        own = _surplus(suspects, own, other)
+        sides.append(own.select("file_id", "key", "k", *[F.col(c).alias(f"{name}_{c}") for c in ("place", "page_id", "length", "hash", "start", "end")]))
+    found = sides[0].join(sides[1], ["file_id", "key", "k"], "full")
     status = (
         F.when(F.col("b_hash").isNull(), "missing_in_b").when(F.col("a_hash").isNull(), "missing_in_a")
         .when(F.col("a_length") != F.col("b_length"), "length").otherwise("digest")
     )
     roots = roots.select("file_id", F.col("a_hash").alias("root_a"), F.col("b_hash").alias("root_b"))
-    out = suspects.join(roots, "file_id").select(
-        "file_id", F.col("idx").alias("seq"), F.coalesce("a_page_id", "b_page_id").alias("page_id"), status.alias("status"),
+    out = found.join(roots, "file_id").select(
+        "file_id", F.coalesce("a_place", "b_place").alias("seq"), F.coalesce("a_page_id", "b_page_id").alias("page_id"), status.alias("status"),
         "a_start", "a_end", "a_hash", "b_start", "b_end", "b_hash", "root_a", "root_b",
     )
     out = cut(out, "fixity")
-    drop_cut(*used, *ours[1:], *theirs[1:])
+    drop_cut(*used, *ours, *theirs)
     return out
 
 
