@@ -770,3 +770,34 @@ def test_pipeline_on_awkward_rows(spark, docs):
         for name, stage in corpus_pipeline.STAGES:
             kept = corpus_pipeline.cut(stage(spark, kept, DATA), name)
         assert (kept.count() > 0) == (rows.count() > 0)
+
+
+CLASHING = ["_id", "_h", "_", "h", "kept", "t", "spans", "rest", "key", "salt", "key_id", "key_h", "c0", "c1", "rep", "x", "ID"]
+
+
+def test_pipeline_stages_with_clashing_columns(spark, docs):
+    """Every stage keeps columns of any name as they are, and makes of the rest what it makes without them."""
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = plain.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        out, want = stage(spark, wide, DATA), stage(spark, plain, DATA)
+        if name == "packing":
+            assert out.columns == want.columns and out.count() == want.count()
+            continue
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in got for c in CLASHING)
+        show = lambda rows: collections.Counter((r.doc_id, r.text, r.n_chars) for r in rows)
+        assert show(got) == show(want.collect())
+
+
+def test_two_pipelines_at_once(spark):
+    """Each deletes its own tables only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def once(_):
+        return collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect())
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(once, range(2))
+    assert first == second and len(first) > 100

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Paths written by cut() in this process, in order.
-WRITTEN: list[str] = []
+_PATHS: ContextVar[list[str] | None] = ContextVar("tables written by cut()", default=None)
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths that cut() writes within this block and that are still there, in order. Each thread has blocks of its own."""
+    paths: list[str] = []
+    token = _PATHS.set(paths)
+    try:
+        yield paths
+    finally:
+        _PATHS.reset(token)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +65,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tilequery_path = path
-    WRITTEN.append(path)
+    if (paths := _PATHS.get()) is not None:
+        paths.append(path)
     return out
 
 
@@ -61,8 +74,8 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if name in WRITTEN:
-            WRITTEN.remove(name)
+        if name in (_PATHS.get() or ()):
+            _PATHS.get().remove(name)
 
 
 def drop_cut(*frames: DataFrame) -> None:

@@ -438,14 +438,15 @@ def remove_repeats(
     row per row of df: doc_id, h (xxhash64 of the text), n_bytes, n_removed, n_spans
     (maximal removed runs), kept (the bytes that remain; with as_text a string without
     characters that were cut in two), n_also and n_also_spans (symbols and maximal runs that
-    repeat by the measure `also`, which are not removed; 0 without it) and `carry`, columns of df.
+    repeat by the measure `also`, which are not removed; 0 without it) and `carry`, columns of df in
+    this order (one that has the name of another column of the result is told by its place).
 
     A null text is empty and, as any text shorter than a string, loses nothing. A repeated
     row is another place where its strings start, so copies lose all of
     them; with keep_first rows of equal id and text are treated alike, and count as one place. A
     null doc_id comes back null; an empty table gives an empty table; other columns are ignored.
     """
-    docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    docs = df.select(id_of(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"), F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]).alias("rest"))
     spans = repeated_spans(docs.drop("rest"), measure, keep_first)
     if also is not None:
         spans = spans.join(repeated_spans(docs.drop("rest"), also).withColumnRenamed("spans", "also"), ["doc_id", "h"], "full")
@@ -477,7 +478,7 @@ def remove_repeats(
     kind = "string" if as_text else "binary"
     out = out.mapInArrow(run, f"doc_id long, h long, n_bytes long, n_removed long, n_spans long, n_also long, n_also_spans long, kept {kind}, rest {docs.schema['rest'].dataType.simpleString()}")
     own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id")
-    return out.select(own, "h", "n_bytes", "n_removed", "n_spans", "n_also", "n_also_spans", "kept", *[F.col("rest")[c].alias(c) for c in carry])
+    return out.select(own, "h", "n_bytes", "n_removed", "n_spans", "n_also", "n_also_spans", "kept", *[F.col("rest")[f"c{k}"].alias(c) for k, c in enumerate(carry)])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
