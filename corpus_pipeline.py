@@ -7,10 +7,10 @@ result as Parquet into the shared folder and reads it back as the next one's inp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequery.llm.common import WRITTEN, cut, drop_paths, id_of, table, text_of
+from tilequery.llm.common import cut, drop_paths, id_of, table, tables_written, text_of
 from tilequery.llm.decontaminate import leaks
 from tilequery.llm.importance import importance_resample
 from tilequery.llm.near_dup import near_duplicates
@@ -18,41 +18,49 @@ from tilequery.llm.packing import packed
 from tilequery.llm.suffix_dedup import PASSAGES, remove_repeats
 
 
-def _keys() -> list[Column]:
-    """A document's row is told by its id and its text."""
-    return [id_of("doc_id").alias("_id"), F.xxhash64(text_of("text")).alias("_h")]
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with its columns numbered, so that none can clash, and the key of a row: its id and its text's hash; the numbered names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    key = [id_of(at["doc_id"]).alias("key_id"), F.xxhash64(text_of(at["text"])).alias("key_h")]
+    return docs.toDF(*names).select("*", *key), names
 
 
-def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The documents that are (left_semi) or aren't (left_anti) among rows (doc_id, h)."""
-    keys = rows.select(id_of("doc_id").alias("_id"), F.col("h").alias("_h"))
-    return docs.select("*", *_keys()).join(keys, ["_id", "_h"], how)
+def _chosen(docs: DataFrame, rows: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """The documents that are (left_semi) or aren't (left_anti) among rows (doc_id, h); once: one row of each key."""
+    keyed, names = _keyed(docs)
+    keys = rows.select(id_of("doc_id").alias("key_id"), F.col("h").alias("key_h"))
+    out = keyed.join(keys, ["key_id", "key_h"], how)
+    return (out.dropDuplicates(["key_id", "key_h"]) if once else out).select(names).toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling doesn't draw go."""
     scored = importance_resample(docs, table(spark, sf_dir, "labels"))
-    return _chosen(docs, scored.filter("kept"), "left_semi").select(docs.columns)
+    return _chosen(docs, scored.filter("kept"), "left_semi")
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one of the least doc_id."""
-    first = _chosen(docs, near_duplicates(docs).filter("keep"), "left_semi")
-    return first.dropDuplicates(["_id", "_h"]).select(docs.columns)
+    return _chosen(docs, near_duplicates(docs).filter("keep"), "left_semi", once=True)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each passage of over 50 words that repeats, all places but the first are cut out of the texts; every document stays."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = remove_repeats(docs, carry=carry, as_text=True, measure=PASSAGES, keep_first=True)
-    out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return out.select(docs.columns)
+    # the result's own columns come first, then those carried, each told by its place
+    own = len(out.columns) - len(carry)
+    place = {c: own + k for k, c in enumerate(carry)} | {"doc_id": 0, "text": out.columns.index("kept")}
+    out = out.toDF(*[f"c{k}" for k in range(len(out.columns))])
+    text = F.col(f"c{place['text']}")
+    return out.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"c{place[c]}").alias(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _chosen(docs, found, "left_anti").select(docs.columns)
+    return _chosen(docs, found, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,12 +77,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before: list[str] = []
-    for k, (name, stage) in enumerate(STAGES):
-        known = len(WRITTEN)
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name)
+    for name, stage in STAGES[:-1]:
+        with tables_written() as own:
+            docs = cut(stage(spark, docs, sf_dir), name)
             # what the stage wrote for itself, and its input, are read no more
-            drop_paths(spark, [*before, *WRITTEN[known:-1]])
-            before = WRITTEN[-1:]
-    return docs
+            drop_paths(spark, [*before, *own[:-1]])
+        before = own[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
