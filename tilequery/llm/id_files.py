@@ -46,7 +46,7 @@ def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return own, counts, places
     counts = np.bincount(ids)
     own = np.flatnonzero(counts)
-    place = np.zeros(len(counts), np.int64)
+    place = np.zeros(len(counts), np.int32)
     place[own] = np.arange(len(own))
     return own, counts[own], place[ids]
 
@@ -54,7 +54,7 @@ def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int = mixing_coder.BLOCK, lanes: int = mixing_coder.LANES) -> bytes:
     """A segment of documents, each with at least one id of up to 32 bits."""
     per = np.array([len(x) for x in ids], "<u8")
-    whole = np.concatenate(ids).astype(np.int64)
+    whole = np.concatenate(ids)
     own, counts, places = _distinct(whole)
     shares = mixing_coder.Shares(counts)
     lengths = np.full(-(-len(whole) // block), block)
@@ -65,7 +65,7 @@ def segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int = mixin
     known = np.array([x is not None for x in doc_ids])
     docs = zlib.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.packbits(known).tobytes() + per.tobytes(), 1)
     counted = zlib.compress(own.astype("<u4").tobytes() + np.minimum(counts, 2**32 - 1).astype("<u4").tobytes(), 1)
-    raw = whole.astype("<u4")
+    raw = whole.astype("<u4", copy=False)
     rows = [(len(c), zlib.crc32(c), zlib.crc32(raw[k * block : (k + 1) * block])) for k, c in enumerate(codes)]
     head = HEAD.pack(MAGIC, len(doc_ids), len(whole), sum(map(len, codes)), block, len(codes), len(own), len(docs), len(counted))
     head += docs + counted + np.array(rows, "<u4").tobytes()

@@ -17,8 +17,8 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids a block, and blocks that are coded side by side.
-BLOCK, LANES = 4096, 1024
-SLOTS1, SLOTS2 = 10, 11  # bits of the tables of order 1 and 2
+BLOCK, LANES = 2048, 4096
+SLOTS1, SLOTS2 = 9, 10  # bits of the tables of order 1 and 2
 STATES, RATE = 32, 5
 _U = np.uint64
 #: The coder's interval has 48 bits; below 32 bits it gives out 16.
@@ -35,62 +35,79 @@ class Shares:
         total = 1 << self.bits
         share = 1 + counts.astype(np.int64) * (total - n) // max(int(counts.sum()), 1)
         share[int(np.argmax(counts))] += total - int(share.sum())
-        self.find = np.repeat(np.arange(n), share)
+        self.find = np.repeat(np.arange(n, dtype=np.int32), share)
         self.start = np.append(np.cumsum(share) - share, 0).astype(_U)
         self.share = np.append(share, total).astype(_U)
         self.whole = n
 
 
 class _Mixture:
-    """Orders 1 and 2 of all blocks, and the weights of the mixture."""
+    """Orders 1 and 2 of all blocks, and the weights of the mixture. Rows 0 and 1 of an array are order 2 and order 1."""
 
     def __init__(self, lanes: int) -> None:
         lane = np.arange(lanes, dtype=np.int64)
-        self.lane1, self.lane2, self.lane = lane << SLOTS1, lane << SLOTS2, lane * STATES
+        self.first = np.stack([lane << SLOTS2, (lanes << SLOTS2) + (lane << SLOTS1)])
         # entries: (place + 1) * 4 + state of trust
-        self.table1, self.table2 = np.zeros(lanes << SLOTS1, np.int64), np.zeros(lanes << SLOTS2, np.int64)
-        self.right2, self.right1 = np.full(lanes * STATES, 6000, np.int64), np.full(lanes * STATES, 6000, np.int64)
-        self.h1, self.h2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, m: int) -> tuple[np.ndarray, ...]:
-        """The ids that order 2 and order 1 name, order 2's weight, and the weight of both; of 65536."""
-        self.at1, self.at2 = self.lane1[:m] + (self.h1[:m] >> 13 & (1 << SLOTS1) - 1), self.lane2[:m] + (self.h2[:m] >> 21 & (1 << SLOTS2) - 1)
-        e1, e2 = self.table1[self.at1], self.table2[self.at2]
-        self.s1, self.s2 = e1 & 3, e2 & 3
-        self.p1, self.p2 = (e1 >> 2) - 1, (e2 >> 2) - 1
-        self.state = self.lane[:m] + (self.s2 * 8 + self.s1 * 2 + (self.p1 == self.p2))
-        self.r2, self.r1 = self.right2[self.state], self.right1[self.state]
+        self.table = np.zeros((lanes << SLOTS2) + (lanes << SLOTS1), np.int32)
+        self.right = np.repeat(_FIRST[:, None], lanes, 1).reshape(-1)
+        self.lane = np.stack([lane * STATES, (lanes + lane) * STATES])
+        self.h = np.zeros((2, lanes), np.uint32)
+        self.limits = np.zeros((4, lanes), np.int32)
+        self.limits[3] = 65536
+        self.flat = self.limits.reshape(-1)
+        self.column, self.lanes = lane, lanes
+
+    def predict(self, m: int) -> np.ndarray:
+        """The places that order 2 and order 1 name. limits then has the bounds of their weights and of order 0's, of 65536."""
+        self.at = self.first[:, :m] + (self.h[:, :m] >> _SLOT_SHIFT)
+        entry = self.table.take(self.at)
+        self.trust = entry & 3
+        self.named = (entry >> 2) - 1
+        state = self.trust[0] * 8 + self.trust[1] * 2 + (self.named[0] == self.named[1])
+        self.state = self.lane[:, :m] + state
+        self.known = self.right[self.state]
         # no weight is 0, and order 0 keeps a hundredth at least
-        w2 = (self.r2 * 63 >> 6) + 64
-        return self.p2, self.p1, w2, w2 + (self.r1 * 63 >> 6) + 64
+        weights = (self.known - (self.known >> 6)) + 64
+        self.limits[1, :m] = weights[0]
+        np.add(weights[0], weights[1], out=self.limits[2, :m])
+        return self.named
+
+    def bounds(self, m: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the weight of a kind: 0 order 2 named the id, 1 only order 1 did, 2 neither."""
+        at = kind * self.lanes + self.column[:m]
+        start = self.flat.take(at)
+        return start.astype(_U), (self.flat.take(at + self.lanes) - start).astype(_U)
 
     def learn(self, m: int, place: np.ndarray, kind: np.ndarray) -> None:
-        """kind: 0 order 2 named the id, 1 only order 1 did, 2 neither."""
-        self.right2[self.state] = self.r2 + ((kind == 0) * 65535 - self.r2 >> RATE)
-        self.right1[self.state] = self.r1 + ((kind == 1) * 65535 - self.r1 >> RATE)
-        entry = place * 4 + 5
-        self.table1[self.at1] = entry + (self.p1 == place) * np.minimum(self.s1, 2)
-        self.table2[self.at2] = entry + (self.p2 == place) * np.minimum(self.s2, 2)
-        own = (place + 1) * 0x9E3779B1
-        self.h2[:m] = (self.h1[:m] * 0x2545 + own) * 0x85EBCA6B
-        self.h1[:m] = own
+        self.right[self.state] = self.known + (((kind == _KINDS) * _ONE - self.known) >> RATE)
+        self.table[self.at] = (place * 4 + 5) + (self.named == place) * np.minimum(self.trust, 2)
+        own = (place + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.h[0, :m] = (self.h[1, :m] * np.uint32(0x2545F491) + own) * np.uint32(0x85EBCA6B)
+        self.h[1, :m] = own
+
+
+_SLOT_SHIFT = np.array([[32 - SLOTS2], [32 - SLOTS1]], np.uint32)
+# weights of a fresh block by state, of order 2 by its own trust, of order 1 by both
+_TRUST2, _TRUST1 = np.arange(STATES) >> 3, np.arange(STATES) >> 1 & 3
+_FIRST = np.stack([np.array([100, 3000, 24000, 48000])[_TRUST2], np.array([100, 3000, 12000, 24000])[_TRUST1] >> np.maximum(_TRUST2 - 1, 0)]).astype(np.int32)
+_KINDS, _ONE = np.array([[0], [1]]), np.int32(65535)
 
 
 def encode(places: np.ndarray, lengths: np.ndarray, shares: Shares) -> list[bytes]:
     """Codes of blocks of places, one after the other; all blocks but the last are equally long, none is empty."""
     lanes, length, last = len(lengths), int(lengths[0]), int(lengths[-1])
-    data = np.zeros((length, lanes), np.int64)
+    data = np.zeros((length, lanes), np.int32)
     data[:, : lanes - 1] = places[: (lanes - 1) * length].reshape(lanes - 1, length).T
     data[:last, lanes - 1] = places[(lanes - 1) * length :]
     model = _Mixture(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, WHOLE, _U)
-    words = np.zeros((lanes, 2 * length + 8), np.int32)
+    words = np.zeros((2 * length + 8, lanes), np.int32)  # blocks go on at much the same pace, so this is written row by row
     filled = np.zeros(lanes, np.int64)
     bits = _U(shares.bits)
 
     def renew(who: np.ndarray) -> None:
         out = low[who]
-        words[who, filled[who]] = out >> _32
+        words[filled[who], who] = out >> _32
         filled[who] += 1
         low[who] = (out & _LOW) << _16
         span[who] <<= _16
@@ -98,25 +115,27 @@ def encode(places: np.ndarray, lengths: np.ndarray, shares: Shares) -> list[byte
     for i in range(length):
         m = lanes if i < last else lanes - 1
         own = data[i, :m]
-        p2, p1, w2, w1 = model.predict(m)
-        kind = np.where(p2 == own, 0, 2 - (p1 == own))
-        start = np.where(kind == 0, 0, np.where(kind == 1, w2, w1))
-        end = np.where(kind == 0, w2, np.where(kind == 1, w1, 65536))
+        hit = model.predict(m) == own
+        kind = np.where(hit[0], 0, 2 - hit[1])
+        start, width = model.bounds(m, kind)
         entry = np.where(kind == 2, own, shares.whole)
         step = span[:m] >> _16
-        inner = step * (end - start).view(_U) >> bits
-        low[:m] += step * start.view(_U) + inner * shares.start[entry]
-        span[:m] = inner * shares.share[entry]
-        while (small := np.flatnonzero(span < LEAST)).size:
+        inner = step * width >> bits
+        low[:m] += step * start + inner * shares.start.take(entry)
+        span[:m] = inner * shares.share.take(entry)
+        small = np.flatnonzero(span < LEAST)
+        while small.size:
             renew(small)
+            small = small[span[small] < LEAST]
         model.learn(m, own, kind)
     for _ in range(3):
         renew(np.arange(lanes))
     # what overflowed 16 bits goes to the word before
+    words = words[: int(filled.max())]
     while (over := words >> 16).any():
         words &= 0xFFFF
-        words[:, :-1] += over[:, 1:]
-    flat = words.astype("<u2")
+        words[:-1] += over[1:]
+    flat = np.ascontiguousarray(words.T, "<u2")
     return [flat[k, : filled[k]].tobytes() for k in range(lanes)]
 
 
@@ -128,31 +147,34 @@ def decode(codes: list[bytes], lengths: np.ndarray, shares: Shares) -> np.ndarra
     words = np.zeros((lanes, size), "<u2")
     for k, c in enumerate(codes):
         words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
+    words = np.ascontiguousarray(words.T)
     code = np.zeros(lanes, _U)
     for k in range(3):
-        code = code << _16 | words[:, k]
+        code = code << _16 | words[k]
     span, taken = np.full(lanes, WHOLE, _U), np.full(lanes, 3, np.int64)
-    out = np.zeros((length, lanes), np.int64)
+    out = np.zeros((length, lanes), np.int32)
     bits, most = _U(shares.bits), _U((1 << shares.bits) - 1)
     for i in range(length):
         m = lanes if i < last else lanes - 1
-        p2, p1, w2, w1 = model.predict(m)
+        named = model.predict(m)
         step = span[:m] >> _16
-        value = (code[:m] // step).view(np.int64)
-        kind = (value >= w2).astype(np.int64) + (value >= w1)
-        start = np.where(kind == 0, 0, np.where(kind == 1, w2, w1))
-        end = np.where(kind == 0, w2, np.where(kind == 1, w1, 65536))
-        inner = step * (end - start).view(_U) >> bits
-        rest = code[:m] - step * start.view(_U)
-        zero = shares.find[np.minimum(rest // inner, most).view(np.int64)]
-        entry = np.where(kind == 2, zero, shares.whole)
-        code[:m] = rest - inner * shares.start[entry]
-        span[:m] = inner * shares.share[entry]
-        own = np.where(kind == 0, p2, np.where(kind == 1, p1, zero))
-        while (small := np.flatnonzero(span < LEAST)).size:
-            code[small] = code[small] << _16 | words[small, taken[small]]
+        value = (code[:m] // step).astype(np.int32)
+        kind = (value >= model.limits[1:3, :m]).sum(0)
+        start, width = model.bounds(m, kind)
+        inner = step * width >> bits
+        rest = code[:m] - step * start
+        zero = shares.find.take(np.minimum(rest // inner, most).view(np.int64))
+        neither = kind == 2
+        entry = np.where(neither, zero, shares.whole)
+        code[:m] = rest - inner * shares.start.take(entry)
+        span[:m] = inner * shares.share.take(entry)
+        own = np.where(neither, zero, np.where(kind == 0, named[0], named[1]))
+        small = np.flatnonzero(span < LEAST)
+        while small.size:
+            code[small] = code[small] << _16 | words[taken[small], small]
             taken[small] = np.minimum(taken[small] + 1, size - 1)
             span[small] <<= _16
+            small = small[span[small] < LEAST]
         model.learn(m, own, kind)
         out[i, :m] = own
     return out.T.reshape(-1)[: int(lengths.sum())]
