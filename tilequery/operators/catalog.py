@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_slide_file
+from .ordered import numbered
 
 DEFAULT_LIMIT = 100
+#: Tasks that the slides of a search without conditions are dealt over.
+SALTS = 16
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +46,63 @@ def page(slides: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = Non
     return matching(out, None, search) if page_first else out
 
 
+def pages(slides: DataFrame, limit: int = DEFAULT_LIMIT, prefix: str | None = None, search: str | None = None) -> DataFrame:
+    """Every page of a listing at once: slide_id, page (from 0), position (in the page) and next_cursor (null on the last page).
+
+    As page() called again and again with its cursor gives them. Keys are ranked by ranges, no task sorts them all.
+    Repeated keys are places of their own; null keys are no slides."""
+    limit = max(1, min(1000, limit))
+    rows = numbered(matching(slides.select("slide_id"), prefix, search).withColumn("tie", F.monotonically_increasing_id()), "slide_id", "tie").select("slide_id", "idx")
+    rows = rows.select("slide_id", F.floor(F.col("idx") / limit).alias("page"), (F.col("idx") % limit).alias("position"))
+    ends = rows.groupBy("page").agg(F.max("slide_id").alias("last"))
+    # a page has a cursor if there is a next one
+    followed = ends.select((F.col("page") - 1).alias("page"), F.lit(True).alias("followed"))
+    cursors = ends.join(followed, "page", "left").select("page", F.when(F.col("followed"), F.col("last")).alias("next_cursor"))
+    return rows.join(cursors, "page").select("slide_id", "page", "position", "next_cursor")
+
+
+def postings(slides: DataFrame, size: int = 3) -> DataFrame:
+    """(gram, slide_id): the distinct strings of `size` characters of each id in lower case; ids that are shorter stand under themselves."""
+    low = F.lower("slide_id")
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substr(low, i, F.lit(size)))
+    own = F.when(F.length(low) >= size, F.array_distinct(grams)).otherwise(F.array(low))
+    return slides.select("slide_id", F.explode(own).alias("gram"))
+
+
+def searched(slides: DataFrame, searches: DataFrame, size: int = 3) -> DataFrame:
+    """(search_id, slide_id): for each search (search_id, prefix, search) the slide files that matching() gives.
+
+    A null or empty prefix or search asks for nothing. A search text is looked up by the rarest of its strings of `size` characters
+    in the postings of the ids, then by the text itself; a prefix by its own first characters, of ids cut to
+    as many; a text shorter than that, by postings of its own length. So each search meets only ids that
+    share its key, by an equi-join; a search that asks for nothing at all meets every id, as it must.
+    """
+    files = slides.select("slide_id").distinct().filter(is_slide_file(F.col("slide_id")))
+    own = searches.select("search_id", F.coalesce("prefix", F.lit("")).alias("prefix"), F.lower(F.coalesce("search", F.lit(""))).alias("text"))
+    fits = F.col("slide_id").startswith(F.col("prefix")) & F.contains(F.lower("slide_id"), F.col("text"))
+
+    # searches by text
+    by_text = own.filter("text <> ''").withColumn("n", F.least(F.length("text"), F.lit(size)))
+    sizes = F.sequence(F.lit(1), F.lit(size))
+    low = F.lower("slide_id")
+    each = files.select("slide_id", F.explode(sizes).alias("n")).join(F.broadcast(by_text.select("n").distinct()), "n", "left_semi")  # at most `size` rows
+    grams = each.select("slide_id", F.explode(F.when(F.length(low) >= F.col("n"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - F.col("n") + 1), lambda i: F.substr(low, i, F.col("n")))))).alias("gram"))
+    asked = by_text.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substr("text", i, F.col("n"))))).alias("gram"))
+    often = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = asked.join(often, "gram", "left").groupBy("search_id", "prefix", "text").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    found = grams.join(rarest, "gram").filter(fits).select("search_id", "slide_id")
+
+    # searches by prefix only
+    by_prefix = own.filter("text = '' AND prefix <> ''").withColumn("n", F.length("prefix"))
+    lengths = by_prefix.agg(F.sort_array(F.collect_set("n"))).first()[0]  # a number for each length
+    if lengths:
+        heads = files.select("slide_id", F.explode(F.array(*[F.when(F.length("slide_id") >= n, F.substring("slide_id", 1, n)) for n in lengths])).alias("prefix"))
+        found = found.union(heads.join(by_prefix.select("search_id", "prefix"), "prefix").select("search_id", "slide_id"))
+    everything = own.filter("text = '' AND prefix = ''").select("search_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = files.withColumn("salt", F.pmod(F.xxhash64("slide_id"), F.lit(SALTS)).cast("int"))
+    return found.union(dealt.join(everything, "salt").select("search_id", "slide_id")).distinct()
+
+
 def connectivity(slides: DataFrame) -> DataFrame:
     """Slide files among the first thousand keys."""
     return slides.orderBy("slide_id").limit(1000).agg(F.count_if(is_slide_file(F.col("slide_id"))).alias("slides"))

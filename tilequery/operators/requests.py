@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from ..functions import geometry as g
 from ..functions.dimensions import status_of
+from .ordered import carried, in_parts
 
 
 def resolve(requests: DataFrame, levels: DataFrame) -> DataFrame:
@@ -82,6 +85,35 @@ def coalesced_reads(extents: DataFrame, block: int) -> DataFrame:
     return each.distinct()
 
 
+def read_plan(extents: DataFrame, gap: int = 0, most: int | None = None) -> DataFrame:
+    """Byte ranges (slide_id, offset, length) as few reads: (slide_id, island, start, end, ranges).
+
+    Ranges that overlap, touch or lie at most `gap` bytes apart are one island, told by its
+    first byte. An island of more than `most` bytes is cut into reads of `most` (the last is shorter); ranges
+    counts the ranges that begin in a read. Empty ranges and those with a null are not read; repeated
+    ranges count each. Ranges are dealt by (slide, offset) over tasks, and each task is told the
+    greatest end and the last beginning of an island before it, so a hot slide is many tasks.
+    """
+    own = extents.filter("length > 0 AND offset IS NOT NULL AND slide_id IS NOT NULL").select("slide_id", "offset", (F.col("offset") + F.col("length")).alias("end"))
+    own = in_parts(own.withColumn("tie", F.monotonically_increasing_id()), "slide_id", "offset", "end", "tie").drop("tie")
+    here = Window.partitionBy("part", "slide_id").orderBy("pos")
+    own = carried(own, ["slide_id"], F.col("end"), "end_before")
+    reached = F.greatest("end_before", F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    own = own.withColumn("begins", F.when(F.coalesce(F.col("offset") > reached + gap, F.lit(True)), F.col("offset")))
+    own = carried(own, ["slide_id"], F.col("begins"), "begun_before")
+    own = own.withColumn("island", F.greatest("begun_before", F.max("begins").over(here)))
+    if most is None:
+        return own.groupBy("slide_id", "island").agg(F.col("island").alias("start"), F.max("end").alias("end"), F.count("*").alias("ranges")).select("slide_id", "island", "start", "end", "ranges")
+    # counted by read, so that a long island isn't one group
+    piece = F.floor((F.col("offset") - F.col("island")) / most)
+    per = own.groupBy("slide_id", "island", piece.alias("piece")).agg(F.max("end").alias("end"), F.count("*").alias("ranges"))
+    ends = per.groupBy("slide_id", "island").agg(F.max("end").alias("whole"))
+    every = ends.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - F.col("island") - 1) / most))))
+    out = every.join(per.drop("end"), ["slide_id", "island", "piece"], "left")
+    start = F.col("island") + F.col("piece") * most
+    return out.select("slide_id", "island", start.alias("start"), F.least(start + most, "whole").alias("end"), F.coalesce("ranges", F.lit(0)).alias("ranges"))
+
+
 def thumbnail_plan(wanted: DataFrame, levels: DataFrame) -> DataFrame:
     """wanted (slide_id, max_size): clamp, level, whether one tile is enough, and the size of the result."""
     from .pyramid import best_level

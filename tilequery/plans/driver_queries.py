@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dimensions as dims
 from ..functions import geometry as g
 from ..functions import signing, text
-from ..operators import caches, catalog, jpeg, pyramid, requests, validation
+from ..operators import caches, catalog, jpeg, pyramid, requests, reuse, validation
 
 SECRET, NOW = "tile-secret", 1_706_000_000
 DOWNSAMPLES = (1, 2, 3, 8, 64)
@@ -501,3 +501,66 @@ def q36_tile_extents_all_levels(spark: SparkSession, d: str) -> DataFrame:
         "slide_id", "level", "wanted", F.transform(index, lambda i: 1000 + i * 4096).alias("offsets"), F.transform(index, lambda i: 100 + i % 977).alias("byte_counts")
     )
     return resolved.join(requests.picked(arrays), ["slide_id", "level", "tile_index"], "left").select("request_id", "status", "offset", "length")
+
+
+# ---- orders over whole tables ------------------------------------------------------------------------
+
+_REUSE = """r AS MATERIALIZED (SELECT user_id AS shard, event_id AS seq, event_type || (floor(value)::BIGINT % 3) AS key, lag(event_id) OVER (PARTITION BY user_id, event_type || (floor(value)::BIGINT % 3) ORDER BY event_id) AS prev FROM events),
+d AS (SELECT a.shard, a.seq, count(DISTINCT b.key) AS n FROM r a JOIN r b ON a.shard = b.shard AND b.seq > a.prev AND b.seq < a.seq GROUP BY 1, 2),
+x AS (SELECT r.shard, r.seq, r.key, CASE WHEN prev IS NOT NULL THEN coalesce(n, 0) END AS distance FROM r LEFT JOIN d ON d.shard = r.shard AND d.seq = r.seq)"""
+
+
+@query(f"WITH {_REUSE} SELECT * FROM x")
+def q37_reuse_distances(spark: SparkSession, d: str) -> DataFrame:
+    return reuse.distances(_log(spark, d)).select("shard", "seq", "key", "distance")
+
+
+@query(f"""WITH {_REUSE} SELECT DISTINCT shard, distance + 1 AS capacity, count(distance) OVER (PARTITION BY shard ORDER BY distance) AS hits, count(*) OVER (PARTITION BY shard) AS uses FROM x
+QUALIFY distance IS NOT NULL""")
+def q38_hit_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of an LRU cache of every capacity, from one table of distances."""
+    return reuse.hit_shares(reuse.distances(_log(spark, d)))
+
+
+_READS = """e AS (SELECT l_orderkey % 97 AS slide_id, l_orderkey * 4099 AS o, l_orderkey * 4099 + l_quantity::BIGINT * 20011 AS e, row_number() OVER () AS k FROM lineitem WHERE l_quantity::BIGINT > 0),
+m AS (SELECT *, max(e) OVER (PARTITION BY slide_id ORDER BY o, e, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM e),
+i AS (SELECT *, max(CASE WHEN reached IS NULL OR o > reached + 100000 THEN o END) OVER (PARTITION BY slide_id ORDER BY o, e, k ROWS UNBOUNDED PRECEDING) AS island FROM m)"""
+
+
+def _extents(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 97).alias("slide_id"), (F.col("l_orderkey") * 4099).alias("offset"), (F.col("l_quantity").cast("long") * 20011).alias("length")
+    )
+
+
+@query(f"""WITH {_READS} SELECT slide_id, island, island AS start, max(e) AS "end", count(*) AS ranges FROM i GROUP BY 1, 2""")
+def q39_read_islands(spark: SparkSession, d: str) -> DataFrame:
+    return requests.read_plan(_extents(spark, d), gap=100_000)
+
+
+@query(f"""WITH {_READS}, w AS (SELECT slide_id, island, max(e) AS e FROM i GROUP BY 1, 2), p AS (SELECT *, unnest(range((e - island - 1) // 1000000 + 1)) AS k FROM w),
+n AS (SELECT slide_id, island, (o - island) // 1000000 AS k, count(*) AS n FROM i GROUP BY 1, 2, 3)
+SELECT slide_id, island, island + k * 1000000 AS start, least(island + (k + 1) * 1000000, e) AS "end", coalesce(n, 0) AS ranges FROM p LEFT JOIN n USING (slide_id, island, k)""")
+def q40_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The same in reads of a megabyte at most."""
+    return requests.read_plan(_extents(spark, d), gap=100_000, most=1_000_000)
+
+
+@query(f"""WITH {_SLIDES}, k AS (SELECT slide_id, row_number() OVER (ORDER BY slide_id) - 1 AS i, count(*) OVER () AS n FROM slides WHERE regexp_matches(lower(slide_id), '\\.(svs|tif|tiff)$'))
+SELECT slide_id, i // 7 AS page, i % 7 AS position, CASE WHEN (i // 7 + 1) * 7 < n THEN max(slide_id) OVER (PARTITION BY i // 7) END AS next_cursor FROM k""")
+def q41_pages(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.pages(_slides(spark, d).select("slide_id"), 7)
+
+
+@query(f"""WITH {_SLIDES}, s AS (SELECT s_suppkey AS search_id, CASE s_suppkey % 3 WHEN 0 THEN 'cohort' || (s_suppkey % 7) || '/' WHEN 1 THEN '' END AS prefix,
+  CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN substr(n_name, 1, 2) ELSE substr(lower(s_name), 7 + (s_suppkey % 5)::INT, 4) || CASE WHEN s_suppkey % 5 = 2 THEN '' ELSE '.T' END END AS search
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT search_id, slide_id FROM s JOIN slides ON starts_with(slide_id, coalesce(prefix, '')) AND contains(lower(slide_id), lower(coalesce(search, ''))) WHERE regexp_matches(lower(slide_id), '\\.(svs|tif|tiff)$')""")
+def q42_searches(spark: SparkSession, d: str) -> DataFrame:
+    """A table of searches against all slides."""
+    k = F.col("s_suppkey")
+    s = _table(spark, d, "supplier").join(_table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    prefix = F.when(k % 3 == 0, F.concat(F.lit("cohort"), (k % 7).cast("string"), F.lit("/"))).when(k % 3 == 1, "")
+    part = F.concat(F.substr(F.lower("s_name"), (7 + k % 5).cast("int"), F.lit(4)), F.when(k % 5 == 2, "").otherwise(".T"))
+    search = F.when(k % 5 == 0, None).when(k % 5 == 1, F.substring("n_name", 1, 2)).otherwise(part)
+    return catalog.searched(_slides(spark, d).select("slide_id"), s.select(k.alias("search_id"), prefix.alias("prefix"), search.alias("search")))
