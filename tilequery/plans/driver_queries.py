@@ -15,6 +15,7 @@ from ..functions import dimensions as dims
 from ..functions import geometry as g
 from ..functions import signing, text
 from ..operators import caches, catalog, jpeg, pyramid, requests, reuse, validation
+from ..sources import tiff_batch
 
 SECRET, NOW = "tile-secret", 1_706_000_000
 DOWNSAMPLES = (1, 2, 3, 8, 64)
@@ -564,3 +565,73 @@ def q42_searches(spark: SparkSession, d: str) -> DataFrame:
     part = F.concat(F.substr(F.lower("s_name"), (7 + k % 5).cast("int"), F.lit(4)), F.when(k % 5 == 2, "").otherwise(".T"))
     search = F.when(k % 5 == 0, None).when(k % 5 == 1, F.substring("n_name", 1, 2)).otherwise(part)
     return catalog.searched(_slides(spark, d).select("slide_id"), s.select(k.alias("search_id"), prefix.alias("prefix"), search.alias("search")))
+
+
+# ---- containers in a column ----------------------------------------------------------------------------
+
+
+def _number(x, size: int, big_endian):
+    """Hex digits of a number of `size` bytes in either byte order."""
+    digits = F.lpad(F.hex(x.cast("long")), 2 * size, "0")
+    return F.when(big_endian, digits).otherwise(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)]))
+
+
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    """A container of two directories for each part, in both byte orders and widths; some with a bad header."""
+    k, n = F.col("p_partkey"), 1 + F.col("p_partkey") % 6
+    mm, bad, at = k % 2 == 1, k % 13, F.sequence(F.lit(0).cast("long"), n - 1)
+
+    def packed(big: bool):
+        slot, head, base = (8, 16, 248) if big else (4, 8, 140)
+        size = (base - head) // 2  # of a directory
+        num = lambda x, size: _number(x, size, mm)
+        lit = lambda x, size: num(F.lit(x), size)
+        many = lambda f, size: F.array_join(F.transform(at, lambda i: num(f(i), size)), "")
+        body, tail = [], []
+        for i in (0, 1):
+            offsets, counts = many(lambda j, i=i: 1000 + k * 7 + i * 5_000_000 + j * 4096, slot), many(lambda j, i=i: 100 + (k + j + i) % 977, 2)
+            place = base + i * n * (slot + 2)
+            entry = lambda tag, kind, count, value: F.concat(lit(tag, 2), lit(kind, 2), num(count, 8 if big else 4), F.rpad(value, 2 * slot, "0"))
+            one = F.lit(1)
+            body += [
+                lit(5, 8 if big else 2), entry(256, 3, one, num(400 + k % 700 + i, 2)), entry(257, 4, one, num(300 + k % 90_000, 4)), entry(322, 3, one, lit(256, 2)),
+                entry(324, 16 if big else 4, n, F.when(n == 1, offsets).otherwise(num(place, slot))), entry(325, 3, n, F.when(2 * n <= slot, counts).otherwise(num(place + n * slot, slot))),
+                lit(0 if i else head + size, slot),
+            ]
+            tail += [offsets, counts]
+        first = num(F.when(bad == 8, 1 << 30).otherwise(head), slot)
+        version = num(F.when(bad == 7, 44).otherwise(43 if big else 42), 2)
+        return F.concat(version, *([lit(8, 2), lit(0, 2)] if big else []), first, *body, *tail)
+
+    order = F.when(bad == 6, "5858").when(mm, "4D4D").otherwise("4949")
+    data = F.unhex(F.concat(order, F.when(k % 3 == 0, packed(True)).otherwise(packed(False))))
+    data = F.when(bad == 5, F.substring(data, 1, 6)).otherwise(data)
+    return _table(spark, d, "part").select(k.cast("string").alias("slide_id"), data.alias("data"))
+
+
+_CONTAINERS = """c AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS slide_id, 1 + p_partkey % 6 AS n, p_partkey % 13 AS bad, p_partkey % 2 = 1 AS mm, p_partkey % 3 = 0 AS big, CASE WHEN p_partkey % 3 = 0 THEN 8 ELSE 4 END AS slot FROM part),
+g AS (SELECT c.*, i::INT AS i FROM c, range(2) r(i) WHERE bad NOT BETWEEN 5 AND 8)"""
+
+
+@query(f"""WITH {_CONTAINERS} SELECT slide_id, CASE WHEN bad = 5 THEN 6 ELSE CASE WHEN big THEN 248 ELSE 140 END + 2 * n * (slot + 2) END::BIGINT AS size,
+CASE WHEN bad NOT IN (5, 6) THEN CASE WHEN mm THEN 'MM' ELSE 'II' END END AS byte_order, CASE WHEN bad NOT BETWEEN 5 AND 8 THEN big END AS is_bigtiff,
+CASE WHEN bad NOT BETWEEN 5 AND 8 THEN CASE WHEN big THEN 16 ELSE 8 END END::BIGINT AS first_ifd_offset, CASE WHEN bad BETWEEN 5 AND 8 THEN 0 ELSE 2 END::INT AS directories,
+CASE bad WHEN 5 THEN 'file_too_small' WHEN 6 THEN 'invalid_magic' WHEN 7 THEN 'invalid_version' WHEN 8 THEN 'invalid_ifd_offset' END AS error FROM c""")
+def q43_headers(spark: SparkSession, d: str) -> DataFrame:
+    return tiff_batch.headers(_containers(spark, d))
+
+
+@query(f"""WITH {_CONTAINERS}, e AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS j FROM g)
+SELECT slide_id, i AS ifd_index, j::INT AS entry_index, CASE j WHEN 0 THEN 256 WHEN 1 THEN 257 WHEN 2 THEN 322 WHEN 3 THEN 324 ELSE 325 END::INT AS tag_id,
+CASE j WHEN 1 THEN 4 WHEN 3 THEN CASE WHEN big THEN 16 ELSE 4 END ELSE 3 END::INT AS field_type_raw, CASE WHEN j < 3 THEN 1 ELSE n END::BIGINT AS count,
+CASE j WHEN 3 THEN n = 1 WHEN 4 THEN 2 * n <= slot ELSE true END AS is_inline,
+CASE j WHEN 0 THEN 400 + k % 700 + i WHEN 1 THEN 300 + k % 90000 WHEN 2 THEN 256 WHEN 3 THEN CASE WHEN n = 1 THEN 1000 + k * 7 + i * 5000000 END ELSE CASE WHEN 2 * n <= slot THEN 100 + (k + i) % 977 END END::BIGINT AS value FROM e""")
+def q44_entries(spark: SparkSession, d: str) -> DataFrame:
+    return tiff_batch.entries(_containers(spark, d)).drop("value_bytes")
+
+
+@query(f"""WITH {_CONTAINERS}, v AS (SELECT *, unnest(range(n)) AS j FROM g)
+SELECT slide_id, i AS ifd_index, 324 AS tag_id, j::INT AS pos, 1000 + k * 7 + i * 5000000 + j * 4096 AS value FROM v UNION ALL SELECT slide_id, i, 325, j::INT, 100 + (k + j + i) % 977 FROM v""")
+def q45_value_arrays(spark: SparkSession, d: str) -> DataFrame:
+    out = tiff_batch.value_arrays(_containers(spark, d), [324, 325]).filter("error IS NULL")
+    return out.select("slide_id", "ifd_index", "tag_id", F.posexplode("values").alias("pos", "value"))
