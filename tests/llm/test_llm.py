@@ -260,8 +260,8 @@ def test_fixity_of_an_absent_record(spark, gone):
     assert found(whole, less) == [(gone, "missing_in_b")] and found(less, whole) == [(gone, "missing_in_a")]
     row = warc_fixity.fixity_audit(whole, less).first()
     assert row.seq == gone and row.b_start is None and row.a_end - row.a_start == len(f"http://h/{gone}") + len(PAGES[gone][2]) + len("WARC/1.0WARC-Type: responseWARC-Target-URI: WARC-Date: Content-Length: ") + len(warc_fixity.DATE) + len(str(len(PAGES[gone][2]))) + 16
-    trees = [warc_fixity.merkle_tree(m, 16, 3) for m in (whole, less)]
-    unlike = lambda level: trees[0][level].join(trees[1][level], ["file_id", "idx", "hash"], "left_anti").count()
+    tree = warc_fixity.merkle_tree(warc_fixity.two_sided(whole, less), 16, 3)
+    unlike = lambda level: tree[level].filter("side = 'a'").join(tree[level].filter("side = 'b'"), ["file_id", "idx", "hash"], "left_anti").count()
     assert [unlike(k) for k in range(4)] == [1, 1, 1, 1]
 
 

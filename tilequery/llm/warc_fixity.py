@@ -101,50 +101,54 @@ def _joined(hashes: Column) -> Column:
 
 
 def slots(manifest: DataFrame) -> DataFrame:
-    """The leaves: (file_id, idx = slot, hash, start, end).
+    """The leaves: (side, file_id, idx = slot, hash, start, end).
 
     The one record of a slot is its hash. Several make a set: digests with their numbers are
     put together by the first three signs of the digest, then these; so a page of any number
     of records, alike or not, never meets in one task, and their order doesn't count."""
-    each = manifest.groupBy("file_id", "slot", "hash").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    each = manifest.groupBy("side", "file_id", "slot", "hash").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
     ends = [F.min("start").alias("start"), F.max("end").alias("end")]
     several = F.transform(F.sort_array(F.collect_list(F.struct("hash", "n"))), lambda x: F.concat(x["hash"], F.lit(":"), x["n"].cast("string")))
     single = lambda n: F.when((F.count("*") == 1) & (F.first(n) == 1), F.first("hash"))
-    parts = each.groupBy("file_id", "slot", F.substring("hash", 1, 3).alias("part")).agg(
+    parts = each.groupBy("side", "file_id", "slot", F.substring("hash", 1, 3).alias("part")).agg(
         F.coalesce(single("n"), _joined(several)).alias("hash"), F.sum("n").alias("n"), *ends
     )
     own = F.coalesce(single("n"), _joined(F.transform(F.sort_array(F.collect_list(F.struct("part", "hash"))), lambda x: x["hash"])))
-    return parts.groupBy("file_id", F.col("slot").alias("idx")).agg(own.alias("hash"), *ends)
+    return parts.groupBy("side", "file_id", F.col("slot").alias("idx")).agg(own.alias("hash"), *ends)
 
 
 def merkle_tree(manifest: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
-    """tree[0] the slots, tree[depth] the roots; (file_id, idx, hash, start, end), each level written once."""
+    """The trees of a manifest's sides: tree[0] the slots, tree[depth] the roots; (side, file_id, idx, hash, start, end), each level written once."""
     tree = [cut(slots(manifest), "merkle")]
     for _ in range(depth):
         # at most `fanout` children, in order; an empty slot or node counts as an empty string
         children = F.sort_array(F.collect_list(F.struct("idx", "hash")))
-        grouped = tree[-1].groupBy("file_id", F.floor(F.col("idx") / fanout).cast("long").alias("idx"))
+        grouped = tree[-1].groupBy("side", "file_id", F.floor(F.col("idx") / fanout).cast("long").alias("idx"))
         node = _joined(F.transform(children, lambda x: x["hash"]))
         tree.append(cut(grouped.agg(node.alias("hash"), F.min("start").alias("start"), F.max("end").alias("end")), "merkle"))
     return tree
 
 
+def two_sided(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The manifests of two replicas as one table with side."""
+    own = ["file_id", "idx", "slot", "key", "page_id", "length", "hash", "start", "end"]
+    return a.select(F.lit("a").alias("side"), *own).union(b.select(F.lit("b"), *own))
+
+
 #: Tasks that equal records of one page are dealt over where some of them have no counterpart.
 SALTS = 16
 
 
-def _surplus(suspects: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
-    """Records below differing slots that the other side has fewer of: of equal ones as many as are too many, the last."""
+def _unmatched(below: DataFrame) -> DataFrame:
+    """Records of one side that the other has fewer of: of equal ones as many as are too many, the last; with k, their order by key."""
     key = ["file_id", "key", "hash"]
-    below = lambda m: m.withColumnRenamed("idx", "place").join(suspects, ["file_id", "slot"], "left_semi")
-    mine = below(own)
-    count = lambda m, name: m.groupBy(*key).agg(F.count("*").alias(name))
-    more = count(mine, "n").join(count(below(other), "m"), key, "left").select(*key, (F.col("n") - F.coalesce("m", F.lit(0))).alias("over")).filter("over > 0")
-    ranked = mine.join(more, key).withColumn("salt", F.pmod("place", F.lit(SALTS)))
+    sides = below.groupBy(*key).agg(F.sum(F.when(F.col("side") == "a", 1).otherwise(-1)).alias("over")).filter("over <> 0")
+    more = sides.select(*key, F.when(F.col("over") > 0, "a").otherwise("b").alias("side"), F.abs("over").alias("over"))
+    ranked = below.join(more, ["side", *key]).withColumn("salt", F.pmod("idx", F.lit(SALTS)))
     for by in ([*key, "salt"], key):  # first within a salt, so that equal records don't meet in one task
-        last = Window.partitionBy(*by).orderBy(F.desc("place"))
+        last = Window.partitionBy(*by).orderBy(F.desc("idx"))
         ranked = ranked.withColumn("r", F.row_number().over(last)).filter("r <= over")
-    return ranked.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "key").orderBy("place")))
+    return ranked.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "key", "side").orderBy("idx")))
 
 
 def fixity_audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT, least_depth: int = 1) -> DataFrame:
@@ -161,45 +165,39 @@ def fixity_audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT, least_depth:
     replicas or empty tables give no rows. Trees are as deep as the largest slot needs and least_depth asks.
     Other columns are ignored. If very many records of one key differ, their pairing is one task's sort.
     """
-    most = a.select("slot").union(b.select("slot")).agg(F.max("slot")).first()[0]
+    both = two_sided(a, b)
+    most = both.agg(F.max("slot")).first()[0]
     depth = least_depth
     while fanout**depth <= (most or 0):
         depth += 1
-    ours, theirs = merkle_tree(a, fanout, depth), merkle_tree(b, fanout, depth)
+    tree = merkle_tree(both, fanout, depth)
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
 
     def differing(level: int, within: DataFrame | None) -> DataFrame:
-        """Nodes of a level, below the nodes `within`, that differ; fetched from each tree by itself."""
-        sides = []
-        for name, tree in (("a", ours), ("b", theirs)):
-            side = tree[level]
-            if within is not None:
-                up = within.select("file_id", F.col("idx").alias("parent"))
-                side = side.withColumn("parent", F.floor(F.col("idx") / fanout).cast("long")).join(up, ["file_id", "parent"], "left_semi")
-            sides.append(side.select("file_id", "idx", F.col("hash").alias(f"{name}_hash")))
-        return sides[0].join(sides[1], ["file_id", "idx"], "full").filter(~F.col("a_hash").eqNullSafe(F.col("b_hash")))
+        """Nodes of a level, below the nodes `within`, that differ."""
+        nodes = tree[level]
+        if within is not None:
+            up = within.select("file_id", F.col("idx").alias("parent"))
+            nodes = nodes.withColumn("parent", F.floor(F.col("idx") / fanout).cast("long")).join(up, ["file_id", "parent"], "left_semi")
+        pairs = nodes.groupBy("file_id", "idx").agg(of("a", "hash").alias("a_hash"), of("b", "hash").alias("b_hash"))
+        return pairs.filter(~F.col("a_hash").eqNullSafe(F.col("b_hash")))
 
     suspects = roots = cut(differing(depth, None), "suspects")
     used = [roots]
     for level in range(depth - 1, -1, -1):
         suspects = cut(differing(level, suspects), "suspects")
         used.append(suspects)
-    suspects = suspects.select("file_id", F.col("idx").alias("slot"))
-    sides = []
-    for name, own, other in (("a", a, b), ("b", b, a)):
-        own = _surplus(suspects, own, other)
-        sides.append(own.select("file_id", "key", "k", *[F.col(c).alias(f"{name}_{c}") for c in ("place", "page_id", "length", "hash", "start", "end")]))
-    found = sides[0].join(sides[1], ["file_id", "key", "k"], "full")
-    status = (
-        F.when(F.col("b_hash").isNull(), "missing_in_b").when(F.col("a_hash").isNull(), "missing_in_a")
-        .when(F.col("a_length") != F.col("b_length"), "length").otherwise("digest")
-    )
+    left = _unmatched(both.join(suspects.select("file_id", F.col("idx").alias("slot")), ["file_id", "slot"], "left_semi"))
+    own = F.struct("idx", "page_id", "length", "hash", "start", "end").alias("own")
+    found = left.select("side", "file_id", "key", "k", own).groupBy("file_id", "key", "k").agg(of("a", "own").alias("a"), of("b", "own").alias("b"))
+    status = F.when(F.col("b").isNull(), "missing_in_b").when(F.col("a").isNull(), "missing_in_a").when(F.col("a.length") != F.col("b.length"), "length").otherwise("digest")
     roots = roots.select("file_id", F.col("a_hash").alias("root_a"), F.col("b_hash").alias("root_b"))
     out = found.join(roots, "file_id").select(
-        "file_id", F.coalesce("a_place", "b_place").alias("seq"), F.coalesce("a_page_id", "b_page_id").alias("page_id"), status.alias("status"),
-        "a_start", "a_end", "a_hash", "b_start", "b_end", "b_hash", "root_a", "root_b",
+        "file_id", F.coalesce("a.idx", "b.idx").alias("seq"), F.coalesce("a.page_id", "b.page_id").alias("page_id"), status.alias("status"),
+        *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("start", "end", "hash")], "root_a", "root_b",
     )
     out = cut(out, "fixity")
-    drop_cut(*used, *ours, *theirs)
+    drop_cut(*used, *tree)
     return out
 
 
