@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import dimensions as dims
 from ..functions import geometry as g
 from ..functions import signing, text
-from ..operators import caches, catalog, jpeg, pyramid, requests, reuse, validation
+from ..operators import caches, catalog, chains, jpeg, pyramid, requests, reuse, validation
 from ..sources import tiff_batch
 
 SECRET, NOW = "tile-secret", 1_706_000_000
@@ -635,3 +636,55 @@ SELECT slide_id, i AS ifd_index, 324 AS tag_id, j::INT AS pos, 1000 + k * 7 + i
 def q45_value_arrays(spark: SparkSession, d: str) -> DataFrame:
     out = tiff_batch.value_arrays(_containers(spark, d), [324, 325]).filter("error IS NULL")
     return out.select("slide_id", "ifd_index", "tag_id", F.posexplode("values").alias("pos", "value"))
+
+
+_FRAMES = "f AS (SELECT doc_id, 1 + doc_id * 7 % 60000 AS w, 1 + doc_id * 13 % 50000 AS h, doc_id % 5 <> 0 AS has FROM documents)"
+
+
+@query(f"WITH {_FRAMES} SELECT doc_id, CASE WHEN has THEN w END AS width, CASE WHEN has THEN h END AS height FROM f")
+def q46_frame_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes from frame headers behind other segments, fill bytes and markers that stand alone, before a scan of text."""
+    k = F.col("doc_id")
+    two = lambda x: F.unhex(F.lpad(F.hex(x), 4, "0"))
+    frame = F.concat(F.lit(b"\xff\xff\xc2\x00\x0b\x08"), two(1 + k * 13 % 50000), two(1 + k * 7 % 60000), F.lit(b"\x01\x01\x11\x00"))
+    before = F.when(k % 3 == 0, F.lit(b"\xff\xe0\x00\x06\xff\xc0\x00\x11")).when(k % 3 == 1, F.lit(b"\xff\xd0\xff\x01\x00\x00\xff\xc4\x00\x03\x00")).otherwise(F.lit(b""))
+    text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    data = F.concat(F.lit(b"\xff\xd8"), before, F.when(k % 5 != 0, frame).otherwise(F.lit(b"\xff\xc8\x00\x02")), F.lit(b"\xff\xda\x00\x02"), text, F.lit(b"\xff\xd9"))
+    size = _table(spark, d, "documents").select("doc_id", jpeg.jpeg_size(data).alias("s"))
+    return size.select("doc_id", "s.width", "s.height")
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """An order is a directory of its customer's chain; some customers share a long one, some last links lead back or nowhere."""
+    c = F.col("o_custkey")
+    o = _table(spark, d, "orders").select(F.when(c % 3 == 0, -1 - c % 30).otherwise(c).alias("slide_id"), (F.col("o_orderkey") + 1).alias("offset"))
+    own = Window.partitionBy("slide_id").orderBy("offset")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    o = o.select("*", F.lead("offset").over(own).alias("following"), F.first("offset").over(whole).alias("head"), F.nth_value("offset", 3).over(whole).alias("third"))
+    last = F.when(F.col("slide_id") % 7 == 0, F.coalesce("third", "head")).when(F.col("slide_id") % 11 == 0, F.col("offset") + 1_000_000_000).otherwise(0)
+    return o.select("slide_id", "head", "offset", F.coalesce("following", last).alias("next_offset"))
+
+
+_LINKS = """o AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN -1 - o_custkey % 30 ELSE o_custkey END AS slide_id, o_orderkey + 1 AS off FROM orders),
+k AS MATERIALIZED (SELECT slide_id, off, first(off) OVER w AS head, coalesce(lead(off) OVER (PARTITION BY slide_id ORDER BY off),
+  CASE WHEN slide_id % 7 = 0 THEN coalesce(nth_value(off, 3) OVER w, first(off) OVER w) WHEN slide_id % 11 = 0 THEN off + 1000000000 ELSE 0 END) AS nxt
+  FROM o WINDOW w AS (PARTITION BY slide_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+walk(slide_id, pos, off) AS (SELECT DISTINCT slide_id, 0, head FROM k UNION ALL SELECT w.slide_id, w.pos + 1, k.nxt FROM walk w JOIN k ON k.slide_id = w.slide_id AND k.off = w.off WHERE w.pos < 99 AND k.nxt <> 0)"""
+
+
+@query(f"WITH RECURSIVE {_LINKS} SELECT w.slide_id, pos::INT AS position, w.off AS \"offset\", nxt AS next_offset FROM walk w LEFT JOIN k ON k.slide_id = w.slide_id AND k.off = w.off")
+def q47_chains(spark: SparkSession, d: str) -> DataFrame:
+    links = _links(spark, d)
+    return chains.followed(links.select("slide_id", F.col("head").alias("offset")).distinct(), links)
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, x AS (SELECT w.slide_id, pos, w.off, nxt FROM walk w LEFT JOIN k ON k.slide_id = w.slide_id AND k.off = w.off),
+a AS (SELECT slide_id, off, min(pos) AS p, max(pos) AS q, count(*) AS n FROM x GROUP BY 1, 2), n AS (SELECT slide_id, nxt AS off FROM k WHERE nxt <> 0 GROUP BY 1, 2 HAVING count(*) > 1),
+s AS (SELECT slide_id, count(*) AS s FROM a SEMI JOIN n USING (slide_id, off) GROUP BY 1),
+l AS (SELECT slide_id, min(p) FILTER (n > 1) AS loop_at, min((q - p) // greatest(n - 1, 1)) FILTER (n > 1) AS loop_length FROM a GROUP BY 1),
+e AS (SELECT slide_id, count(nxt) AS length, arg_max(coalesce(nxt, -1), pos) AS e FROM x GROUP BY 1)
+SELECT e.slide_id, length::INT AS length, CASE WHEN loop_at IS NOT NULL THEN 'loop' WHEN e = -1 THEN 'broken' WHEN e = 0 THEN 'end' ELSE 'cut' END AS outcome, loop_at::INT AS loop_at, loop_length::INT AS loop_length, coalesce(s, 0)::INT AS shared
+FROM e JOIN l USING (slide_id) LEFT JOIN s USING (slide_id)""")
+def q48_chain_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    links = _links(spark, d)
+    return chains.outcomes(links.select("slide_id", F.col("head").alias("offset")).distinct(), links)
