@@ -605,6 +605,45 @@ def test_tiling_equals_naive_tiling():
         assert got == naive_tiles(item, text, 3)
 
 
+def test_tiling_of_few_letters_equals_naive_tiling():
+    for _ in range(150):
+        letters = rnd.choice([1, 2, 2, 3])
+        item, text = [rnd.randrange(letters) for _ in range(rnd.randint(0, 25))], [rnd.randrange(letters) for _ in range(rnd.randint(0, 45))]
+        for least in (1, 2, 5):
+            got = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), least)
+            assert got[0] == naive_tiles(item, text, least) and (got[1] == 0) == (got[0] == 0) and got[2] <= got[0] <= len(item)
+
+
+def test_tiling_of_repeated_phrases_in_bounded_memory():
+    """Many windows of the item stand in many places of the text: memory and time are those of both, not of their pairs."""
+    import time
+    import tracemalloc
+
+    def repeating(n):
+        out = []
+        while len(out) < n:
+            out += list(range(6)) + [rnd.randrange(10, 90_000) for _ in range(4)]
+        return np.array(out[:n], np.uint64)
+
+    item, text = repeating(2_440), repeating(48_800)
+    tracemalloc.start()
+    began = time.perf_counter()
+    covered, tiles, longest = decontaminate.tile(item, text, 5)
+    assert time.perf_counter() - began < 2 and tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    assert covered >= 6 * 243 and tiles >= 243 and longest >= 6
+
+
+def test_leaks_of_a_text_of_megabytes_with_repeats(spark):
+    phrase = " ".join(WORDS[:6])
+    item = " ".join(f"{phrase} {WORDS[k]} {WORDS[k + 400]}" for k in range(10, 60))
+    rows = [(1, f"{phrase} {prose(3)} " * 40_000), (2, f"{phrase} {prose(3)} " * 20_000 + item + f" {phrase} odd" * 20_000), (3, "x" * 3_000_000)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for handed in (8 << 20, 0):
+        got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, handed_bytes=handed).collect()
+        assert [(r.doc_id, r.coverage) for r in got if r.doc_id == 2] == [(2, 1.0)] and all(r.doc_id != 3 for r in got)
+
+
 def test_leaks(spark, docs, empty):
     items = [prose(40) for _ in range(12)]
     half = lambda t: " ".join(t.split()[20:] + t.split()[:20])

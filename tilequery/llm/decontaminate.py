@@ -27,6 +27,8 @@ HANDED_BYTES = 8 << 20
 SIEVE_BITS = 1 << 26
 #: Tasks that the documents of one seed or item are dealt over.
 SALTS = 16
+#: Items that a task of the join keeps hashed.
+HELD_ITEMS = 1024
 SCHEMA = "doc_id long, h long, item_id long, coverage double, n_tiles int, longest int"
 
 
@@ -41,38 +43,81 @@ def _windows(words: np.ndarray, marked: np.ndarray, s: int) -> tuple[np.ndarray,
     return (prefix[at + s] - prefix[at]) * powers(BASE_INVERSE, n)[at], at
 
 
+class _Side:
+    """Words of one side of a tiling: their prefix hashes, and which are under tiles."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.marked = words, np.zeros(len(words), bool)
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, len(words)))])
+        self.down = powers(BASE_INVERSE, len(words) + 1)
+        self.least = np.zeros(0, bool)
+
+    def hashes(self, at: np.ndarray, s: int) -> np.ndarray:
+        return (self.prefix[at + s] - self.prefix[at]) * self.down[at]
+
+    def open(self, s: int, least: int) -> np.ndarray:
+        """Starts of the windows of s words without a marked word, all of whose windows of `least` words stand on the other side."""
+        if len(self.words) < s:
+            return np.zeros(0, np.int64)
+        bad = np.concatenate([[0], np.cumsum(self.marked)])
+        lone = np.concatenate([[0], np.cumsum(~self.least)])
+        n = len(self.words) - s + 1
+        return np.flatnonzero((bad[s:] == bad[:n]) & (lone[s - least + 1 :][:n] == lone[:n]))
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int) -> tuple[int, int, int]:
-    """(item words under tiles, tiles, longest tile) of greedy string tiling with tiles of `least` words or more."""
-    marked, taken = np.zeros(len(item), bool), np.zeros(len(text), bool)
+    """(item words under tiles, tiles, longest tile) of greedy string tiling with tiles of `least` words or more.
+
+    Each round looks for the longest windows that stand on both sides without a marked word, by bisection of
+    their length, and marks them in order of item and text. Windows are kept as places on either side, never as
+    pairs, so memory is that of the two texts, however often a phrase repeats in both.
+    """
     covered = tiles = longest = 0
-    s = max(least, min(len(item), len(text)))
+    if min(len(item), len(text)) < least:
+        return covered, tiles, longest
+    a, b = _Side(item), _Side(text)
+    every = [s.hashes(np.arange(len(s.words) - least + 1), least) for s in (a, b)]
+    a.least, b.least = np.isin(every[0], every[1]), np.isin(every[1], every[0])
+
+    def both(s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of windows of s words that stand on both sides, and their hashes."""
+        x, y = a.open(s, least), b.open(s, least)
+        hx, hy = a.hashes(x, s), b.hashes(y, s)
+        in_x, in_y = np.isin(hx, hy), np.isin(hy, hx)
+        return x[in_x], hx[in_x], y[in_y], hy[in_y]
+
+    most = min(len(item), len(text))
     while True:
-        hi, pi = _windows(item, marked, s)
-        ht, pt = _windows(text, taken, s)
-        order = np.argsort(ht, kind="stable")
-        lo, up = np.searchsorted(ht[order], hi, "left"), np.searchsorted(ht[order], hi, "right")
-        n = up - lo
-        a = np.repeat(pi, n)
-        b = pt[order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]] if n.sum() else np.zeros(0, np.int64)
-        size = np.zeros(len(a), np.int64)
-        alive = np.arange(len(a))
-        while len(alive):  # extend word by word; this also verifies the hashes
-            x, y = a[alive] + size[alive], b[alive] + size[alive]
-            ok = (x < len(item)) & (y < len(text))
-            alive, x, y = alive[ok], x[ok], y[ok]
-            alive = alive[(item[x] == text[y]) & ~marked[x] & ~taken[y]]
-            size[alive] += 1
-        best = int(size.max()) if len(size) else 0
-        if best < s:
-            if s == least:
-                return covered, tiles, longest
-            s = max(least, s // 2)
-            continue
-        for k in np.flatnonzero(size == best):
-            x, y = slice(a[k], a[k] + best), slice(b[k], b[k] + best)
-            if not marked[x].any() and not taken[y].any():
-                marked[x] = taken[y] = True
-                covered, tiles, longest = covered + best, tiles + 1, max(longest, best)
+        found, low = None, least - 1
+        while low < most:
+            mid = low + 1 if low < least else (low + most + 1) // 2
+            got = both(mid)
+            if len(got[0]):
+                found, low = got, mid
+            else:
+                most = mid - 1
+        if found is None or low < least:
+            return covered, tiles, longest
+        x, hx, y, hy = found
+        order = np.argsort(hy, kind="stable")
+        y, hy = y[order], hy[order]
+        first, end = np.searchsorted(hy, hx, "left").tolist(), np.searchsorted(hy, hx, "right").tolist()
+        free: dict[int, int] = {}  # of a window's places in the text, the first that may be unmarked
+        before = tiles
+        for k, p in enumerate(x.tolist()):
+            if a.marked[p] or a.marked[p + low - 1]:  # tiles are never shorter, so one that overlaps covers an end
+                continue
+            j = free.get(first[k], first[k])
+            while j < end[k] and (b.marked[y[j]] or b.marked[y[j] + low - 1]):
+                j += 1
+            free[first[k]] = j
+            # hashes are verified word by word
+            while j < end[k] and (b.marked[y[j]] or b.marked[y[j] + low - 1] or (item[p : p + low] != text[y[j] : y[j] + low]).any()):
+                j += 1
+            if j < end[k]:
+                a.marked[p : p + low] = b.marked[y[j] : y[j] + low] = True
+                covered, tiles, longest = covered + low, tiles + 1, max(longest, low)
+        most = low if tiles > before else low - 1
 
 
 class Items:
@@ -119,12 +164,16 @@ class Items:
     def rows(self, batch: pa.RecordBatch, coverage: float, k: int) -> list[tuple]:
         raw, offsets = string_buffers(batch.column(2))
         words = Words(raw, offsets)
+        return self.covered(words.hash, words.first, batch.column(0).to_pylist(), batch.column(1).to_pylist(), coverage, k)
+
+    def covered(self, words: np.ndarray, first: np.ndarray, doc_ids: list, hashes: list, coverage: float, k: int) -> list[tuple]:
+        """Rows of the texts (words, first word of each) whose tiles cover enough of an item."""
         out = []
-        for d, n, a, b in self.candidates(words.hash, words.first):
+        for d, n, a, b in self.candidates(words, first):
             item = self.words[n]
-            covered, tiles, longest = tile(item, words.hash[a:b], min(k, len(item)))
+            covered, tiles, longest = tile(item, words[a:b], min(k, len(item)))
             if covered >= coverage * len(item):
-                out.append((batch.column(0)[d].as_py(), batch.column(1)[d].as_py(), self.ids[n], covered / len(item), tiles, longest))
+                out.append((doc_ids[d], hashes[d], self.ids[n], covered / len(item), tiles, longest))
         return out
 
 
@@ -261,14 +310,22 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str =
         both = docs.join(listed, ["doc_id", "h"])
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, words = None, None  # a document's pairs come one after the other
+            held: dict[tuple[int, int], Items] = {}
             for batch in batches:
                 rows = []
-                for i in range(batch.num_rows):
-                    own = Items([batch.column(3)[i].as_py()], [batch.column(4)[i].as_py()], k)
-                    rows += own.rows(batch.slice(i, 1), coverage, k)
+                ids, hashes, items_, marks = (batch.column(c).to_pylist() for c in (0, 1, 3, 5))
+                for i, own in enumerate(zip(ids, hashes)):
+                    if own != key:
+                        key, words = own, Words(*string_buffers(batch.column(2).slice(i, 1)))
+                    if (items_[i], marks[i]) not in held:
+                        if len(held) >= HELD_ITEMS:
+                            held.clear()
+                        held[items_[i], marks[i]] = Items([items_[i]], [batch.column(4)[i].as_py()], k)
+                    rows += held[items_[i], marks[i]].covered(words.hash, words.first, [own[0]], [own[1]], coverage, k)
                 yield _batch(rows)
 
-        out = both.select("doc_id", "h", "t", "item_id", "item").mapInArrow(one, SCHEMA)
+        out = both.select("doc_id", "h", "t", "item_id", "item", "g").mapInArrow(one, SCHEMA)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return out.select(real("doc_id"), "h", real("item_id"), "coverage", "n_tiles", "longest")
 
