@@ -78,6 +78,19 @@ def metadata(levels: DataFrame) -> DataFrame:
     return out.select("slide_id", F.size("levels").alias("level_count"), base["width"].alias("width"), base["height"].alias("height"), "levels")
 
 
+def level_info(levels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What a slide and its wanted level are, a row for each of wanted (slide_id, level).
+
+    level_count, base_width and base_height (null: the slide has no levels; then level_count is 0), and the level's width, height, tile_width,
+    tile_height, tiles_x, tiles_y and downsample, null where the level is out of range. One row per slide
+    carries its levels to the wanted ones, by an equi-join."""
+    of = metadata(levels).select("slide_id", F.col("level_count").alias("n"), F.col("width").alias("base_width"), F.col("height").alias("base_height"), F.col("levels").alias("of_slide"))
+    own = F.when(F.col("level") >= 0, F.get("of_slide", F.col("level").cast("int")))
+    out = wanted.select("slide_id", "level").join(of, "slide_id", "left").withColumn("l", own)
+    each = ["width", "height", "tile_width", "tile_height", "tiles_x", "tiles_y", "downsample"]
+    return out.select("slide_id", "level", F.coalesce("n", F.lit(0)).alias("level_count"), "base_width", "base_height", *[F.col(f"l.{c}").alias(c) for c in each])
+
+
 def tile_extents(arrays: DataFrame) -> DataFrame:
     """arrays (slide_id, level, tiles_x, offsets, byte_counts) to tiles (slide_id, level, tile_x, tile_y, offset, length)."""
     each = arrays.select("slide_id", "level", "tiles_x", F.posexplode(F.arrays_zip("offsets", "byte_counts")).alias("i", "t"))

@@ -61,6 +61,28 @@ def strict(checked: DataFrame) -> DataFrame:
     return checked.withColumn("error", F.get("errors", F.lit(0)))
 
 
+# The reading error that a finding is told as.
+READ_ERRORS = {
+    "missing_tag": "missing_tag", "strip_organization": "strip_organization", "unsupported_compression": "unsupported_compression",
+    "missing_tile_tags": "missing_tag", "no_pyramid_levels": "missing_tag", "invalid_tile_dimensions": "invalid_tag_value",
+}
+
+
+def as_read_error(finding: Column) -> Column:
+    """struct(code, message) of a finding, as reading the slide tells it; null of null. Of several missing tags the first is told."""
+    code, detail = finding["code"], finding["detail"]
+    first = F.coalesce(F.nullif(F.split_part(detail, F.lit(","), F.lit(1)), F.lit("")), F.lit("TileOffsets"))
+    tag = F.when(code == "no_pyramid_levels", "No valid pyramid levels found").when(code == "missing_tile_tags", first).otherwise(detail)
+    told = lookup(code, READ_ERRORS)
+    message = (
+        F.when(told == "missing_tag", F.concat(F.lit("Missing required tag: "), tag))
+        .when(told == "strip_organization", "Unsupported organization: file uses strips instead of tiles")
+        .when(told == "unsupported_compression", F.concat(F.lit("Unsupported compression: "), detail, F.lit(" (only JPEG and JPEG 2000 are supported)")))
+        .when(told == "invalid_tag_value", F.concat(F.lit("Invalid tag value for TileWidth/TileLength: "), detail))
+    )
+    return F.when(told.isNotNull(), F.struct(told.alias("code"), message.alias("message")))
+
+
 def check_pyramids(slides: DataFrame, levels: DataFrame) -> DataFrame:
     """(slide_id, is_valid, errors, warnings); a slide without levels has one error."""
     each = check_levels(levels).groupBy("slide_id").agg(

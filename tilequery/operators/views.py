@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,21 @@ from ..functions.text import dzi_xml, html_escape
 from . import pyramid
 
 CACHE_SECONDS = 3600
-# Fixed text: the viewer page around the level table.
-PAGE = (
-    '<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>%s</title></head>\n<body><div id="viewer" data-slide="%s" data-auth="%s"></div>\n'
-    "<script>const levels = %s;</script></body></html>\n"
-)
+# The viewer page; names in braces are filled in.
+PAGE = """<!DOCTYPE html>
+<html lang="en"><head><meta charset="utf-8"><title>{title}</title>
+<script src="https://cdn.jsdelivr.net/npm/openseadragon@4.1/build/openseadragon/openseadragon.min.js"></script>
+<style>html, body, #viewer {{ height: 100%; margin: 0 }}</style></head>
+<body><h1>{title}</h1><p>{format}</p><div id="viewer"></div>
+<script>
+const levels = [{levels}], last = {last};
+OpenSeadragon({{ id: "viewer", tileSources: {{
+  width: {width}, height: {height}, tileSize: {tile}, minLevel: 0, maxLevel: last,
+  getLevelScale: k => levels[last - k].width / {width},
+  getTileUrl: (k, x, y) => "{base}/tiles/{id}/" + levels[last - k].level + "/" + x + "/" + y + ".jpg{auth}"
+}} }});
+</script></body></html>
+"""
 
 
 def health(spark: SparkSession, version: str = "0.1.0") -> DataFrame:
@@ -42,13 +54,26 @@ def response_headers(tiles: DataFrame, cache_seconds: int = CACHE_SECONDS) -> Da
     return tiles.withColumn("cache_control", F.lit(f"public, max-age={cache_seconds}"))
 
 
-def viewer_pages(levels: DataFrame, secret: str | None = None, expiry: int | None = None) -> DataFrame:
+def viewer_pages(levels: DataFrame, secret: str | None = None, expiry: int | None = None, base: str = "", formats: DataFrame | None = None) -> DataFrame:
+    """A page per slide that shows its tiles: (slide_id, body).
+
+    The page has the level table (number and size of each level), the tile size of level 0,
+    and addresses of tiles below base with the encoded id and, with a secret, a viewer token. What comes from a
+    slide is escaped. formats: (slide_id, format); without it, or for a slide it lacks, the format is empty."""
     m = pyramid.metadata(levels).withColumn("id", F.col("slide_id").cast("string"))
-    auth = F.lit("")
-    if secret is not None:
-        auth = F.concat(F.lit(f"?exp={expiry}&vt="), signing.viewer_token(secret, F.col("id"), F.lit(expiry)))
-    table = F.replace(F.to_json("levels"), F.lit("</"), F.lit("<\\/"))
-    return m.select("slide_id", F.format_string(PAGE, html_escape(F.col("id")), F.url_encode("id"), html_escape(auth), table).alias("body"))
+    m = m.withColumn("format", F.lit("")) if formats is None else m.join(formats.select("slide_id", "format"), "slide_id", "left")
+    auth = F.lit("") if secret is None else F.concat(F.lit(f"?exp={expiry}&vt="), signing.viewer_token(secret, F.col("id"), F.lit(expiry)))
+    entry = lambda x: F.concat(F.lit("{level: "), x["level"].cast("string"), F.lit(", width: "), x["width"].cast("string"), F.lit(", height: "), x["height"].cast("string"), F.lit("}"))
+    first = F.get("levels", F.lit(0))
+    filled = {
+        "title": html_escape(F.col("id")), "format": html_escape(F.coalesce("format", F.lit(""))), "levels": F.array_join(F.transform("levels", entry), ", "),
+        "last": (F.col("level_count") - 1).cast("string"), "width": F.col("width").cast("string"), "height": F.col("height").cast("string"),
+        "tile": first["tile_width"].cast("string"), "base": F.lit(base.rstrip("/")), "id": F.replace(F.url_encode("id"), F.lit("+"), F.lit("%20")), "auth": auth,
+    }
+    pieces = []
+    for text, name, _, _ in Formatter().parse(PAGE):
+        pieces += [F.lit(text)] + ([filled[name]] if name else [])
+    return m.select("slide_id", F.concat(*pieces).alias("body"))
 
 
 def sign_urls(rows: DataFrame, secret: str, now: int, ttl: int = CACHE_SECONDS, base: str = "") -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from ..functions import dimensions as dims
 from ..functions import geometry as g
-from ..functions import signing, text
-from ..operators import caches, catalog, chains, jpeg, pyramid, requests, reuse, validation
+from ..functions import addresses, signing, text
+from ..operators import caches, catalog, chains, jpeg, pyramid, requests, reuse, validation, views
 from ..sources import tiff_batch
 
 SECRET, NOW = "tile-secret", 1_706_000_000
@@ -688,3 +688,66 @@ FROM e JOIN l USING (slide_id) LEFT JOIN s USING (slide_id)""")
 def q48_chain_outcomes(spark: SparkSession, d: str) -> DataFrame:
     links = _links(spark, d)
     return chains.outcomes(links.select("slide_id", F.col("head").alias("offset")).distinct(), links)
+
+# ---- accessors, addresses, messages, pages -----------------------------------------------------------------
+
+
+@query(f"""WITH {_CLASSIFIED}, w AS (SELECT event_id, user_id AS slide_id, event_id % 9 - 2 AS level FROM events), n AS (SELECT slide_id, count(*) AS n, max(width) FILTER (level = 0) AS bw, max(height) FILTER (level = 0) AS bh FROM levels GROUP BY 1)
+SELECT w.slide_id, w.level, coalesce(n, 0)::INT AS level_count, bw AS base_width, bh AS base_height, l.width, l.height, l.tile AS tile_width, l.tile AS tile_height, l.tiles_x, l.tiles_y, l.downsample
+FROM w LEFT JOIN n ON n.slide_id = w.slide_id LEFT JOIN levels l ON l.slide_id = w.slide_id AND l.level = w.level""")
+def q49_level_info(spark: SparkSession, d: str) -> DataFrame:
+    wanted = _table(spark, d, "events").select(F.col("user_id").alias("slide_id"), (F.col("event_id") % 9 - 2).alias("level"))
+    return pyramid.level_info(pyramid.build(_ifds(spark, d)), wanted)
+
+
+@query("""WITH a AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 's3://' || p_brand || '/x/' || p_partkey WHEN 1 THEN ' ' || p_brand || ' ' WHEN 2 THEN 'http://' || p_brand WHEN 3 THEN 's3:///x' WHEN 4 THEN '' WHEN 5 THEN 's3://b' || p_partkey ELSE p_brand || '/y' END AS a FROM part),
+t AS (SELECT *, trim(a) AS t FROM a), b AS (SELECT *, CASE WHEN starts_with(t, 's3://') THEN split_part(substr(t, 6), '/', 1) WHEN contains(t, '://') THEN '' ELSE t END AS b FROM t)
+SELECT p_partkey, nullif(b, '') AS bucket, CASE WHEN t = '' THEN 'Bucket name cannot be empty' WHEN starts_with(t, 's3://') AND b = '' THEN 'Invalid S3 URI ''' || t || '''. Expected format: s3://bucket-name'
+  WHEN b = '' THEN 'Invalid URI scheme in ''' || t || '''. Expected s3:// or plain bucket name' END AS error FROM b""")
+def q50_buckets(spark: SparkSession, d: str) -> DataFrame:
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    kinds = {0: F.concat(F.lit("s3://"), brand, F.lit("/x/"), k.cast("string")), 1: F.concat(F.lit(" "), brand, F.lit(" ")), 2: F.concat(F.lit("http://"), brand), 3: F.lit("s3:///x"), 4: F.lit(""), 5: F.concat(F.lit("s3://b"), k.cast("string"))}
+    address = F.concat(brand, F.lit("/y"))
+    for i, own in kinds.items():
+        address = F.when(k % 7 == i, own).otherwise(address)
+    return _table(spark, d, "part").select("p_partkey", addresses.bucket(address).alias("b")).select("p_partkey", "b.bucket", "b.error")
+
+
+@query("""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ['quality=' || event_id, 'x=a=b'] WHEN 1 THEN ['plain', 'y'] WHEN 2 THEN ['=v', event_type || '='] END AS p FROM events)
+SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN coalesce(array_to_string(list_transform(coalesce(p, []), lambda x: split_part(x, '=', 1) || ' is ' || substr(x, instr(x, '=') + 1)), ';'), '') END AS params,
+CASE WHEN event_id % 4 = 1 THEN 'Invalid parameter format ''plain''. Expected key=value' END AS error FROM p""")
+def q51_parameters(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    given = F.when(k % 4 == 0, F.array(F.concat(F.lit("quality="), k.cast("string")), F.lit("x=a=b"))).when(k % 4 == 1, F.array(F.lit("plain"), F.lit("y"))).when(k % 4 == 2, F.array(F.lit("=v"), F.concat("event_type", F.lit("="))))
+    p = _table(spark, d, "events").select("event_id", addresses.parameters(given).alias("p"))
+    told = F.array_join(F.transform("p.params", lambda x: F.concat(x["k"], F.lit(" is "), x["v"])), ";")
+    return p.select("event_id", told.alias("params"), "p.error")
+
+
+@query(f"""WITH {_PIVOTED}, f AS (SELECT *, has_tiles OR slide_id % 2 <> 0 AS tiled FROM pivoted),
+e AS (SELECT slide_id, ifd_index, 'strip_organization' AS code, 'Unsupported organization: file uses strips instead of tiles' AS message FROM f WHERE NOT tiled
+UNION ALL SELECT slide_id, ifd_index, 'unsupported_compression', 'Unsupported compression: LZW (only JPEG and JPEG 2000 are supported)' FROM f WHERE tiled AND compression = 5
+UNION ALL SELECT slide_id, ifd_index, 'missing_tag', 'Missing required tag: TileByteCounts' FROM f WHERE tiled AND NOT has_tiles
+UNION ALL SELECT slide_id, ifd_index, 'invalid_tag_value', 'Invalid tag value for TileWidth/TileLength: Tile dimensions cannot be zero' FROM f WHERE tiled AND slide_id % 13 = 0) SELECT * FROM e""")
+def q52_read_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of directories as the errors that reading them tells."""
+    i = pyramid.pivot_tags(_entries(spark, d)).withColumn("has_offsets", F.lit(True)).withColumn("has_counts", F.col("has_tiles"))
+    i = i.withColumn("tile_width", F.when(F.col("slide_id") % 13 == 0, 0).otherwise(F.col("tile_width"))).withColumn("is_tiled", ~(F.col("is_stripped") & (F.col("slide_id") % 2 == 0)))
+    e = validation.check_ifds(i).select("slide_id", "ifd_index", F.explode("errors").alias("e"))
+    return e.select("slide_id", "ifd_index", validation.as_read_error(F.col("e")).alias("r")).select("slide_id", "ifd_index", "r.code", "r.message")
+
+
+_NAMED = "'<' || slide_id || ' & \"x\">.svs'"
+_PAGE = [(t.replace("'", "''"), n) for t, n, _, _ in views.Formatter().parse(views.PAGE)]
+_FILLED = {
+    "title": "'&lt;' || slide_id || ' &amp; &quot;x&quot;&gt;.svs'", "format": "''", "levels": "lv", "last": "n - 1", "width": "bw", "height": "bh", "tile": "bt", "base": "'http://host'",
+    "id": "'%3C' || slide_id || '%20%26%20%22x%22%3E.svs'", "auth": f"'?exp={NOW}&vt=' || " + _hmac_sql(f"'viewer:' || {_NAMED} || ':{NOW}'"),
+}
+
+
+@query(f"""WITH {_CLASSIFIED}, s AS (SELECT slide_id, count(*) AS n, max(width) FILTER (level = 0) AS bw, max(height) FILTER (level = 0) AS bh, max(tile) FILTER (level = 0) AS bt,
+  string_agg('{{level: ' || level || ', width: ' || width || ', height: ' || height || '}}', ', ' ORDER BY level) AS lv FROM levels GROUP BY 1)
+SELECT {_NAMED} AS slide_id, sha256(""" + " || ".join(f"'{t}'" + (f" || ({_FILLED[n]})" if n else "") for t, n in _PAGE) + ") AS page_sha256 FROM s")
+def q53_viewer_pages(spark: SparkSession, d: str) -> DataFrame:
+    lv = pyramid.build(_ifds(spark, d)).withColumn("slide_id", F.concat(F.lit("<"), F.col("slide_id").cast("string"), F.lit(' & "x">.svs')))
+    return views.viewer_pages(lv, SECRET, NOW, "http://host/").select("slide_id", F.sha2("body", 256).alias("page_sha256"))
