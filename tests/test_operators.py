@@ -118,6 +118,23 @@ def test_pixels():
     assert (tiles.lanczos(level, 60, 40) == level).all()
 
 
+def test_resize_equals_dense_weights():
+    """Every output as the weighted sum over all inputs."""
+    rng = np.random.default_rng(0)
+
+    def dense(n, m):
+        scale, centre = max(1.0, n / m), (np.arange(m) + 0.5) * n / m - 0.5
+        x = (np.arange(n)[None, :] - centre[:, None]) / scale
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        return w / w.sum(1, keepdims=True)
+
+    for h, w, height, width in ((40, 60, 13, 7), (40, 60, 1, 1), (5, 3, 50, 31), (1, 1, 4, 4), (97, 64, 97, 20)):
+        image = rng.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        want = np.einsum("hn,nwc->hwc", dense(h, height), image.astype(float))
+        want = np.clip(np.rint(np.einsum("wn,hnc->hwc", dense(w, width), want)), 0, 255)
+        assert np.abs(tiles.lanczos(image, width, height) - want).max() <= 1
+
+
 def test_undecodable_tiles_are_rows(spark):
     df = spark.createDataFrame([("s", bytearray(b"junk"), 80)], "slide_id string, data binary, quality int")
     assert tiles.transcode(df).first().error == "decode_error"

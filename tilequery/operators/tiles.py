@@ -105,18 +105,28 @@ def composite(tiles: list[tuple[int, int, np.ndarray]], width: int, height: int,
     return canvas
 
 
-def lanczos(pixels: np.ndarray, width: int, height: int, lobes: int = 3) -> np.ndarray:
-    """Separable windowed-sinc resize to exactly width x height."""
+def _taps(n: int, m: int, lobes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For m outputs over n inputs: the inputs in reach of each output and their weights, outputs x taps."""
+    scale = max(1.0, n / m)
+    centre = (np.arange(m) + 0.5) * n / m - 0.5
+    at = np.floor(centre - lobes * scale).astype(np.int64)[:, None] + np.arange(int(np.ceil(2 * lobes * scale)) + 2)
+    x = (at - centre[:, None]) / scale
+    w = np.where((np.abs(x) < lobes) & (at >= 0) & (at < n), np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return np.clip(at, 0, n - 1), w / w.sum(1, keepdims=True)
 
-    def weights(n: int, m: int) -> np.ndarray:
-        scale = max(1.0, n / m)
-        centre = (np.arange(m) + 0.5) * n / m - 0.5
-        x = (np.arange(n)[None, :] - centre[:, None]) / scale
-        w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
-        return w / w.sum(1, keepdims=True)
 
-    out = np.einsum("hn,nwc->hwc", weights(pixels.shape[0], height), pixels.astype(np.float64))
-    out = np.einsum("wn,hnc->hwc", weights(pixels.shape[1], width), out)
+def lanczos(pixels: np.ndarray, width: int, height: int, lobes: int = 3) -> np.ndarray:
+    """Separable windowed-sinc resize to exactly width x height.
+
+    An output takes only the inputs within reach of its window: some per output and axis, however large the image is."""
+    out = pixels
+    for axis, m in ((0, height), (1, width)):
+        source = np.moveaxis(out, axis, 0)
+        at, w = _taps(source.shape[0], m, lobes)
+        sums = np.zeros((m, *source.shape[1:]))
+        for k in range(at.shape[1]):
+            sums += w[:, k, None, None] * source[at[:, k]]
+        out = np.moveaxis(sums, 0, axis)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
