@@ -137,3 +137,19 @@ def test_many_searches(spark):
         assert got[i] == {r.slide_id for r in catalog.matching(frame, prefix, search).collect()}, i
     assert "NestedLoop" not in catalog.searched(frame, asked)._jdf.queryExecution().toString() and "Cartesian" not in catalog.searched(frame, asked)._jdf.queryExecution().toString()
     assert catalog.searched(frame.filter("false"), asked).count() == 0 and catalog.searched(frame, asked.filter("false")).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    import glob
+
+    from tilequery.operators import chains
+
+    rows = log(random.Random(3), 50, ["a"], ["x", "y"])
+    frame = spark.createDataFrame(rows, "shard string, seq long, op string, key string, bytes long")
+    links = spark.createDataFrame([("s", k, k + 1) for k in range(1, 9)], "slide_id string, offset long, next_offset long")
+    folder = ordered.shared_dir(spark).removeprefix("file://") + "/tilequery/*"
+    before = set(glob.glob(folder))
+    with ordered.scratch(spark):
+        assert reuse.distances(frame).count() == 50 and chains.followed(links.select("slide_id", F.lit(1).cast("long").alias("offset")), links).count() == 9
+        assert len(set(glob.glob(folder)) - before) == 3  # one of the uses, two of the chains
+    assert set(glob.glob(folder)) == before

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tiff import MAX_IFDS
-from .ordered import written
+from .ordered import written, written_alone
 
 
 def followed(heads: DataFrame, links: DataFrame, most: int = MAX_IFDS) -> DataFrame:
@@ -23,16 +23,21 @@ def followed(heads: DataFrame, links: DataFrame, most: int = MAX_IFDS) -> DataFr
     """
     one = links.filter("slide_id IS NOT NULL AND offset IS NOT NULL").groupBy("slide_id", "offset").agg(F.min(F.coalesce("next_offset", F.lit(0))).alias("next_offset"))
     one = written(one, "links")
-    jump = one.filter("next_offset <> 0").select("slide_id", "offset", F.col("next_offset").alias("to"))
-    reached = written(heads.filter("slide_id IS NOT NULL AND offset <> 0").groupBy("slide_id").agg(F.min("offset").alias("offset")).withColumn("position", F.lit(0)), "reached")
-    step = 1
-    while step < most:
-        further = reached.join(jump, ["slide_id", "offset"]).select("slide_id", F.col("to").alias("offset"), (F.col("position") + step).alias("position"))
-        reached = written(reached.union(further.filter(F.col("position") < most)), "reached")
-        step *= 2
-        if step < most:
-            twice = jump.select("slide_id", F.col("offset").alias("start"), F.col("to").alias("offset")).join(jump, ["slide_id", "offset"])
-            jump = written(twice.select("slide_id", F.col("start").alias("offset"), "to"), "jumps")
+
+    def walk() -> DataFrame:
+        jump = one.filter("next_offset <> 0").select("slide_id", "offset", F.col("next_offset").alias("to"))
+        reached = written(heads.filter("slide_id IS NOT NULL AND offset <> 0").groupBy("slide_id").agg(F.min("offset").alias("offset")).withColumn("position", F.lit(0)), "reached")
+        step = 1
+        while step < most:
+            further = reached.join(jump, ["slide_id", "offset"]).select("slide_id", F.col("to").alias("offset"), (F.col("position") + step).alias("position"))
+            reached = written(reached.union(further.filter(F.col("position") < most)), "reached")
+            step *= 2
+            if step < most:
+                twice = jump.select("slide_id", F.col("offset").alias("start"), F.col("to").alias("offset")).join(jump, ["slide_id", "offset"])
+                jump = written(twice.select("slide_id", F.col("start").alias("offset"), "to"), "jumps")
+        return reached
+
+    reached = written_alone(walk, heads.sparkSession, "walk")
     return reached.join(one, ["slide_id", "offset"], "left").select("slide_id", "position", "offset", "next_offset")
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +24,49 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_PATHS: ContextVar[list[str] | None] = ContextVar("tables written for an order", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete, at the end of the block, the tables that operators of this module and those built on it wrote within it.
+
+    What comes out of them is read lazily: write or collect it within the block. Without a block the tables stay in the shared folder.
+    Each thread has blocks of its own."""
+    paths: list[str] = []
+    token = _PATHS.set(paths)
+    try:
+        yield paths
+    finally:
+        _PATHS.reset(token)
+        _delete(spark, paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read from there: what is computed on it later sees one and the same table."""
     path = f"{shared_dir(df.sparkSession)}/tilequery/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _PATHS.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_alone(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """The table that make() gives, written; what was written on the way to it is deleted."""
+    with scratch(spark) as inner:
+        out = written(make(), name)
+        path = inner.pop()  # the result's own
+    if (paths := _PATHS.get()) is not None:
+        paths.append(path)
+    return out
+
+
 def in_parts(df: DataFrame, *order: str) -> DataFrame:
     """df dealt by ranges of `order`, with part (ascending with the order) and pos (the rank within it, from 0); written.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import carried, numbered, written
+from .ordered import carried, numbered, written_alone
 
 LEAST_BLOCK = 256
 
@@ -62,7 +62,7 @@ def distances(log: DataFrame, block: int | None = None) -> DataFrame:
     of their keys. block: uses a block; by default about the root of their number, so that the grid has about as many cells as
     the log rows. A hot shard or key is many blocks like any other."""
     own = log.withColumns({"shard": F.struct("shard"), "key": F.struct("key")})  # null is a value
-    uses = written(last_uses(own), "uses")
+    uses = written_alone(lambda: last_uses(own), log.sparkSession, "uses")
     n = uses.count()
     block = block or max(LEAST_BLOCK, 1 << (max(n, 1) - 1).bit_length() // 2)
     points = uses.select("idx", F.coalesce("last", F.lit(-1)).alias("p"))
