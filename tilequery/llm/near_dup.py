@@ -138,24 +138,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return out
 
 
+#: Tasks that the partners of one text are dealt over.
+SALTS = 16
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS) -> DataFrame:
-    """The pairs (a, b) of keys whose whole texts are as similar as the threshold."""
+    """The pairs (a, b) of keys whose whole texts are as similar as the threshold.
+
+    The partners of a text are dealt over SALTS groups. A group is sent the text once, before its partners, and
+    keeps its shingles while they stream by; so a text with a million near copies isn't sent a million times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for half in slices(whole, "ta", SLICE) for part in slices(half, "tb", SLICE)):
-            sides = [batch.column(2).to_pylist(), batch.column(3).to_pylist()]
-            number: dict[str, int] = {}
-            for t in sides[0] + sides[1]:
-                number.setdefault(t, len(number))
-            raw, offsets = string_buffers(pa.array(list(number), pa.large_string()))
+        pivot = None
+        for batch in (part for whole in batches for part in slices(whole, "t", SLICE)):
+            raw, offsets = string_buffers(batch.column(3))
             shingle, of, count = weighted_shingles(raw, offsets, k)
-            first = np.searchsorted(of, np.arange(len(number) + 1))
-            own = [(shingle[i:j], count[i:j]) for i, j in zip(first[:-1], first[1:])]
-            keep = [similarity(own[number[x]], own[number[y]]) >= threshold for x, y in zip(*sides)]
+            first = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+            keep = []
+            for n, is_pivot in enumerate(batch.column(2).to_pylist()):
+                own = shingle[first[n] : first[n + 1]], count[first[n] : first[n + 1]]
+                if is_pivot:
+                    pivot = own[0].copy(), own[1].copy()
+                keep.append(not is_pivot and similarity(pivot, own) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ta, tb = texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), texts.select(F.col("key").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    text_of_key = lambda name: texts.select(F.col("key").alias(name), "t")
+    pivots = salted.select("a", "salt").distinct().join(text_of_key("a"), "a").select("a", F.col("a").alias("b"), F.lit(True).alias("is_pivot"), "t", "salt")
+    partners = salted.join(text_of_key("b"), "b").select("a", "b", F.lit(False).alias("is_pivot"), "t", "salt")
+    dealt = pivots.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_pivot"))
+    return dealt.select("a", "b", "is_pivot", "t").mapInArrow(run, "a binary, b binary")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
