@@ -55,17 +55,28 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("row", "vec_id", "label", "x").mapInArrow(run, BLOCKS)
 
 
+#: What a tile says of its anchors and rows; it goes with the first chunk, so that no tile is joined to find it.
+NAMED = ("rows", "ids", "labels")
+
+
+def _named(side: str) -> str:
+    return ", ".join(f"{side}_{c} array<long>" for c in NAMED)
+
+
 def _chunked(side: DataFrame, chunk: int, name: str) -> DataFrame:
-    """(block, chunk, data): a block's rows, a chunk of their dimensions each."""
+    """(block, chunk, data, dims, rows, ids, labels): a block's rows, a chunk of their dimensions each; the last three with chunk 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw, d in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                x = np.frombuffer(raw, "<i8").reshape(-1, d)
+            for k, (block, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                x = np.frombuffer(batch.column(1)[k].as_buffer(), "<i8").reshape(-1, d)
+                widths = [min(chunk, d - at) for at in range(0, d, chunk)]
                 parts = [np.ascontiguousarray(x[:, at : at + chunk]).tobytes() for at in range(0, d, chunk)]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts), pa.array([min(chunk, d - k * chunk) for k in range(len(parts))], pa.int32())], names=[name, "chunk", f"{name}_data", f"{name}_dims"])
+                first = [pa.concat_arrays([batch.column(c).slice(k, 1), pa.nulls(len(parts) - 1, batch.column(c).type)]) for c in (3, 4, 5)]
+                columns = [pa.array([block] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts), pa.array(widths, pa.int32()), *first]
+                yield pa.RecordBatch.from_arrays(columns, names=[name, "chunk", f"{name}_data", f"{name}_dims", *[f"{name}_{c}" for c in NAMED]])
 
-    return side.select("block", "data", "dims").mapInArrow(run, f"{name} long, chunk int, {name}_data binary, {name}_dims int")
+    return side.select("block", "data", "dims", *NAMED).mapInArrow(run, f"{name} long, chunk int, {name}_data binary, {name}_dims int, {_named(name)}")
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,7 +88,7 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def score_tiles(anchors: DataFrame, rows: DataFrame, chunk: int = CHUNK, grid: int = GRID) -> DataFrame:
-    """(a, b, tile): the summed int64 scores of each anchor block with each row block.
+    """(a, b, tile, and the rows, ids and labels of both): the summed int64 scores of each anchor block with each row block.
 
     A group of `grid` anchor blocks meets a group of `grid` row blocks in one place of the
     grid for each chunk; a block is sent once to each group of the other side."""
@@ -87,14 +98,17 @@ def score_tiles(anchors: DataFrame, rows: DataFrame, chunk: int = CHUNK, grid: i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // grid)) - 1)))
     left = left.withColumn("ga", group("a", n_left)).withColumn("gb", every(n_right))
     right = right.withColumn("gb", group("b", n_right)).withColumn("ga", every(n_left))
+    named = [f"{side}_{c}" for side in "ab" for c in NAMED]
+    schema = f"a long, b long, tile binary, {_named('a')}, {_named('b')}"
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y, d = batch.columns
+            x, y, d = batch.columns[2:5]
             for k in range(batch.num_rows):
                 width = d[k].as_py()
                 tile = _product(np.frombuffer(x[k].as_buffer(), "<i8").reshape(-1, width), np.frombuffer(y[k].as_buffer(), "<i8").reshape(-1, width))
-                yield pa.RecordBatch.from_arrays([a.slice(k, 1), b.slice(k, 1), pa.array([tile.astype("<i8").tobytes()])], names=["a", "b", "tile"])
+                own = [c.slice(k, 1) for c in (*batch.columns[:2], *batch.columns[5:])]
+                yield pa.RecordBatch.from_arrays([*own[:2], pa.array([tile.astype("<i8").tobytes()]), *own[2:]], names=["a", "b", "tile", *named])
 
     def added(tiles: pa.Table) -> pa.Table:
         total = None
@@ -102,11 +116,11 @@ def score_tiles(anchors: DataFrame, rows: DataFrame, chunk: int = CHUNK, grid: i
             for one in raw:
                 part = np.frombuffer(one.as_buffer(), "<i8")
                 total = part if total is None else total + part
-        return pa.table({"a": tiles.column("a").slice(0, 1), "b": tiles.column("b").slice(0, 1), "tile": pa.array([total.tobytes()])})
+        one = {c: tiles.column(c).slice(0, 1) for c in ("a", "b")} | {"tile": pa.array([total.tobytes()])}
+        return pa.table(one | {c: tiles.column(c).drop_null() for c in named})
 
-    met = left.join(right, ["chunk", "ga", "gb"]).select("a", "b", "a_data", "b_data", "a_dims")
-    partial = met.mapInArrow(multiply, "a long, b long, tile binary")
-    return partial.groupBy("a", "b").applyInArrow(added, "a long, b long, tile binary")
+    met = left.join(right.drop("b_dims"), ["chunk", "ga", "gb"]).select("a", "b", "a_data", "b_data", "a_dims", *named)
+    return met.mapInArrow(multiply, schema).groupBy("a", "b").applyInArrow(added, schema)
 
 
 def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -160,13 +174,10 @@ def mine(
     b_blocks = cut(blocks(own, row_block), "row_blocks")
     tiles = cut(score_tiles(a_blocks, b_blocks, chunk, grid), "score_tiles")
 
-    sides = lambda df, name: df.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("rows", "ids", "labels")])
-    dressed = tiles.join(sides(a_blocks, "a"), "a").join(sides(b_blocks, "b"), "b")
-
     def arrays(batch: pa.RecordBatch) -> Iterator[tuple]:
         named = dict(zip(batch.schema.names, batch.columns))
         for k in range(batch.num_rows):
-            ar, ai, al, br, bi, bl = (np.asarray(named[f"{s}_{c}"][k].values) for s in "ab" for c in ("rows", "ids", "labels"))
+            ar, ai, al, br, bi, bl = (np.asarray(named[f"{s}_{c}"][k].values) for s in "ab" for c in NAMED)
             yield ar, ai, al, br, bi, bl, np.frombuffer(named["tile"][k].as_buffer(), "<i8").reshape(len(ar), len(br)), named, k
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +190,7 @@ def mine(
                     out.append((np.full(len(at), ar[i]), np.full(len(at), ai[i]), br[at], bi[at], tile[i, at]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[c.split()[0] for c in PICKS.split(", ")])
 
-    found = _ranked(dressed.drop("ga", "gb").mapInArrow(best, PICKS), ["anchor_row"], positives)
+    found = _ranked(tiles.mapInArrow(best, PICKS), ["anchor_row"], positives)
     pos = F.struct("anchor_row", F.col("row").alias("p_row"), F.col("id").alias("p_id"), F.col("score").alias("p_score"))
     placed = a_blocks.select(F.col("block").alias("a"), F.explode("rows").alias("anchor_row"))
     windows = cut(found.join(placed, "anchor_row").groupBy("a").agg(F.collect_list(pos).alias("windows")), "windows")
@@ -198,7 +209,7 @@ def mine(
                     out.append((full(ar[i]), full(ai[i]), full(w["p_row"]), full(w["p_id"]), full(p), br[at], bi[at], s[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[c.split()[0] for c in MINED.split(", ")])
 
-    mined = dressed.join(windows, "a").mapInArrow(within, MINED)
+    mined = tiles.join(windows, "a").mapInArrow(within, MINED)
     out = _ranked(mined, ["anchor_row", "positive_row"], negatives)
     out = cut(out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "hard_negatives")
     drop_cut(own, a_blocks, b_blocks, tiles, windows)
