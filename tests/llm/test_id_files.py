@@ -1,14 +1,16 @@
 """Range-coded ids: exact round trips, damage, and the query's rows against the tokenizers library."""
 
 import os
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tilequery.llm import id_files, mixing_coder
+from tilequery.llm import id_files, mixing_coder, packing
 from tilequery.sources import blob_sink
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +78,45 @@ def test_damage_is_found():
         id_files.read_segment(memoryview(raw[:-1]))
 
 
+@pytest.mark.parametrize("n", [16382, 16383, 16384, 40000])
+def test_narrow_and_wide_tables(n):
+    rng = np.random.default_rng(6)
+    ids = np.concatenate([np.arange(n), np.tile(rng.integers(0, n, 9), 300), rng.integers(n - 5, n, 300)])
+    docs, per, got, _ = id_files.read_segment(memoryview(id_files.segment([1], [ids.astype(np.uint32)], 512, 64)))
+    assert (got == ids).all()
+
+
+def test_a_block_takes_little_memory():
+    """Most time of the coder goes by waiting for its tables."""
+    shares = mixing_coder.Shares(np.ones(4000, np.int64))
+    tables = mixing_coder._Mixture(100, shares)
+    assert sum(x.nbytes for x in vars(tables).values() if isinstance(x, np.ndarray)) <= 100 * 2500
+
+
+def test_many_different_ids():
+    """A named id of the least weight has a width of the interval, whatever the number of ids."""
+    rng = np.random.default_rng(7)
+    ids = rng.permutation(1 << 20)[: 400 * 2048].reshape(400, 2048)
+    ids[:, 1900:] = np.repeat(ids[:, 1900:1974], 2, 1)
+    ids[:, 2000:] = ids[:, 1000:1048]
+    docs, per, got, _ = id_files.read_segment(memoryview(id_files.segment([1], [ids.reshape(-1).astype(np.uint32)])))
+    assert (got == ids.reshape(-1)).all()
+
+
+def test_texts_without_neighbouring_white_space():
+    rng = random.Random(8)
+    atoms = [" ", " ", "\n", "\t", "\x85", "\xa0", "\x1c", "a", "Bc", "é", "à", "12", "²", "'s", "'", "!?", "<|endoftext|>", "<|", "世", "_"]
+    texts = ["".join(rng.choices(atoms, k=rng.randint(0, 9))) for _ in range(4000)]
+    texts += [chr(a) + b + "a" for a in range(0x250) for b in " a1!\n"] + [b + chr(a) for a in range(0x250) for b in " a1!\n"]
+    encoder, model = packing.ByteEncoder.load(PATH), Tokenizer.from_file(PATH)
+    single = packing.single_spaced(pa.array(["x  y", *texts]).slice(1))
+    assert 1000 < single.sum() < len(texts)
+    for text, own in zip(texts, single.tolist()):
+        assert not own or encoder.encode_single(text).tolist() == model.encode(text, add_special_tokens=False).ids, text
+    assert packing.single_spaced(pa.array(["", " ", "  ", "a ", " b", "a \n", "a\xa0 b"])).tolist() == [True, True, False, True, True, False, False]
+    assert len(packing.single_spaced(pa.array([], pa.string()))) == 0
+
+
 def expected(rows):
     model = Tokenizer.from_file(PATH)
     out, start = [], 0

@@ -30,9 +30,9 @@ from pyspark.sql.window import Window
 from ..sources.blob_sink import blobs, read_blobs, write_blobs
 from . import mixing_coder
 from .common import cut, drop_paths, shared_dir, table, text_of
-from .packing import ByteEncoder
+from .packing import ByteEncoder, single_spaced
 
-MAGIC, HEAD = b"TQIDS1\0\0", struct.Struct("<8sQQQIIIII")
+MAGIC, HEAD = b"TQIDS2\0\0", struct.Struct("<8sQQQIIIII")
 #: Ids from which a segment, and segments from which a file is closed (after a whole document).
 SEGMENT_IDS, FILE_SEGMENTS = mixing_coder.BLOCK * mixing_coder.LANES, 8
 #: Up to here distinct ids are found by counting, beyond by sorting.
@@ -52,7 +52,7 @@ def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def segment(doc_ids: list[int | None], ids: list[np.ndarray], block: int = mixing_coder.BLOCK, lanes: int = mixing_coder.LANES) -> bytes:
-    """A segment of documents, each with at least one id of up to 32 bits."""
+    """A segment of documents, each with at least one id of up to 32 bits; up to 2**24 different ids."""
     per = np.array([len(x) for x in ids], "<u8")
     whole = np.concatenate(ids)
     own, counts, places = _distinct(whole)
@@ -132,9 +132,10 @@ def write_ids(
             return pa.RecordBatch.from_pydict(own)
 
         for batch in batches:
-            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, own, single in zip(batch.column(0).to_pylist(), batch.column(1), single_spaced(batch.column(1)).tolist()):
                 docs.append(doc)
-                ids.append(np.append(encoder.encode(own.as_py()), np.uint32(end_id)))
+                encode = encoder.encode_single if single else encoder.encode
+                ids.append(np.append(encode(own.as_py()), np.uint32(end_id)))
                 held += len(ids[-1])
                 if held >= segment_ids:
                     close()

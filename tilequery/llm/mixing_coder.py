@@ -18,163 +18,186 @@ import numpy as np
 
 #: Ids a block, and blocks that are coded side by side.
 BLOCK, LANES = 2048, 4096
-SLOTS1, SLOTS2 = 9, 10  # bits of the tables of order 1 and 2
+SLOTS1, SLOTS2 = 9, 9  # bits of the tables of order 1 and 2; larger ones cost more in cache misses than they save
 STATES, RATE = 32, 5
 _U = np.uint64
-#: The coder's interval has 48 bits; below 32 bits it gives out 16.
-WHOLE, LEAST = 1 << 48, _U(1 << 32)
-_16, _32, _LOW = _U(16), _U(32), _U((1 << 32) - 1)
+#: The coder's interval has 63 bits; below 31 bits it gives out 32.
+WHOLE, LEAST = 1 << 63, _U(1 << 31)
+_16, _31, _32, _LOW, _LOW32 = _U(16), _U(31), _U(32), _U((1 << 31) - 1), _U((1 << 32) - 1)
+#: Order 0 has so many bits at most; the least width of an interval is then still 1.
+MOST_BITS = 24
 
 
 class Shares:
-    """Order 0: each place (of a file's distinct ids) has a share of 2**bits, after its count; the last entry is the whole."""
+    """Order 0: each place (of a file's distinct ids) has a share of 2**bits, after its count; the last entry is a whole that isn't divided."""
 
     def __init__(self, counts: np.ndarray) -> None:
         n = len(counts)
-        self.bits = max(12, n.bit_length() + 3)
+        if n > 1 << MOST_BITS:
+            raise ValueError(f"{n} different ids in a segment, {1 << MOST_BITS} are the most")
+        self.bits = max(12, min(n.bit_length() + 3, MOST_BITS))
         total = 1 << self.bits
         share = 1 + counts.astype(np.int64) * (total - n) // max(int(counts.sum()), 1)
         share[int(np.argmax(counts))] += total - int(share.sum())
         self.find = np.repeat(np.arange(n, dtype=np.int32), share)
-        self.start = np.append(np.cumsum(share) - share, 0).astype(_U)
-        self.share = np.append(share, total).astype(_U)
+        # start in the upper, share in the lower 32 bits
+        self.parts = np.append((np.cumsum(share) - share) << 32 | share, 1).astype(_U)
         self.whole = n
 
 
 class _Mixture:
-    """Orders 1 and 2 of all blocks, and the weights of the mixture. Rows 0 and 1 of an array are order 2 and order 1."""
+    """Orders 1 and 2 of all blocks, and the weights of the mixture. Rows 0 and 1 of an array are order 2 and order 1.
 
-    def __init__(self, lanes: int) -> None:
+    Ids are given as place + 1, in the type `kind`: 0 is none."""
+
+    def __init__(self, lanes: int, shares: Shares) -> None:
         lane = np.arange(lanes, dtype=np.int64)
+        # entries: (place + 1) * 4 + state of trust; they are narrow, as most time goes by waiting for memory
+        self.kind = np.uint16 if shares.whole < 1 << 14 else np.uint32
+        self.table = np.zeros((lanes << SLOTS2) + (lanes << SLOTS1), self.kind)
         self.first = np.stack([lane << SLOTS2, (lanes << SLOTS2) + (lane << SLOTS1)])
-        # entries: (place + 1) * 4 + state of trust
-        self.table = np.zeros((lanes << SLOTS2) + (lanes << SLOTS1), np.int32)
-        self.right = np.repeat(_FIRST[:, None], lanes, 1).reshape(-1)
-        self.lane = np.stack([lane * STATES, (lanes + lane) * STATES])
-        self.h = np.zeros((2, lanes), np.uint32)
-        self.limits = np.zeros((4, lanes), np.int32)
-        self.limits[3] = 65536
-        self.flat = self.limits.reshape(-1)
-        self.column, self.lanes = lane, lanes
-
-    def predict(self, m: int) -> np.ndarray:
-        """The places that order 2 and order 1 name. limits then has the bounds of their weights and of order 0's, of 65536."""
-        self.at = self.first[:, :m] + (self.h[:, :m] >> _SLOT_SHIFT)
+        self.at = self.first
+        # weights, of 65536: order 2 in the lower, order 1 in the upper 16 bits
+        self.weights = np.tile(_FIRST[0] | _FIRST[1] << 16, lanes).astype(np.uint32)
+        self.lane = lane * STATES
+        self.before = np.zeros(lanes, np.uint32)
+
+    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that order 2 and order 1 name, and their weights."""
+        if self.at.shape[1] > m:  # the last block has ended
+            self.at, self.first, self.lane, self.before = self.at[:, :m].copy(), self.first[:, :m].copy(), self.lane[:m], self.before[:m]
         entry = self.table.take(self.at)
         self.trust = entry & 3
-        self.named = (entry >> 2) - 1
-        state = self.trust[0] * 8 + self.trust[1] * 2 + (self.named[0] == self.named[1])
-        self.state = self.lane[:, :m] + state
-        self.known = self.right[self.state]
-        # no weight is 0, and order 0 keeps a hundredth at least
-        weights = (self.known - (self.known >> 6)) + 64
-        self.limits[1, :m] = weights[0]
-        np.add(weights[0], weights[1], out=self.limits[2, :m])
-        return self.named
-
-    def bounds(self, m: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the weight of a kind: 0 order 2 named the id, 1 only order 1 did, 2 neither."""
-        at = kind * self.lanes + self.column[:m]
-        start = self.flat.take(at)
-        return start.astype(_U), (self.flat.take(at + self.lanes) - start).astype(_U)
-
-    def learn(self, m: int, place: np.ndarray, kind: np.ndarray) -> None:
-        self.right[self.state] = self.known + (((kind == _KINDS) * _ONE - self.known) >> RATE)
-        self.table[self.at] = (place * 4 + 5) + (self.named == place) * np.minimum(self.trust, 2)
-        own = (place + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
-        self.h[0, :m] = (self.h[1, :m] * np.uint32(0x2545F491) + own) * np.uint32(0x85EBCA6B)
-        self.h[1, :m] = own
+        self.named = entry >> 2
+        state = (self.trust[0] << 3) + (self.trust[1] << 1)
+        state += self.named[0] == self.named[1]
+        self.state = self.lane + state
+        both = self.weights.take(self.state)
+        self.known = np.empty((2, m), np.uint32)
+        np.bitwise_and(both, 0xFFFF, out=self.known[0])
+        np.right_shift(both, 16, out=self.known[1])
+        return self.named, self.known
+
+    def learn(self, own: np.ndarray, hit: np.ndarray, right: np.ndarray) -> None:
+        """hit: which orders named the id; right: which one it was coded by."""
+        known = self.known.view(np.int32)
+        known += (right * _RISE + _LEAST - known) >> RATE
+        self.weights[self.state] = self.known[0] | self.known[1] << 16
+        entry = np.minimum(self.trust, 2)
+        entry *= hit
+        entry += (own << 2) + self.kind(1)
+        self.table[self.at] = entry
+        value = own * np.uint32(0x9E3779B1)
+        h = np.empty((2, len(own)), np.uint32)
+        np.multiply(self.before * np.uint32(0x2545F491) + value, np.uint32(0x85EBCA6B), out=h[0])
+        h[1] = self.before = value
+        h >>= _SLOT_SHIFT
+        self.at = self.first + h
 
 
 _SLOT_SHIFT = np.array([[32 - SLOTS2], [32 - SLOTS1]], np.uint32)
 # weights of a fresh block by state, of order 2 by its own trust, of order 1 by both
 _TRUST2, _TRUST1 = np.arange(STATES) >> 3, np.arange(STATES) >> 1 & 3
-_FIRST = np.stack([np.array([100, 3000, 24000, 48000])[_TRUST2], np.array([100, 3000, 12000, 24000])[_TRUST1] >> np.maximum(_TRUST2 - 1, 0)]).astype(np.int32)
-_KINDS, _ONE = np.array([[0], [1]]), np.int32(65535)
+_FIRST = np.stack([np.array([100, 3000, 24000, 48000])[_TRUST2], np.array([100, 3000, 12000, 24000])[_TRUST1] >> np.maximum(_TRUST2 - 1, 0)]).astype(np.int64)
+# a weight moves between these two: none is 0, and order 0 keeps a hundredth at least
+_LEAST, _RISE, _ALL = np.int32(64), np.int32(64512 - 64), np.uint32(65536)
 
 
 def encode(places: np.ndarray, lengths: np.ndarray, shares: Shares) -> list[bytes]:
     """Codes of blocks of places, one after the other; all blocks but the last are equally long, none is empty."""
     lanes, length, last = len(lengths), int(lengths[0]), int(lengths[-1])
-    data = np.zeros((length, lanes), np.int32)
+    model = _Mixture(lanes, shares)
+    data = np.zeros((length, lanes), model.kind)
     data[:, : lanes - 1] = places[: (lanes - 1) * length].reshape(lanes - 1, length).T
     data[:last, lanes - 1] = places[(lanes - 1) * length :]
-    model = _Mixture(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, WHOLE, _U)
-    words = np.zeros((2 * length + 8, lanes), np.int32)  # blocks go on at much the same pace, so this is written row by row
-    filled = np.zeros(lanes, np.int64)
+    words = np.zeros((length + 1, lanes), _U)  # an id takes a word at most; blocks go on at much the same pace, so this is written row by row
+    flat, to = words.reshape(-1), np.arange(lanes)
     bits = _U(shares.bits)
 
     def renew(who: np.ndarray) -> None:
-        out = low[who]
-        words[filled[who], who] = out >> _32
-        filled[who] += 1
-        low[who] = (out & _LOW) << _16
-        span[who] <<= _16
+        out, at = low[who], to[who]
+        flat[at] = out >> _31
+        to[who] = at + lanes
+        low[who] = (out & _LOW) << _32
+        span[who] <<= _32
 
     for i in range(length):
         m = lanes if i < last else lanes - 1
-        own = data[i, :m]
-        hit = model.predict(m) == own
-        kind = np.where(hit[0], 0, 2 - hit[1])
-        start, width = model.bounds(m, kind)
-        entry = np.where(kind == 2, own, shares.whole)
+        place = data[i, :m]
+        own = place + model.kind(1)
+        named, weight = model.predict(m)
+        hit = named == own
+        right = hit.copy()
+        right[1] &= ~hit[0]
+        neither = ~(hit[0] | hit[1])
+        both = weight[0] + weight[1]
+        start = np.where(neither, both, weight[0] * right[1])
+        width = np.where(neither, _ALL - both, np.where(hit[0], weight[0], weight[1]))
+        part = shares.parts.take(np.where(neither, place, shares.whole))
         step = span[:m] >> _16
-        inner = step * width >> bits
-        low[:m] += step * start + inner * shares.start.take(entry)
-        span[:m] = inner * shares.share.take(entry)
-        small = np.flatnonzero(span < LEAST)
-        while small.size:
+        inner = step * width >> neither * bits
+        low[:m] += step * start + inner * (part >> _32)
+        np.multiply(inner, part & _LOW32, out=span[:m])
+        small = np.flatnonzero(span[:m] < LEAST)
+        if small.size:
             renew(small)
-            small = small[span[small] < LEAST]
-        model.learn(m, own, kind)
-    for _ in range(3):
-        renew(np.arange(lanes))
-    # what overflowed 16 bits goes to the word before
+        model.learn(own, hit, right)
+    # the interval holds a number that ends in 31 zeros; zeros aren't written
+    low += _LOW
+    renew(np.arange(lanes))
+    filled = to // lanes
+    # what overflowed 32 bits goes to the word before
     words = words[: int(filled.max())]
-    while (over := words >> 16).any():
-        words &= 0xFFFF
+    while (over := words >> _32).any():
+        words &= _LOW32
         words[:-1] += over[1:]
-    flat = np.ascontiguousarray(words.T, "<u2")
-    return [flat[k, : filled[k]].tobytes() for k in range(lanes)]
+    out = np.ascontiguousarray(words.T, "<u4")
+    return [out[k, : filled[k]].tobytes() for k in range(lanes)]
 
 
 def decode(codes: list[bytes], lengths: np.ndarray, shares: Shares) -> np.ndarray:
     """The places of all blocks, one after the other."""
     lanes, length, last = len(codes), int(lengths[0]), int(lengths[-1])
-    model = _Mixture(lanes)
-    size = max(map(len, codes)) // 2 + 6
-    words = np.zeros((lanes, size), "<u2")
+    model = _Mixture(lanes, shares)
+    size = max(map(len, codes)) // 4 + 2
+    words = np.zeros((lanes, size), "<u4")
     for k, c in enumerate(codes):
-        words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-    words = np.ascontiguousarray(words.T)
-    code = np.zeros(lanes, _U)
-    for k in range(3):
-        code = code << _16 | words[k]
-    span, taken = np.full(lanes, WHOLE, _U), np.full(lanes, 3, np.int64)
-    out = np.zeros((length, lanes), np.int32)
+        words[k, : len(c) // 4] = np.frombuffer(c, "<u4")
+    words = np.ascontiguousarray(words.T, np.uint32)
+    code = words[0].astype(_U) << _31 | words[1] >> 1
+    # the interval's 63 bits end within a word, so these are 32 bits from there on
+    words[:-1] = words[:-1] << 31 | words[1:] >> 1
+    flat, at, end = words.reshape(-1), np.arange(lanes) + lanes, (size - 1) * lanes
+    span = np.full(lanes, WHOLE, _U)
+    out = np.zeros((length, lanes), model.kind)
     bits, most = _U(shares.bits), _U((1 << shares.bits) - 1)
     for i in range(length):
         m = lanes if i < last else lanes - 1
-        named = model.predict(m)
+        named, weight = model.predict(m)
         step = span[:m] >> _16
-        value = (code[:m] // step).astype(np.int32)
-        kind = (value >= model.limits[1:3, :m]).sum(0)
-        start, width = model.bounds(m, kind)
-        inner = step * width >> bits
-        rest = code[:m] - step * start
-        zero = shares.find.take(np.minimum(rest // inner, most).view(np.int64))
-        neither = kind == 2
-        entry = np.where(neither, zero, shares.whole)
-        code[:m] = rest - inner * shares.start.take(entry)
-        span[:m] = inner * shares.share.take(entry)
-        own = np.where(neither, zero, np.where(kind == 0, named[0], named[1]))
-        small = np.flatnonzero(span < LEAST)
-        while small.size:
-            code[small] = code[small] << _16 | words[taken[small], small]
-            taken[small] = np.minimum(taken[small] + 1, size - 1)
-            span[small] <<= _16
-            small = small[span[small] < LEAST]
-        model.learn(m, own, kind)
+        both = weight[0] + weight[1]
+        first, second = step * weight[0], step * both
+        rest = code[:m]
+        neither, later = rest >= second, rest >= first
+        rest = rest - np.where(neither, second, first * later)
+        width = np.where(neither, _ALL - both, np.where(later, weight[1], weight[0]))
+        inner = step * width >> neither * bits
+        place = shares.find.take(np.minimum(rest // inner, most).view(np.int64))
+        part = shares.parts.take(np.where(neither, place, shares.whole))
+        np.subtract(rest, inner * (part >> _32), out=code[:m])
+        np.multiply(inner, part & _LOW32, out=span[:m])
+        own = np.where(neither, (place + 1).astype(model.kind), np.where(later, named[1], named[0]))
+        small = np.flatnonzero(span[:m] < LEAST)
+        if small.size:
+            where = at[small]
+            code[small] = code[small] << _32 | flat[where]
+            at[small] = np.minimum(where + lanes, end)
+            span[small] <<= _32
+        hit = named == own
+        right = hit.copy()
+        right[1] &= ~hit[0]
+        model.learn(own, hit, right)
         out[i, :m] = own
+    out -= model.kind(1)
     return out.T.reshape(-1)[: int(lengths.sum())]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import string_buffers, table, text_of
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 # The pre-tokenising pattern and the special token of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
+# the same pieces where white space stands alone: without the lookahead, which makes the search several times slower
+SINGLE_PATTERN = PATTERN.removesuffix(r"|\s+(?!\S)|\s+") + r"|\s"
 
 
 class ByteEncoder:
@@ -42,9 +45,13 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.fast = self._fast()
+        self.fast = self._fast(PATTERN)
 
-    def _fast(self):
+    @cached_property
+    def single(self):
+        return self._fast(SINGLE_PATTERN)
+
+    def _fast(self, pattern: str):
         import json
 
         import tiktoken
@@ -57,7 +64,7 @@ class ByteEncoder:
         others = [b for b in range(256) if b not in own]
         byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocab.items() if token not in special}
-        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     @classmethod
     def load(cls, path: str) -> ByteEncoder:
@@ -70,6 +77,25 @@ class ByteEncoder:
             return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
 
+    def encode_single(self, text: str) -> np.ndarray:
+        """The same for a text that single_spaced() tells of."""
+        if not text.isascii() and self.OTHER.search(text):
+            return self.encode(text)
+        return np.asarray(self.single.encode_to_numpy(text, allowed_special="all"), np.uint32)
+
+
+_WHITE = np.zeros(256, bool)
+# the white space below 0x250; U+0085 and U+00A0 are pairs of bytes of their own
+_WHITE[[*range(9, 14), 32, 0xC2, 0x85, 0xA0]] = True
+
+
+def single_spaced(texts: pa.Array) -> np.ndarray:
+    """Which of the texts surely have no two characters of white space side by side, of a null-free array."""
+    raw, offsets = string_buffers(texts)
+    white = _WHITE[raw]
+    pairs = np.flatnonzero(white[1:] & white[:-1])
+    return np.searchsorted(pairs, offsets[1:] - 1) <= np.searchsorted(pairs, offsets[:-1])
+
 
 class BestFit:
     """Places pieces into bins of `capacity`, at most `open_bins` of which are open."""
