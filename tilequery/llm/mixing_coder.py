@@ -39,7 +39,9 @@ class Shares:
         total = 1 << self.bits
         share = 1 + counts.astype(np.int64) * (total - n) // max(int(counts.sum()), 1)
         share[int(np.argmax(counts))] += total - int(share.sum())
-        self.find = np.repeat(np.arange(n, dtype=np.int32), share)
+        # narrow types, as most time goes by waiting for memory
+        self.kind = np.uint16 if n < 1 << 14 else np.uint32
+        self.find = np.repeat(np.arange(n, dtype=self.kind), share)
         # start in the upper, share in the lower 32 bits
         self.parts = np.append((np.cumsum(share) - share) << 32 | share, 1).astype(_U)
         self.whole = n
@@ -48,12 +50,12 @@ class Shares:
 class _Mixture:
     """Orders 1 and 2 of all blocks, and the weights of the mixture. Rows 0 and 1 of an array are order 2 and order 1.
 
-    Ids are given as place + 1, in the type `kind`: 0 is none."""
+    Ids are given as place + 1: 0 is none."""
 
     def __init__(self, lanes: int, shares: Shares) -> None:
         lane = np.arange(lanes, dtype=np.int64)
-        # entries: (place + 1) * 4 + state of trust; they are narrow, as most time goes by waiting for memory
-        self.kind = np.uint16 if shares.whole < 1 << 14 else np.uint32
+        # entries: (place + 1) * 4 + state of trust
+        self.kind = shares.kind
         self.table = np.zeros((lanes << SLOTS2) + (lanes << SLOTS1), self.kind)
         self.first = np.stack([lane << SLOTS2, (lanes << SLOTS2) + (lane << SLOTS1)])
         self.at = self.first
@@ -187,7 +189,7 @@ def decode(codes: list[bytes], lengths: np.ndarray, shares: Shares) -> np.ndarra
         part = shares.parts.take(np.where(neither, place, shares.whole))
         np.subtract(rest, inner * (part >> _32), out=code[:m])
         np.multiply(inner, part & _LOW32, out=span[:m])
-        own = np.where(neither, (place + 1).astype(model.kind), np.where(later, named[1], named[0]))
+        own = np.where(neither, place + model.kind(1), np.where(later, named[1], named[0]))
         small = np.flatnonzero(span[:m] < LEAST)
         if small.size:
             where = at[small]
