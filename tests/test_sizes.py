@@ -22,3 +22,7 @@ def default_threshold(spark):
 def test_extents_neither_list_all_tiles_nor_broadcast(spark, default_threshold):
     text = plan(entry.queries()["q31_tile_extents"](spark, DATA))
     assert "BroadcastExchange" not in text and "posexplode" not in text
+
+
+def test_extents_of_all_levels_broadcast_nothing(spark, default_threshold):
+    assert "BroadcastExchange" not in plan(entry.queries()["q36_tile_extents_all_levels"](spark, DATA))
