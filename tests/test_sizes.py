@@ -26,3 +26,7 @@ def test_extents_neither_list_all_tiles_nor_broadcast(spark, default_threshold):
 
 def test_extents_of_all_levels_broadcast_nothing(spark, default_threshold):
     assert "BroadcastExchange" not in plan(entry.queries()["q36_tile_extents_all_levels"](spark, DATA))
+
+
+def test_level_info_broadcasts_nothing(spark, default_threshold):
+    assert "BroadcastExchange" not in plan(entry.queries()["q49_level_info"](spark, DATA))
