@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -99,3 +100,32 @@ def test_hard_negatives_of_nothing(spark):
     one = spark.createDataFrame([(10, [1.0], 1, 1, None, None), (11, None, 1, 1, None, None)], SCHEMA)
     assert hard_negatives.mine(one, F.col("vec_id") % 10 == 0).count() == 0
     assert hard_negatives.mine(one, F.col("vec_id") == -1).count() == 0
+
+
+def test_hard_negatives_write_no_scores(spark, monkeypatch):
+    """What is written grows with the vectors and the result, not with anchors times rows; a vector in many copies gives ties over all blocks."""
+    rnd, d = np.random.default_rng(5), 6
+    x = rnd.normal(size=(3000, d)).astype(np.float32)
+    x[rnd.random(3000) < 0.4] = x[7]
+    labels, ids = rnd.integers(0, 3, 3000), rnd.permutation(3000)
+    paths, written = [], hard_negatives.cut
+
+    def cut(df, name):
+        out = written(df, name)
+        paths.append(sum(f.stat().st_size for f in pathlib.Path(out._tilequery_path.removeprefix("file://")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(hard_negatives, "cut", cut)
+    frame = spark.createDataFrame([(int(i), v.tolist(), int(c)) for i, v, c in zip(ids, x, labels)], "vec_id long, embedding array<float>, label int")
+    got = hard_negatives.mine(frame.repartition(3), F.col("vec_id") % 5 == 0, positives=3, negatives=4, anchor_block=64, row_block=128, grid=3).toPandas()
+    assert sum(paths) < 3_000_000  # 600 x 3,000 scores are 14 MB
+    ints = np.floor(256 * x.astype(float)).astype(np.int64)
+    want = set()
+    for a in np.flatnonzero(ids % 5 == 0)[::10]:
+        s = ints @ ints[a]
+        order = [o for o in np.lexsort((ids, -s)) if o != a]
+        for p in [o for o in order if labels[o] == labels[a]][:3]:
+            near = [o for o in order if labels[o] != labels[a] and 30 * s[p] <= 100 * s[o] <= 90 * s[p]][:4]
+            want |= {(ids[a], ids[p], k + 1, ids[o], s[p], s[o]) for k, o in enumerate(near)}
+    own = got[got.anchor_id.isin(ids[np.flatnonzero(ids % 5 == 0)[::10]])]
+    assert {tuple(r) for r in own.itertuples(index=False)} == want and len(own) == len(want) > 200
