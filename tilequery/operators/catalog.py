@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import is_slide_file
 from .ordered import numbered
 
 DEFAULT_LIMIT = 100
-#: Tasks that the slides of a search without conditions are dealt over.
-SALTS = 16
+#: Tasks that the slides of one search are dealt over.
+SALTS = 64
+#: Searches that share a prefix and a text go to slides in lists of about so many.
+LISTED = 8192
+#: Strings of searches that are handed to all tasks at most; more are joined by merge.
+HANDED = 100_000
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -72,35 +77,64 @@ def postings(slides: DataFrame, size: int = 3) -> DataFrame:
 def searched(slides: DataFrame, searches: DataFrame, size: int = 3) -> DataFrame:
     """(search_id, slide_id): for each search (search_id, prefix, search) the slide files that matching() gives.
 
-    A null or empty prefix or search asks for nothing. A search text is looked up by the rarest of its strings of `size` characters
+    A null or empty prefix or search asks for nothing. Searches of the same prefix and text are one condition, and conditions are
+    matched, not searches. A text is looked up by the rarest of its strings of `size` characters
     in the postings of the ids, then by the text itself; a prefix by its own first characters, of ids cut to
-    as many; a text shorter than that, by postings of its own length. So each search meets only ids that
-    share its key, by an equi-join; a search that asks for nothing at all meets every id, as it must.
+    as many; a text shorter than that, by postings of its own length. So each condition meets only ids that
+    share its key, by an equi-join; one that asks for nothing at all meets every id, as it must.
+    Last, each matched id is sent the lists of searches with its condition, and only there a row for each is made.
+    Searches without any condition give a row for each slide and search, so the result can be far larger than the tables.
     """
     files = slides.select("slide_id").distinct().filter(is_slide_file(F.col("slide_id")))
-    own = searches.select("search_id", F.coalesce("prefix", F.lit("")).alias("prefix"), F.lower(F.coalesce("search", F.lit(""))).alias("text"))
+    own = searches.select("search_id", F.coalesce("prefix", F.lit("")).alias("prefix"), F.lower(F.coalesce("search", F.lit(""))).alias("text")).distinct()
+    conditions = own.select("prefix", "text").distinct()
+    has_text, has_prefix = F.col("text") != "", F.col("prefix") != ""
+    # some numbers of the searches: lengths, and how much there is to hand out
+    told = conditions.agg(
+        F.sort_array(F.collect_set(F.when(has_text, F.least(F.length("text"), F.lit(size))))).alias("sizes"), F.sort_array(F.collect_set(F.when(~has_text & has_prefix, F.length("prefix")))).alias("lengths"),
+        F.sum(F.length("text")).alias("letters"), F.count_if(~has_text & has_prefix).alias("prefixes"), F.count_if(~has_text & ~has_prefix).alias("empty"),
+    ).first()
+    per = own.groupBy("search_id").count().agg(F.sum("count").alias("searches"), F.max("count").alias("most")).first()
+    handed = lambda df, n: F.broadcast(df) if (n or 0) <= HANDED else df.hint("merge")
     fits = F.col("slide_id").startswith(F.col("prefix")) & F.contains(F.lower("slide_id"), F.col("text"))
-
-    # searches by text
-    by_text = own.filter("text <> ''").withColumn("n", F.least(F.length("text"), F.lit(size)))
-    sizes = F.sequence(F.lit(1), F.lit(size))
-    low = F.lower("slide_id")
-    each = files.select("slide_id", F.explode(sizes).alias("n")).join(F.broadcast(by_text.select("n").distinct()), "n", "left_semi")  # at most `size` rows
-    grams = each.select("slide_id", F.explode(F.when(F.length(low) >= F.col("n"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - F.col("n") + 1), lambda i: F.substr(low, i, F.col("n")))))).alias("gram"))
-    asked = by_text.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substr("text", i, F.col("n"))))).alias("gram"))
-    often = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
-    rarest = asked.join(often, "gram", "left").groupBy("search_id", "prefix", "text").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
-    found = grams.join(rarest, "gram").filter(fits).select("search_id", "slide_id")
-
-    # searches by prefix only
-    by_prefix = own.filter("text = '' AND prefix <> ''").withColumn("n", F.length("prefix"))
-    lengths = by_prefix.agg(F.sort_array(F.collect_set("n"))).first()[0]  # a number for each length
-    if lengths:
-        heads = files.select("slide_id", F.explode(F.array(*[F.when(F.length("slide_id") >= n, F.substring("slide_id", 1, n)) for n in lengths])).alias("prefix"))
-        found = found.union(heads.join(by_prefix.select("search_id", "prefix"), "prefix").select("search_id", "slide_id"))
-    everything = own.filter("text = '' AND prefix = ''").select("search_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = files.withColumn("salt", F.pmod(F.xxhash64("slide_id"), F.lit(SALTS)).cast("int"))
-    return found.union(dealt.join(everything, "salt").select("search_id", "slide_id")).distinct()
+    none = files.filter(F.lit(False)).select(F.lit("").alias("prefix"), F.lit("").alias("text"), "slide_id")
+
+    # conditions with a text
+    matched = none
+    if told["sizes"]:
+        low = F.lower("slide_id")
+        each = files.select("slide_id", F.explode(F.array(*[F.lit(n) for n in told["sizes"]])).alias("n"))
+        grams = each.select("slide_id", F.explode(F.when(F.length(low) >= F.col("n"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - F.col("n") + 1), lambda i: F.substr(low, i, F.col("n")))))).alias("gram"))
+        by_text = conditions.filter(has_text).withColumn("n", F.least(F.length("text"), F.lit(size)))
+        asked = by_text.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substr("text", i, F.col("n"))))).alias("gram"))
+        often = grams.join(handed(asked.select("gram").distinct(), told["letters"]), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+        rarest = asked.join(often.hint("merge"), "gram", "left").groupBy("prefix", "text").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+        matched = matched.union(grams.join(handed(rarest, told["letters"]), "gram").filter(fits).select("prefix", "text", "slide_id"))
+
+    # conditions with a prefix only
+    if told["lengths"]:
+        heads = files.select("slide_id", F.explode(F.array(*[F.when(F.length("slide_id") >= n, F.substring("slide_id", 1, n)) for n in told["lengths"]])).alias("prefix"))
+        by_prefix = conditions.filter(~has_text & has_prefix)
+        matched = matched.union(heads.join(handed(by_prefix, told["prefixes"]), "prefix").select("prefix", "text", "slide_id"))
+    if told["empty"]:
+        matched = matched.union(files.select(F.lit("").alias("prefix"), F.lit("").alias("text"), "slide_id"))
+
+    # rows of a condition's searches
+    several = F.count("*").over(Window.partitionBy("search_id")) > 1
+    place = F.pmod(F.xxhash64("search_id"), F.lit(-(-(per["searches"] or 1) // LISTED)))
+    lists = own.withColumn("several", several).groupBy("prefix", "text", "several", place.alias("place")).agg(F.collect_list(F.struct("search_id")).alias("of"))
+    ids = F.transform("of", lambda s: s["search_id"])  # a null id too
+    lists = lists.select("prefix", "text", "several", ids.alias("ids"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = matched.withColumn("salt", F.pmod(F.xxhash64("slide_id"), F.lit(SALTS)).cast("int"))
+    key = ["prefix", "text", "salt"]
+    # so many tasks whatever the tables' size, as the rows are made after the join
+    met = dealt.repartition(SALTS, *key).join(lists.repartition(SALTS, *key).hint("merge"), key)
+    found = met.select("several", "slide_id", F.explode("ids").alias("search_id"))
+    pairs = lambda df: df.select("search_id", "slide_id")
+    if (per["most"] or 0) <= 1:
+        return pairs(found)
+    # a search of several conditions can find a slide by each
+    return pairs(found.filter(~F.col("several"))).union(pairs(found.filter("several")).distinct())
 
 
 def connectivity(slides: DataFrame) -> DataFrame:
